@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import pieces, sharding, tiff
+from docketry.llm import pieces, sharding, simhash, tiff, winnow
 
 #: Shards that op8_shard_table places documents on.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -26,6 +26,11 @@ def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.page_digests(tiff.read_tiff(media, keep), keep)
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
@@ -40,6 +45,11 @@ def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def _op8_sql() -> str:
     shards = ", ".join(str(k) for k in sharding.lookup_table(SHARDS))
     return f"""
@@ -49,7 +59,7 @@ def _op8_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_pages, op5_sentencepiece, op8_shard_table)}
+    return {f.__name__: f for f in (op1_tiff_pages, op3_winnowing, op5_sentencepiece, op8_shard_table, op9_simhash_gray)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -151,3 +151,30 @@ def texts_of(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         hi = min(hi, n)
         yield lo, hi, buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+
+
+#: What stands where no window begins.
+NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def window_minima(w: Words, hashes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowing: for each window of ``length`` words of one text, by its first word, the least hash of its
+    k-word grams, and whether such a window begins there. Equal windows have equal minima."""
+    g = grams(hashes, k)
+    g[~w.left(k)] = NOTHING
+    return sliding_min(g, length - k + 1), w.left(length)
+
+
+def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted array."""
+    if not len(among):
+        return np.zeros(len(x), bool)
+    return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
+
+
+def covered(starts: np.ndarray, lengths: np.ndarray | int, n: int) -> np.ndarray:
+    """Which of n words lie in the runs of the given starts and lengths."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + lengths, -1)
+    return np.cumsum(edge[:-1]) > 0
