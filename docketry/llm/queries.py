@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import pieces, sharding, simhash, tiff, winnow
+from docketry.llm import pieces, ppm, sharding, simhash, tiff, toxicity, winnow
 
 #: Shards that op8_shard_table places documents on.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -41,6 +41,27 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer(), digests=True)
 
 
+def categories() -> dict[str, Column]:
+    """The chain's categories, by what labels say, in turn."""
+    return {"degraded": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+
+
+def op6_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.learn(docs, table(spark, sf_dir, "labels"), categories())
+    return toxicity.score(docs, chain, ["doc_id"])
+
+
+def remainder(key: str, by: int):
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
+
+
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = ppm.learn(docs, "doc_id", "text", "lang", remainder("doc_id", 4) != 2, per_language=300)
+    return ppm.predict(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
@@ -59,7 +80,7 @@ def _op8_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_pages, op3_winnowing, op5_sentencepiece, op8_shard_table, op9_simhash_gray)}
+    return {f.__name__: f for f in (op1_tiff_pages, op3_winnowing, op5_sentencepiece, op6_classifier_chain, op7_ppm, op8_shard_table, op9_simhash_gray)}
 
 
 def oracle_sql() -> dict[str, str]:
