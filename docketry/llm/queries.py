@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import pieces, ppm, sharding, simhash, tiff, toxicity, winnow
+from docketry.llm import licenses, pieces, ppm, sharding, simhash, tiff, toxicity, winnow
 
 #: Shards that op8_shard_table places documents on.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -71,6 +71,10 @@ def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def _op8_sql() -> str:
     shards = ", ".join(str(k) for k in sharding.lookup_table(SHARDS))
     return f"""
@@ -80,8 +84,8 @@ def _op8_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_pages, op3_winnowing, op5_sentencepiece, op6_classifier_chain, op7_ppm, op8_shard_table, op9_simhash_gray)}
+    return {f.__name__: f for f in (op1_tiff_pages, op3_winnowing, op5_sentencepiece, op6_classifier_chain, op7_ppm, op8_shard_table, op9_simhash_gray, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_shard_table": _op8_sql()}
+    return {"op8_shard_table": _op8_sql(), "op10_license_scan": licenses.sql()}
