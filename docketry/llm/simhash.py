@@ -246,14 +246,18 @@ def links(distinct: DataFrame, most: int = 4, shard: int = 1 << 15) -> DataFrame
         pairs += [(roots[k][0], roots[k + m][0]) for m in np.flatnonzero(far <= most).tolist()]
     goes = spark.createDataFrame([(s, p, side) for p, (x, y) in enumerate(pairs) for s, side in ((x, 0), *(((y, 1),) if y != x else ()))], "shard int, pair int, side int")
 
+    def pack(group: pa.Table) -> pa.Table:
+        return pa.table({"shard": group["shard"].slice(0, 1), "fps": pa.array([np.sort(group["fp"].to_numpy()).tobytes()], pa.binary())})
+
     def search(group: pa.Table) -> pa.Table:
-        fp = group["fp"].to_numpy().view(np.uint64)
-        second = group["side"].to_numpy() == 1
-        u, v = link_forest(fp[~second], fp[second] if second.any() else None, most)
+        sides = {k: np.frombuffer(x, np.uint64) for k, x in zip(group["side"].to_pylist(), group["fps"].to_pylist(), strict=True)}
+        u, v = link_forest(sides[0], sides.get(1), most)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    # A pair holds two shards at most, of `shard` fingerprints each, give or take what hashing spreads.
-    spread = sharded.join(goes, "shard").select("pair", "side", "fp").repartition(min(len(pairs), 4096), "pair")
+    # A shard has `shard` fingerprints, give or take what hashing spreads; it is packed into one row, and that row
+    # goes to each pair that the shard is in.
+    packed = written(sharded.groupBy("shard").applyInArrow(pack, "shard int, fps binary"), "shards")
+    spread = packed.join(goes, "shard").select("pair", "side", "fps").repartition(min(len(pairs), 4096), "pair")
     return spread.groupBy("pair").applyInArrow(search, "u long, v long")
 
 
