@@ -1,19 +1,64 @@
-"""A training-data pipeline over ``documents``; stages are added as their operators come."""
+"""A training-data pipeline over ``documents``.
+
+Stages, in order, each over all that the one before it kept, each written as Parquet and read again:
+
+- toxicity: a classifier chain learned from ``labels``; documents that it rejects go.
+- near duplicates: of each group of linked SimHash fingerprints the document with the smallest doc_id stays.
+- substring dedup: words in windows of 50 that a document with a smaller doc_id holds too are cut out.
+- decontamination: documents with a twentieth or more of their words in ``benchmark`` windows go.
+- encoding: SentencePiece ids and the decoded text.
+
+Documents stay rows, even where nothing is left of their text. SQL can't express the learned and the
+iterative stages, so there is no ORACLE_SQL; the tests hold each stage against brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docketry.llm import pieces, queries, repeats, simhash, toxicity, winnow
 from docketry.llm.frames import written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    chain = toxicity.learn(docs, queries.table(spark, sf_dir, "labels"), queries.categories())
+    return toxicity.score(docs, chain, docs.columns).where(~F.col("rejected")).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(docs)
+    return docs.join(near.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_texts(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = winnow.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"), docs.columns)
+    return found.where(~F.col("contaminated")).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs, queries.tokenizer())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", clean),
+    ("near_duplicates", one_of_each),
+    ("substring_dedup", unrepeated),
+    ("decontamination", uncontaminated),
+    ("encoding", encoded),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs
