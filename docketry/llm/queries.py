@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import licenses, pieces, ppm, repeats, sharding, simhash, tiff, toxicity, winnow
+from docketry.llm import interpolation, licenses, pieces, ppm, repeats, sharding, simhash, tiff, toxicity, winnow
 
 #: Shards that op8_shard_table places documents on.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -35,6 +35,12 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = remainder("doc_id", 10)
+    scores = interpolation.score(table(spark, sf_dir, "documents"), training=fold != 0, tuning=fold == 1)
+    return scores.select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
@@ -88,7 +94,7 @@ def _op8_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_pages, op2_phrase_automata, op3_winnowing, op5_sentencepiece, op6_classifier_chain, op7_ppm, op8_shard_table, op9_simhash_gray, op10_license_scan)}
+    return {f.__name__: f for f in (op1_tiff_pages, op2_phrase_automata, op3_winnowing, op4_deleted_interpolation, op5_sentencepiece, op6_classifier_chain, op7_ppm, op8_shard_table, op9_simhash_gray, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
