@@ -46,7 +46,7 @@ def read_zipped_csv(spark: SparkSession, path: str, columns=DECISION) -> DataFra
 def cleaned(df: DataFrame) -> DataFrame:
     """Decision rows with HTML turned to text, an excerpt, and the defect types as a list."""
     text = strip_html(F.col("Tekst"), headings=True)
-    types = F.filter(F.transform(F.split(F.coalesce("Mangeltype", F.lit("")), ","), F.trim), lambda x: x != "")
+    types = F.filter(F.transform(F.split(F.coalesce("Mangeltype", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return df.withColumns({"Tekst": text, "Excerpt": excerpt(text), "Mangeltype": types})
 
 
