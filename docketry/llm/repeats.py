@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ class Windows:
         self.w: Words = words(buf, offsets, PLAIN)
         self.h = self.w.hashes(lower=False)
         self.phrase, self.there = window_minima(self.w, self.h, window, gram)
-        self.window = window
+        self.window, self.gram = window, gram
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """(first window, number of windows) of each passage."""
@@ -79,8 +81,24 @@ class Windows:
         size = count + self.window - 1
         return mix((total[first + size] - total[first]) * down[first] + size.astype(np.uint64))
 
+    @cached_property
     def whole(self) -> np.ndarray:
-        return grams(self.h, self.window)
+        """A hash of each window."""
+        return _signed(grams(self.h, self.window))
+
+    @cached_property
+    def small(self) -> np.ndarray:
+        """A hash of each gram, as phrases are named."""
+        return _signed(grams(self.h, self.gram))
+
+    @cached_property
+    def named(self) -> np.ndarray:
+        """The name of each window's phrase."""
+        return _signed(self.phrase)
+
+    @cached_property
+    def raw(self) -> bytes:
+        return self.w.buf.tobytes()
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.w.first, at, "right") - 1
@@ -119,7 +137,7 @@ def _single_windows(docs: DataFrame, kind: str, window: int, gram: int) -> DataF
             for lo, hi, buf, offsets in texts_of(rows(batch, "said")):
                 x = Windows(buf, offsets, window, gram)
                 first, count = x.runs()
-                passage, doc, whole = _signed(x.passages(first, count)), x.doc_of(first), x.whole()
+                passage, doc = _signed(x.passages(first, count)), x.doc_of(first)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 at, owner, last, least = [], [], [], []
                 for d in range(hi - lo):
@@ -134,7 +152,7 @@ def _single_windows(docs: DataFrame, kind: str, window: int, gram: int) -> DataF
                 places = np.array(at, np.int64)
                 held = ids.take(pa.array(owner, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(x.phrase[places])), pa.array(_signed(whole[places])), held, pa.array(last, held.type), pa.array(least, held.type)], names=["phrase", "whole", "id", "last", "least"]
+                    [pa.array(x.named[places]), pa.array(x.whole[places]), held, pa.array(last, held.type), pa.array(least, held.type)], names=["phrase", "whole", "id", "last", "least"]
                 )
 
     return docs.mapInArrow(run, f"phrase long, whole long, id {kind}, last {kind}, least {kind}")
@@ -159,19 +177,17 @@ class Shard:
         """Takes phrases from text d, which has the least key; whole: the phrase's passage recurs whole."""
         a, b = int(x.w.first[d]), int(x.w.first[d + 1])
         names = np.array(sorted(p for p, _ in wanted), np.int64)
-        mine = np.flatnonzero(x.there[a:b] & member(_signed(x.phrase[a:b]), names)) + a
+        mine = np.flatnonzero(x.there[a:b] & member(x.named[a:b], names)) + a
         if not len(mine):
             return
-        phrase = _signed(x.phrase[mine])
+        phrase = x.named[mine]
         alone = member(phrase, np.array(sorted(p for p, whole in wanted if whole), np.int64))
-        whole = _signed(x.whole()[mine[alone]])
+        whole = x.whole[mine[alone]]
         self.windows(whole, np.full(len(whole), key))
-        small = _signed(grams(x.h, self.gram)[a:b])
-        raw = x.w.buf.tobytes()
         _, one = np.unique(phrase, return_index=True)
         for k in one.tolist():
-            at = a + int(np.flatnonzero(small[mine[k] - a :] == phrase[k])[0]) + int(mine[k]) - a
-            said = [raw[x.w.starts[i] : x.w.ends[i]] for i in range(at, at + self.gram)]
+            at = int(mine[k]) + int(np.flatnonzero(x.small[mine[k] : mine[k] + self.window] == phrase[k])[0])
+            said = [x.raw[x.w.starts[i] : x.w.ends[i]] for i in range(at, at + self.gram)]
             self.phrases["".join([self._letter(w) for w in said])] = int(phrase[k])
 
     def _letter(self, word: bytes) -> str:
@@ -195,20 +211,19 @@ class Shard:
 
     def spans(self, x: Windows, keys: list[int]) -> np.ndarray:
         """Which words of the texts of x are in removed windows."""
-        raw, get = x.w.buf.tobytes(), self.letters.get
+        get = self.letters.get
         found: list[np.ndarray] = []
         if not len(self.sorted) or not self.phrases:
             return np.zeros(len(x.w), bool)
-        whole = _signed(x.whole())
         for d, key in enumerate(keys):
             a, b = int(x.w.first[d]), int(x.w.first[d + 1])
-            line = "".join([get(w, "\0") for w in raw[x.w.offsets[d] : x.w.offsets[d + 1]].split()])
+            line = "".join([get(w, "\0") for w in x.raw[x.w.offsets[d] : x.w.offsets[d + 1]].split()])
             hit = np.array(sorted({p for _, p in self.automaton.iter(line)}), np.int64)
             if not len(hit):
                 continue
-            mine = np.flatnonzero(x.there[a:b] & member(_signed(x.phrase[a:b]), hit)) + a
-            at = np.minimum(np.searchsorted(self.sorted, whole[mine]), len(self.sorted) - 1)
-            found.append(mine[(self.sorted[at] == whole[mine]) & (self.first[at] < key)])
+            mine = np.flatnonzero(x.there[a:b] & member(x.named[a:b], hit)) + a
+            at = np.minimum(np.searchsorted(self.sorted, x.whole[mine]), len(self.sorted) - 1)
+            found.append(mine[(self.sorted[at] == x.whole[mine]) & (self.first[at] < key)])
         starts = np.concatenate([*found, np.zeros(0, np.int64)])
         return covered(starts, self.window, len(x.w))
 
@@ -254,25 +269,28 @@ def _scan(stream: DataFrame, window: int, gram: int) -> DataFrame:
                         x = Windows(buf, offsets, window, gram)
                         begins, ends, per = _ranges(shard.spans(x, ids.slice(a, b - a).to_pylist()), x.w.first)
                         base = np.repeat(x.w.first[:-1], per)
-                        made = [ids.slice(a, b - a), rows(some, "same").slice(a, b - a), lists((begins - base).astype(np.int32), per), lists((ends - base).astype(np.int32), per)]
-                        out = pa.RecordBatch.from_arrays(made, names=["id", "same", "begins", "ends"])
-                        yield out.filter(pa.array(per > 0))
+                        leads, alone = (rows(some, c).slice(a, b - a) for c in ("leads", "alone"))
+                        said = rows(some, "said").take(pa.array(np.arange(a, b), mask=~leads.to_numpy(zero_copy_only=False)))
+                        made = [ids.slice(a, b - a), rows(some, "same").slice(a, b - a), lists((begins - base).astype(np.int32), per), lists((ends - base).astype(np.int32), per), said]
+                        out = pa.RecordBatch.from_arrays(made, names=["id", "same", "begins", "ends", "said"])
+                        # Of a text in several shards one gives the text, whether or not it finds anything.
+                        yield out.filter(pc.or_(pa.array(per > 0), pc.and_not(leads, alone)))
                 lo = hi
 
-    return stream.mapInArrow(run, f"id {stream.schema['id'].dataType.simpleString()}, same long, begins array<int>, ends array<int>")
+    return stream.mapInArrow(run, f"id {stream.schema['id'].dataType.simpleString()}, same long, begins array<int>, ends array<int>, said binary")
 
 
-def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, gram: int = 12, shards: int | None = None, task_docs: int = 4_000) -> DataFrame:
-    """(id, same, begins, ends): runs of removed words (first, one past the last) of each text that loses any, possibly
-    in several rows; same is the XXH64 of the text. Keys are integers."""
+def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, gram: int = 12, shards: int | None = None, task_docs: int = 16_000) -> DataFrame:
+    """(id, same, begins, ends, said): runs of removed words (first, one past the last) of each text that loses any,
+    possibly in several rows, one of which has the text; same is the XXH64 of the text. Keys are integers."""
     kind = df.schema[key].dataType.simpleString()
     docs = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("id"), utf8(F.col(f"`{text}`")).alias("said"))
     anchors = written(_anchors(docs, kind, window, gram), "anchors")
     counted = anchors.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("last"), (F.min("passage") == F.max("passage")).alias("alone"))
     again = written(anchors.join(counted.where("least < last").select("phrase", "least", "alone"), "phrase"), "recurring")
     if shards is None:
-        # An automaton of some 30,000 phrases: a few dozen MB.
-        shards = max(1, -(-again.where("id = least").count() // 30_000))
+        # An automaton of some 60,000 phrases: a hundred MB or so.
+        shards = max(1, -(-again.where("id = least").count() // 60_000))
     shard = F.pmod(F.xxhash64("least"), F.lit(shards)).cast("int")
 
     # Passages of phrases that have several: their windows, one by one.
@@ -282,17 +300,19 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int
     single = single.groupBy("phrase", "whole").agg(F.min("id").alias("id"), F.max("last").alias("last"), F.min("least").alias("least")).where("id < last")
 
     none = lambda *kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds]
+    flags = none(("leads", "boolean"), ("alone", "boolean"))
     readers = again.where("id = least").groupBy("id").agg(F.collect_set(F.struct("phrase", "alone")).alias("wanted"), F.min("least").alias("least"))
     readers = readers.select("id", "wanted", shard.alias("shard"))
-    seekers = written(again.where("id > least").select("id", shard.alias("shard")).distinct(), "seekers")
+    routes = again.where("id > least").groupBy("id").agg(F.collect_set(shard).alias("shards"))
+    seekers = written(routes.select("id", F.explode("shards").alias("shard"), F.array_min("shards").alias("lead"), (F.size("shards") == 1).alias("alone")), "seekers")
     # A shard's texts in parts of task_docs or so.
     parts = seekers.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / task_docs).cast("int").alias("parts"))
     spread = parts.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    columns = ["shard", "part", "step", "id", "same", "said", "wanted", "whole"]
-    zero = single.select(shard.alias("shard"), "id", "whole").join(spread, "shard").select("shard", "part", F.lit(0).alias("step"), "id", *none(("same", "long"), ("said", "binary"), ("wanted", "array<struct<phrase:bigint,alone:boolean>>")), "whole")
-    one = docs.join(readers, "id").join(spread, "shard").select("shard", "part", F.lit(1).alias("step"), "id", *none(("same", "long")), "said", "wanted", *none(("whole", "long")))
-    seek = seekers.join(parts, "shard").select("id", "shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    two = docs.join(seek, "id").select("shard", "part", F.lit(2).alias("step"), "id", F.xxhash64("said").alias("same"), "said", *none(("wanted", "array<struct<phrase:bigint,alone:boolean>>"), ("whole", "long")))
+    columns = ["shard", "part", "step", "id", "same", "said", "wanted", "whole", "leads", "alone"]
+    zero = single.select(shard.alias("shard"), "id", "whole").join(spread, "shard").select("shard", "part", F.lit(0).alias("step"), "id", *none(("same", "long"), ("said", "binary"), ("wanted", "array<struct<phrase:bigint,alone:boolean>>")), "whole", *flags)
+    one = docs.join(readers, "id").join(spread, "shard").select("shard", "part", F.lit(1).alias("step"), "id", *none(("same", "long")), "said", "wanted", *none(("whole", "long")), *flags)
+    seek = seekers.join(parts, "shard").select("id", "shard", (F.col("shard") == F.col("lead")).alias("leads"), "alone", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    two = docs.join(seek, "id").select("shard", "part", F.lit(2).alias("step"), "id", F.xxhash64("said").alias("same"), "said", *none(("wanted", "array<struct<phrase:bigint,alone:boolean>>"), ("whole", "long")), "leads", "alone")
     stream = zero.select(*columns).unionByName(one.select(*columns)).unionByName(two.select(*columns))
     return _scan(stream.repartition("shard", "part").sortWithinPartitions("shard", "part", "step"), window, gram)
 
@@ -324,18 +344,18 @@ def digest(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def _gathered(spans: DataFrame) -> DataFrame:
     """One row for each text that loses words: a text is in a few shards at most."""
-    return spans.groupBy("id", "same").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
+    every = spans.groupBy("id", "same").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"), F.max("said").alias("said"))
+    return every.where(F.size("begins") > 0)
 
 
 def kept_digests(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Columns key, n_words, n_removed, kept_sha256. Only texts that lose words are joined with their spans; the
-    others' words are digested where they are read."""
+    """Columns key, n_words, n_removed, kept_sha256. Texts that lose words come along with their spans; the others'
+    words are digested where they are read. Only digests are joined."""
     spans = written(repeated(df, key, text, **options), "spans")
     docs = df.select(F.col(f"`{key}`").alias("id"), utf8(F.col(f"`{text}`")).alias("said")).withColumn("same", F.xxhash64("said"))
-    gathered = _gathered(spans)
     empty = F.lit(None).cast("array<int>")
     plain = digest(docs.select("id", "same", "said", empty.alias("begins"), empty.alias("ends")), ["id", "same"])
-    cut = digest(docs.join(gathered, ["id", "same"]), ["id", "same"]).distinct()
+    cut = digest(_gathered(spans), ["id", "same"])
     cut = cut.select(F.col("id").alias("id2"), F.col("same").alias("same2"), F.col("n_removed").alias("n2"), F.col("kept_sha256").alias("sha2"))
     both = plain.join(cut, F.col("id").eqNullSafe(F.col("id2")) & (F.col("same") == F.col("same2")), "left")
     return both.select(F.col("id").alias(key), "n_words", F.coalesce("n2", "n_removed").alias("n_removed"), F.coalesce("sha2", "kept_sha256").alias("kept_sha256"))
@@ -344,7 +364,7 @@ def kept_digests(df: DataFrame, key: str = "doc_id", text: str = "text", **optio
 def cut_texts(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """df with the removed words cut out of the text, each with the white space behind it; other texts stay as they are."""
     spans = written(repeated(df, key, text, **options), "spans")
-    gathered = _gathered(spans).withColumnsRenamed({"id": "__id", "same": "__same", "begins": "__begins", "ends": "__ends"})
+    gathered = _gathered(spans).drop("said").withColumnsRenamed({"id": "__id", "same": "__same", "begins": "__begins", "ends": "__ends"})
     schema = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
