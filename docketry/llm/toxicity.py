@@ -135,7 +135,7 @@ def _unique(doc: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF)
 
 
-def learn(df: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", sample_rows: int = 8_000, most: int = 2_048, least: int = 4, folds: int = 4) -> Chain:
+def learn(df: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", sample_rows: int = 12_000, most: int = 2_048, least: int = 4, folds: int = 4) -> Chain:
     """A chain of the categories, each given by a condition over columns of labels, in that order."""
     named = list(categories)
     truth = labels.select(F.col(key).alias("__key"), *(c.cast("int").alias(f"__y{i}") for i, c in enumerate(categories.values()))).dropna()
@@ -165,7 +165,7 @@ def learn(df: DataFrame, labels: DataFrame, categories: dict[str, Column], key:
     return Chain(named).fit(row, name, y, np.arange(len(sets)) % folds, most, least)
 
 
-def score(df: DataFrame, chain: Chain, keep: list[str], text: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(df: DataFrame, chain: Chain, keep: list[str], text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The kept columns, p_<category> for each category, and rejected: the last category's reaches the threshold."""
     shared = df.sparkSession.sparkContext.broadcast((chain, np.unique(np.concatenate([m.names for m in chain.models]))))
     results = [*(f"p_{c}" for c in chain.categories), "rejected"]
