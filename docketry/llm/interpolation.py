@@ -237,7 +237,7 @@ def learn_weights(tuning: DataFrame, p0: float, rounds: int) -> np.ndarray:
 RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(df: DataFrame, training: Column, tuning: Column, key: str = "doc_id", text: str = "text", rounds: int = 8, block_bytes: int = 16 << 20) -> DataFrame:
+def score(df: DataFrame, training: Column, tuning: Column, key: str = "doc_id", text: str = "text", rounds: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
     """Columns key, RESULT. training: whether a row is learned from; tuning: whether, of those, it is held out for the weights."""
     kind = df.schema[key].dataType.simpleString()
     fold = F.when(~training, F.lit(APART)).when(tuning, F.lit(TUNING)).otherwise(F.lit(COUNTED)).cast("int")
