@@ -16,7 +16,7 @@ words also start in a text of a smaller key; windows are those of the input.
 
 A shard's texts are dealt over several tasks if they are many (``task_docs``), each with the shard's automaton. No step
 gathers a phrase's texts in one task: counts are partial aggregates of fixed size. Windows are told apart by
-64-bit hashes, the phrases in them by their words.
+64-bit hashes.
 
 Null and empty texts, and texts below a window, lose nothing. Rows with a null key lose nothing and remove nothing
 elsewhere. Rows of equal keys don't remove from one another. Columns that clash with result columns are replaced;
@@ -39,6 +39,8 @@ from docketry.llm.frames import lists, rows, utf8, written
 from docketry.llm.words import PLAIN, Words, covered, grams, member, texts_of, window_minima, words
 
 _FLIP = np.uint64(1 << 63)
+#: Letters of a shard's automaton.
+LETTERS = 127
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -166,7 +168,7 @@ class Shard:
         self.known: list[np.ndarray] = []
         self.owner: list[np.ndarray] = []
         self.letters: dict[bytes, str] = {}
-        self.phrases: dict[str, int] = {}
+        self.phrases: dict[str, list[int]] = {}
         self.automaton = None
 
     def windows(self, whole: np.ndarray, owner: np.ndarray) -> None:
@@ -188,20 +190,21 @@ class Shard:
         for k in one.tolist():
             at = int(mine[k]) + int(np.flatnonzero(x.small[mine[k] : mine[k] + self.window] == phrase[k])[0])
             said = [x.raw[x.w.starts[i] : x.w.ends[i]] for i in range(at, at + self.gram)]
-            self.phrases["".join([self._letter(w) for w in said])] = int(phrase[k])
+            self.phrases.setdefault("".join([self._letter(w) for w in said]), []).append(int(phrase[k]))
 
     def _letter(self, word: bytes) -> str:
+        """Words of phrases are dealt to LETTERS letters: the automaton looks a node's letters through one by one, so
+        there must be few. Words that share one are told apart when windows are looked up."""
         if (got := self.letters.get(word)) is None:
-            n = len(self.letters) + 1
-            got = self.letters[word] = chr(n if n < 0xD800 else n + 0x800)
+            got = self.letters[word] = chr(1 + len(self.letters) % LETTERS)
         return got
 
     def compile(self) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        for said, phrase in self.phrases.items():
-            self.automaton.add_word(said, phrase)
+        for said, names in self.phrases.items():
+            self.automaton.add_word(said, names)
         if self.phrases:
             self.automaton.make_automaton()
         whole = np.concatenate([*self.known, np.zeros(0, np.int64)])
@@ -218,7 +221,7 @@ class Shard:
         for d, key in enumerate(keys):
             a, b = int(x.w.first[d]), int(x.w.first[d + 1])
             line = "".join([get(w, "\0") for w in x.raw[x.w.offsets[d] : x.w.offsets[d + 1]].split()])
-            hit = np.array(sorted({p for _, p in self.automaton.iter(line)}), np.int64)
+            hit = np.array(sorted({p for _, names in self.automaton.iter(line) for p in names}), np.int64)
             if not len(hit):
                 continue
             mine = np.flatnonzero(x.there[a:b] & member(x.named[a:b], hit)) + a

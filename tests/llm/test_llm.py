@@ -509,3 +509,26 @@ def test_sql_of_queries(spark):
     con = database("/root/testdata/sf0.001")
     for name, sql in queries.oracle_sql().items():
         same_rows(queries.queries()[name](spark, "/root/testdata/sf0.001"), con, sql)
+
+
+@pytest.mark.parametrize("letters", [1, 2, 127])
+def test_op2_shard_tells_words_of_one_letter_apart(monkeypatch, letters):
+    monkeypatch.setattr(repeats, "LETTERS", letters)
+    docs = [(i, t) for i, t in repeating(11) if i is not None and i != 200]
+    texts = [(t or "").encode() for _, t in docs]
+    x = repeats.Windows(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])), 10, 4)
+    first = {}
+    for d, (i, _) in enumerate(docs):
+        for k in range(x.w.first[d], x.w.first[d + 1]):
+            if x.there[k]:
+                first[int(x.named[k])] = min((i, d), first.get(int(x.named[k]), (i, d)))
+    shard = repeats.Shard(10, 4)
+    for d, (i, _) in enumerate(docs):
+        shard.read(x, d, i, [(p, False) for p, (_, at) in first.items() if at == d])
+        a, b = int(x.w.first[d]), int(x.w.first[d + 1])
+        mine = np.flatnonzero(x.there[a:b]) + a
+        shard.windows(x.whole[mine], np.full(len(mine), i))
+    shard.compile()
+    inside = shard.spans(x, [i for i, _ in docs])
+    got = {(i, int(inside[x.w.first[d] : x.w.first[d + 1]].sum())) for d, (i, _) in enumerate(docs)}
+    assert got == {(i, gone) for i, _, gone, _ in brute_repeats(docs, 10)}
