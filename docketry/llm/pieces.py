@@ -18,13 +18,14 @@ Columns of the input other than the key and the text aren't looked at. An empty
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.frames import lists, mapped, rows
+from docketry.llm.frames import lists, rows
 from docketry.llm.words import CHUNK_BYTES, Words
 
 MARK = "▁"
@@ -161,7 +162,7 @@ def encoded(table: ChunkTable, texts: list[bytes], digests: bool) -> tuple[list[
     texts = [t.replace(_MARK_BYTES, b" ") for t in texts]
     full = [i for i, t in enumerate(texts) if t]
     empty = hashlib.sha256(b"").hexdigest() if digests else None
-    n, ids, said = [0] * len(texts), [empty if digests else [] for _ in texts], [empty if digests else "" for _ in texts]
+    n, ids, said = [0] * len(texts), [empty if digests else np.zeros(0, np.int32) for _ in texts], [empty if digests else "" for _ in texts]
     lo = 0
     while lo < len(full):
         hi, size = lo, 0
@@ -181,13 +182,13 @@ def encoded(table: ChunkTable, texts: list[bytes], digests: bool) -> tuple[list[
             text = flat[offsets[a] + 1 : offsets[b]]
             if unlike and any(a <= k < b for k in unlike):
                 text = b"".join(table.unlike.get(int(at[k]), flat[offsets[k] : offsets[k + 1]]) for k in range(a, b)).removeprefix(b" ")
-            ids[i] = hashlib.sha256(made[cuts[d] : cuts[d + 1] - 1]).hexdigest() if digests else flat_ids[per[d] : per[d + 1]].tolist()
+            ids[i] = hashlib.sha256(made[cuts[d] : cuts[d + 1] - 1]).hexdigest() if digests else flat_ids[per[d] : per[d + 1]]
             said[i] = hashlib.sha256(text).hexdigest() if digests else text.decode()
         lo = hi
     return n, ids, said
 
 
-def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", table_entries: int = 600_000, digests: bool = False) -> DataFrame:
+def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", table_entries: int = 300_000, digests: bool = False) -> DataFrame:
     """Columns key, n_tokens, then ids (array<int>) and decoded (string); with digests their SHA-256 instead.
 
     model: the path of the model's file, read by the driver alone.
@@ -195,12 +196,15 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", t
     with open(model, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared.value, table_entries)
-        n, ids, said = encoded(table, [t or b"" for t in rows(batch, "text").to_pylist()], digests)
-        made = pa.array(ids, pa.string()) if digests else lists(pa.array([x for t in ids for x in t], pa.int32()), n)
-        return pa.RecordBatch.from_arrays([rows(batch, "key"), pa.array(n, pa.int64()), made, pa.array(said, pa.string())], names=names)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                n, ids, said = encoded(table, [t or b"" for t in rows(some, "text").to_pylist()], digests)
+                made = pa.array(ids, pa.string()) if digests else lists(pa.array(np.concatenate(ids)), n)
+                yield pa.RecordBatch.from_arrays([rows(some, "key"), pa.array(n, pa.int64()), made, pa.array(said, pa.string())], names=names)
 
     names = [key, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
     kinds = [df.schema[key].dataType.simpleString(), "long", "string" if digests else "array<int>", "string"]
-    return mapped(df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), run, ", ".join(f"`{a}` {b}" for a, b in zip(names, kinds, strict=True)))
+    return df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, ", ".join(f"`{a}` {b}" for a, b in zip(names, kinds, strict=True)))
