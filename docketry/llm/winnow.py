@@ -163,7 +163,9 @@ def decontaminate(
             for lo, _, w, h, _ in parts(batch):
                 for n in sizes:
                     least, there = window_minima(w, h, n, min(gram, n))
-                    at = np.flatnonzero(there & np.append(True, (least[1:] != least[:-1]) | ~there[:-1]))
+                    fresh = np.append(True, (least[1:] != least[:-1]) | ~there[:-1])[: len(w)]
+                    fresh[w.first[:-1][w.counts() > 0]] = True  # windows of one word leave no gap between texts
+                    at = np.flatnonzero(there & fresh)
                     doc = np.searchsorted(w.first, at, "right") - 1
                     mark = (least[at] ^ np.uint64(1 << 63)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo + doc]), pa.array(np.full(len(at), n, np.int32)), pa.array(mark)], names=["__key", "n", "mark"])

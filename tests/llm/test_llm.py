@@ -200,6 +200,15 @@ def test_op3(spark, broadcast_bytes):
     assert got == sorted(((i, *brute(t)) for i, t in docs), key=key)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 25, 0])
+def test_op3_one_word_items_in_adjacent_texts(spark, broadcast_bytes):
+    texts = ["yes", "Yes", "", "YES", None, "no yes", "yEs no", "yeS", "no"]
+    docs = frame(spark, list(enumerate(texts))).coalesce(1)
+    got = winnow.decontaminate(docs, frame(spark, [(1, "yes")], "item_id int, text string"), ["doc_id"], broadcast_bytes=broadcast_bytes).collect()
+    want = [(i, int("yes" in lower(t)), ["1"] if "yes" in lower(t) else []) for i, t in enumerate(texts)]
+    assert sorted((r.doc_id, r.n_hit, r["items"]) for r in got) == want
+
+
 def test_op3_of_nothing(spark):
     none = frame(spark, [], "item_id int, text string")
     assert [r.contaminated for r in winnow.decontaminate(frame(spark, [(1, "a b c")]), none, ["doc_id"]).collect()] == [False]
