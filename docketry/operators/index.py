@@ -6,6 +6,7 @@ depend on the order in which partitions arrive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,25 +31,39 @@ class Index:
     mean: float
 
 
-def postings(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    said = df.select(F.col(doc).alias("doc"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("said"))
-    each = said.select("doc", F.size("said").alias("n"), F.explode("said").alias("term"))
+def runs(said: Column, most: int) -> Column:
+    """The runs of 1 to ``most`` neighbouring tokens, joined by spaces."""
+    if most == 1:
+        return said
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size(said) >= n, F.sequence(F.lit(1), F.size(said) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(said, i, n)))
+
+    return F.concat(said, *(of(n) for n in range(2, most + 1)))
+
+
+def postings(df: DataFrame, doc: str = "doc_id", text: str = "text", most: int = 1, words: Callable[[Column], Column] = tokens) -> DataFrame:
+    """Postings of the runs of 1 to ``most`` words of the texts; n counts words."""
+    said = df.select(F.col(doc).alias("doc"), words(F.coalesce(F.col(text), F.lit(""))).alias("said"))
+    each = said.select("doc", F.size("said").alias("n"), F.explode(runs(F.col("said"), most)).alias("term"))
     return each.groupBy("doc", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def build(df: DataFrame, doc: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> Index:
+def build(df: DataFrame, doc: str = "doc_id", text: str = "text", terms: DataFrame | None = None, most: int = 1, words: Callable[[Column], Column] = tokens) -> Index:
     """An index of the texts; with terms only these terms have postings (the numbers are those of all)."""
-    said = df.select(tokens(F.coalesce(F.col(text), F.lit(""))).alias("said")).select(F.size("said").alias("n"))
+    said = df.select(words(F.coalesce(F.col(text), F.lit(""))).alias("said")).select(F.size("said").alias("n"))
     docs, mean = said.agg(F.count(F.lit(1)), F.coalesce(F.avg("n"), F.lit(0.0))).first()
-    found = postings(df, doc, text)
+    found = postings(df, doc, text, most, words)
     if terms is not None:
         found = found.join(terms.select("term").distinct(), "term", "left_semi")
     return Index(found, found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), docs, mean)
 
 
-def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
+def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text", most: int = 1, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """(query, term), each once."""
-    return queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
+    said = queries.select(F.col(query).alias("query"), words(F.coalesce(F.col(text), F.lit(""))).alias("said"))
+    return said.select("query", F.explode(F.array_distinct(runs(F.col("said"), most))).alias("term"))
 
 
 def bm25(index: Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75, coverage: float = 0.08, most: float = 0.5) -> DataFrame:

@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions.text import squeezed, tokens
+from docketry.functions.snowball_da import stemmed
+from docketry.functions.text import squeezed, title, tokens
 from docketry.operators import index as ix
 from docketry.operators import rank as rk
+from docketry.operators.passages import key_sections_of
 from docketry.plans.queries import query, table
 
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-zæøå0-9]+')"
@@ -85,6 +87,15 @@ def tfidf_fixed_topk(spark, sf_dir):
     return rk.top(lexical(spark, sf_dir), 20)
 
 
+@query()
+def tfidf_stems_topk(spark, sf_dir):
+    """TF-IDF of one and two neighbouring Danish stems, over the index texts: the title three times, then key sections."""
+    title_ = title(F.col("text"))
+    said = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", title_, title_, title_, key_sections_of(F.col("text"), 6_000)).alias("text"))
+    terms = ix.query_terms(table(spark, sf_dir, "benchmark"), "item_id", most=2, words=stemmed)
+    return rk.top(ix.tfidf_scores(*ix.tfidf(ix.build(said, most=2, words=stemmed)), terms), 20)
+
+
 @query(f"WITH {_TFIDF}, early AS {_ranked('tfidf', 40)}, boosted AS (SELECT query, doc, round_even(score / 1e14 * (1.0e0 + greatest(0.0e0, least(0.15e0, (2010 + doc % 15 - 2017) * 0.02e0))), 9) AS score FROM early) SELECT query, doc, score, rank FROM {_ranked('boosted', 20)}")
 def tfidf_recency_boost(spark, sf_dir):
     from docketry.functions.dates import recency
@@ -192,8 +203,6 @@ _SIMILAR_BM25 = _BM25.replace(_POST, _SIMILAR)
 
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of the title of each 20th document against all others."""
-    from docketry.functions.text import title
-
     docs = table(spark, sf_dir, "documents")
     terms = ix.query_terms(docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring(title(F.col("text")), 1, 600).alias("text")))
     return ix.bm25(ix.build(docs, terms=terms), terms).where("query <> doc")

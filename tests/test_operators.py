@@ -1,6 +1,7 @@
 """Small fixtures with answers worked out by hand."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,34 @@ def test_bm25_order(spark):
     assert best == {1: 1, 2: 4}
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_tfidf_of_runs_of_stems(spark, most):
+    import math
+    from collections import Counter
+
+    from docketry.functions.snowball_da import stemmed
+
+    texts = {1: "Skimmel på lofterne. Skimmel på loftet og på vinduet", 2: "taget er utæt ved skorstenen", 3: "loftet", 4: None, 5: "utæt skorsten, skimmel på loftet"}
+    asked = {1: "skimmel på lofter", 2: "utætte skorsten", 3: "loft", 4: ""}
+
+    def terms(text):
+        w = stems(re.findall("[a-zæøå][a-zæøå-]+", (text or "").lower()))
+        return Counter(" ".join(w[i : i + n]) for n in range(1, most + 1) for i in range(len(w) - n + 1))
+
+    counts = {d: terms(t) for d, t in texts.items()}
+    df = Counter(t for c in counts.values() for t in c)
+    idf = {t: 1 + math.log((1 + len(texts)) / (1 + n)) for t, n in df.items() if n >= 2}
+    unit = lambda w: {t: x / math.sqrt(sum(v * v for v in w.values())) for t, x in w.items()}
+    weights = {d: unit({t: (1 + math.log(n)) * idf[t] for t, n in c.items() if t in idf}) for d, c in counts.items()}
+    wanted = {q: unit({t: idf[t] for t in terms(said) if t in idf}) for q, said in asked.items()}
+    want = {(q, d): s for q, x in wanted.items() for d, w in weights.items() if (s := sum(x[t] * w.get(t, 0) for t in x)) > 0.01}
+    built = index.build(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), most=most, words=stemmed)
+    sought = index.query_terms(spark.createDataFrame(list(asked.items()), "query_id int, text string"), most=most, words=stemmed)
+    got = {(r.query, r.doc): r.score / index.SCALE**2 for r in index.tfidf_scores(*index.tfidf(built), sought).collect()}
+    assert got == pytest.approx(want, abs=1e-5) and len(want) > 4
+    assert most == 1 or any(" " in r.term for r in index.tfidf(built)[1].collect())
+
+
 def test_fusion(spark):
     lists = [spark.createDataFrame([(1, d, i) for i, d in enumerate(x)], "query int, doc string, rank int") for x in (["b", "c"], ["a", "b"])]
     assert [r.doc for r in rank.top(rank.fuse(lists), 9).orderBy("rank").collect()] == ["b", "a", "c"]
