@@ -163,7 +163,7 @@ def rule_multi_label(spark, sf_dir):
 def danish_outcomes(spark, sf_dir):
     """The Danish rule tables over all texts: outcome and kinds of defects."""
     title = tx.title(F.col("text"))
-    return docs(spark, sf_dir).select("doc_id", rules.outcome(title, F.col("text"), F.lit("")).alias("outcome"), F.array_join(rules.defects(title, F.col("text")), ",").alias("defects"))
+    return docs(spark, sf_dir).select("doc_id", rules.outcome(title, F.col("text"), F.lit("")).alias("outcome"), F.array_join(rules.defects(title, F.col("text"), rules.ALL_DEFECTS), ",").alias("defects"))
 
 
 _LEXICON = {"article": ("the", "der", "le", "el"), "copula": ("is", "ist", "est", "es"), "pair": ("of the", "de la", "in der")}

@@ -134,6 +134,40 @@ def test_fusion_and_ranking_hold_whatever_the_partitions(spark):
     assert a == b
 
 
+def test_defects_have_a_sentence_for_each_label(spark):
+    said = {
+        "Skimmel/fugt": ["opstigende grundfugt", "kondens indvendigt"],
+        "Tag/tagdækning": ["et gammelt stråtag", "nyt eternittag", "et sadeltag", "vand fra taget", "et fladt tag"],
+        "Kloak/dræn": ["drænet virker ikke"],
+        "Installationer": ["en defekt varmepumpe", "el-installationen", "pejsen", "ulovligt oliefyr"],
+        "Fundament": ["revner i soklen og fundamentet"],
+        "Vinduer/døre": ["punkterede termoruder", "terrassedøren binder", "vinduerne"],
+        "Murværk/facade": ["manglende murbindere", "en binder", "fugerne smuldrer"],
+        "Råd/svamp/insekt": ["angreb af ægte hussvamp", "myrer", "rotter", "råd"],
+        "Konstruktion/bærende": ["bjælkelaget", "etageadskillelsen", "manglende isolering på loftet"],
+        "Badeværelse/vådrum": ["badeværelset"],
+        "Gulv": ["trægulvet", "et klinkegulv", "plankgulv", "betongulvet"],
+        "Ulovlige forhold": ["manglende byggetilladelse"],
+    }
+    assert [label for label, _ in rules.ALL_DEFECTS] == list(said)
+    rows = [(label, x) for label, sentences in said.items() for x in sentences]
+    df = spark.createDataFrame(rows, "label string, said string")
+    for title_, text in ((F.col("said"), F.lit(None)), (F.lit(""), F.initcap("said"))):
+        for r in df.select("label", "said", rules.defects(title_, text, rules.ALL_DEFECTS).alias("d")).collect():
+            assert r.label in r.d, r
+    bad = {"skimmelsvamp": ["Skimmel/fugt"], "en rådgiver har foretaget": ["Andet"], "forbinderen": ["Andet"], "ulovligt oliefyr": ["Installationer", "Ulovlige forhold"], "": ["Andet"]}
+    assert {x: one(spark, rules.defects(F.col("a"), F.lit(""), rules.ALL_DEFECTS), a=x) for x in bad} == bad
+
+
+def test_danish_outcomes_finds_every_kind_of_defect(spark, tmp_path):
+    from docketry.plans.queries import QUERIES
+
+    rows = [(1, "Varmepumpen og et utæt vindue"), (2, "Sag 7\nHussvamp i bjælkelaget"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.defects for r in QUERIES["danish_outcomes"](spark, str(tmp_path)).collect()}
+    assert got == {1: "Installationer,Vinduer/døre", 2: "Råd/svamp/insekt,Konstruktion/bærende", 3: "Andet"}
+
+
 def test_facets(spark):
     df = spark.createDataFrame([(1, 2019, ["a"], "x"), (2, None, ["b"], "y"), (3, 2021, [], "x")], "i int, y int, l array<string>, v string")
     assert filters.facets(F.col("y")) is None
