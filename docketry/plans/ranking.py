@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docketry.functions.snowball_da import stemmed
 from docketry.functions.text import squeezed, title, tokens
 from docketry.operators import index as ix
+from docketry.operators import paragraphs as pg
 from docketry.operators import rank as rk
 from docketry.operators.passages import key_sections_of
 from docketry.plans.queries import query, table
@@ -156,6 +157,18 @@ def candidate_local_bm25(spark, sf_dir):
     return rk.top(scored, 10)
 
 
+@query()
+def paragraph_bm25_topk(spark, sf_dir):
+    """The thirty best paragraphs of all documents for each item."""
+    return pg.hits(table(spark, sf_dir, "documents"), items(spark, sf_dir))
+
+
+@query()
+def paragraph_refined_topk(spark, sf_dir):
+    """BM25's list refined by the candidates' paragraphs; every item counts as a search for its exact words."""
+    return pg.refined(rk.top(bm25(spark, sf_dir), 20), table(spark, sf_dir, "documents"), items(spark, sf_dir))
+
+
 @query(f"WITH {_BM25}, cand AS {_ranked('bm25', 30)}, boosted AS (SELECT query, doc, round_even((1.0e0 / (20 + rank) + least(matched, 10) * 0.004e0) * 1e7, 0)::BIGINT AS score FROM cand) SELECT query, doc, score, rank FROM {_ranked('boosted', 20)}")
 def metadata_boost(spark, sf_dir):
     cand = rk.top(bm25(spark, sf_dir), 30)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docketry.functions import dates, rules, vectors
 from docketry.functions import text as tx
 from docketry.functions.snowball_da import stem, stems
-from docketry.operators import evaluate, filters, index, ordered, passages, rank
+from docketry.operators import evaluate, filters, index, ordered, paragraphs, passages, rank
 
 
 def one(spark, column, **values):
@@ -123,6 +123,57 @@ def test_tfidf_of_runs_of_stems(spark, most):
     assert most == 1 or any(" " in r.term for r in index.tfidf(built)[1].collect())
 
 
+def _paragraph_bm25(docs, query):
+    """(score, place in docs, section, paragraph) of the paragraphs that hold a query term, best first, by brute force."""
+    import math
+
+    units = [(d, s, i, re.findall("[a-zæøå0-9]+", f"{t} {p}".lower())) for d, text in enumerate(docs) for s, (t, ps) in enumerate(passages.sections(text)) for i, p in enumerate(x for x in ps if len(x) >= 20)]
+    mean, terms, out = sum(len(u[3]) for u in units) / len(units), list(dict.fromkeys(re.findall("[a-zæøå0-9]+", query.lower()))), []
+    for d, s, i, w in units:
+        score, matched = 0.0, 0
+        for t in terms:
+            if tf := w.count(t):
+                df, matched = sum(t in u[3] for u in units), matched + 1
+                score += math.log(1 + (len(units) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean))
+        if matched:
+            out.append((score * (1 + min(0.5, 0.08 * (matched - 1))), d, s, i))
+    return sorted(out, key=lambda x: (-x[0], *x[1:]))
+
+
+def _paragraph_docs(seed, n):
+    r = random.Random(seed)
+    return ["\n\n".join(("## Skimmel " + r.choice("ab") if r.random() < 0.3 else " ".join(r.choice("skimmel loft tag utæt rør gulv kælder fugt".split()) for _ in range(r.randint(1, 25)))) for _ in range(r.randint(0, 9))) for _ in range(n)]
+
+
+def test_paragraph_bm25_over_all_texts(spark):
+    docs = [*_paragraph_docs(1, 12), None]
+    terms = index.query_terms(spark.createDataFrame([(1, "skimmel på loft"), (2, "utæt tag, utæt rør"), (3, "findes ej")], "query_id int, text string"))
+    got = paragraphs.hits(spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string"), terms, 15).orderBy("query", "rank").collect()
+    for q, said in ((1, "skimmel på loft"), (2, "utæt tag, utæt rør")):
+        want = _paragraph_bm25(docs, said)[:15]
+        assert [(r.doc, r.section, r.paragraph, r.rank) for r in got if r.query == q] == [(*x[1:], i + 1) for i, x in enumerate(want)]
+        assert [r.score / index.SCALE for r in got if r.query == q] == pytest.approx([x[0] for x in want], abs=1e-5)
+    assert {r.query for r in got} == {1, 2}
+
+
+def test_refinement_by_the_paragraphs_of_the_candidates_alone(spark):
+    docs, base, said = _paragraph_docs(2, 30), [17, 3, 8, 21, 5, 11], "utæt tag i kælder"
+    found = _paragraph_bm25([docs[d] for d in base], said)[: max(40, 3 * len(base))]
+    points = {}
+    for rank, (score, d, *_) in enumerate(found, 1):
+        points.setdefault(d, []).append((1 / (20 + rank), score))
+    total = {base[d]: sum(a + 0.001 * s for a, s in x[:3]) for d, x in points.items()}
+    order = sorted(total, key=lambda d: (-total[d], d))
+    fused = {d: 1 / (21 + i) + (2 / (21 + order.index(d)) if d in order else 0) for i, d in enumerate(base)}
+    lists = spark.createDataFrame([(q, d, i) for q in (1, 2) for i, d in enumerate(base)], "query int, doc int, rank int")
+    terms = index.query_terms(spark.createDataFrame([(1, said), (2, said)], "query_id int, text string"))
+    texts = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    got = paragraphs.refined(lists, texts, terms, exact=spark.createDataFrame([(1,)], "query int"), final=5).orderBy("query", "rank").collect()
+    want = sorted(fused, key=lambda d: (-fused[d], d))[:5]
+    assert [r.doc for r in got if r.query == 1] == want != base[:5]
+    assert [r.doc for r in got if r.query == 2] == base[:5]
+
+
 def test_fusion(spark):
     lists = [spark.createDataFrame([(1, d, i) for i, d in enumerate(x)], "query int, doc string, rank int") for x in (["b", "c"], ["a", "b"])]
     assert [r.doc for r in rank.top(rank.fuse(lists), 9).orderBy("rank").collect()] == ["b", "a", "c"]
