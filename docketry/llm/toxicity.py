@@ -75,17 +75,47 @@ class Logistic:
         return np.bincount(row, self.w[col], len(extra)) + extra @ self.v + self.bias
 
 
-def _select(row: np.ndarray, name: np.ndarray, y: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The features with the largest chi-squared, sorted; ties by value."""
-    every, at = np.unique(name, return_inverse=True)
-    n, pos = len(y), y.sum()
-    df, hit = np.bincount(at, minlength=len(every)), np.bincount(at, y[row], len(every))
+#: Entries of a sample looked at together, which bounds what lies beside the sample itself.
+_BLOCK = 1 << 18
+
+
+def _coded(row: np.ndarray, name: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features in ``least`` rows or more, sorted, and (row, place of the feature) of their entries; a part of the rows
+    can't hold another feature often enough."""
+    every, often = np.unique(name, return_counts=True)
+    every = every[often >= least]
+    rows_, codes = [], []
+    for lo in range(0, len(name), _BLOCK):
+        part = name[lo : lo + _BLOCK]
+        hit = member(part, every)
+        rows_.append(row[lo : lo + _BLOCK][hit].astype(np.int32))
+        codes.append(np.searchsorted(every, part[hit]).astype(np.int32))
+    return every.astype(np.uint64), np.concatenate([*rows_, np.zeros(0, np.int32)]), np.concatenate([*codes, np.zeros(0, np.int32)])
+
+
+def _select(row: np.ndarray, code: np.ndarray, size: int, y: np.ndarray, use: np.ndarray, most: int, least: int) -> np.ndarray:
+    """The places of the features with the largest chi-squared in the rows to use, sorted; ties by place."""
+    df, hit = np.zeros(size, np.int64), np.zeros(size)
+    for lo in range(0, len(row), _BLOCK):
+        r, c = row[lo : lo + _BLOCK], code[lo : lo + _BLOCK]
+        own = use[r]
+        df += np.bincount(c[own], minlength=size)
+        hit += np.bincount(c[own], y[r[own]], size)
+    n, pos = int(use.sum()), y[use].sum()
     keep = np.flatnonzero((df >= least) & (df < n))
     if not 0 < pos < n or not len(keep):
-        return every[:0]
+        return keep[:0]
     df, hit = df[keep], hit[keep]
     chi = n * (hit * n - df * pos) ** 2 / (df * (n - df) * pos * (n - pos))
-    return np.sort(every[keep[np.lexsort((every[keep], -chi))[:most]]])
+    return np.sort(keep[np.lexsort((keep, -chi))[:most]])
+
+
+def _chosen(row: np.ndarray, code: np.ndarray, size: int, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place among the kept) of the entries that are kept."""
+    place = np.full(size, -1, np.int64)
+    place[kept] = np.arange(len(kept))
+    at = np.concatenate([*(lo + np.flatnonzero(place[code[lo : lo + _BLOCK]] >= 0) for lo in range(0, len(code), _BLOCK)), np.zeros(0, np.int64)])
+    return row[at].astype(np.int64), place[code[at]]
 
 
 def _columns(row: np.ndarray, name: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,23 +131,24 @@ class Chain:
 
     def fit(self, row: np.ndarray, name: np.ndarray, labels: np.ndarray, fold: np.ndarray, most: int, least: int) -> Chain:
         n = len(labels)
-        extra = np.zeros((n, 0))
+        every, row, code = _coded(row, name, least)
+        del name
+        size, extra, whole = len(every), np.zeros((n, 0)), np.ones(n, bool)
         for i in range(len(self.categories)):
             y = labels[:, i].astype(float)
-            names = _select(row, name, y, most, least)
-            r, c = _columns(row, name, names)
-            self.models[i] = Logistic(names, i).fit(r, c, extra, y)
+            kept = _select(row, code, size, y, whole, most, least)
+            r, c = _chosen(row, code, size, kept)
+            self.models[i] = Logistic(every[kept], i).fit(r, c, extra, y)
             if i + 1 < len(self.categories):
                 held = np.zeros(n)
                 for f in np.unique(fold):
                     # What is selected, too, comes from the other folds.
                     inside = fold != f
                     at = np.cumsum(inside) - 1
-                    own = inside[row]
-                    mine = _select(at[row[own]], name[own], y[inside], most, least)
-                    r, c = _columns(row, name, mine)
+                    mine = _select(row, code, size, y, inside, most, least)
+                    r, c = _chosen(row, code, size, mine)
                     own = inside[r]
-                    model = Logistic(mine, i).fit(at[r[own]], c[own], extra[inside], y[inside])
+                    model = Logistic(every[mine], i).fit(at[r[own]], c[own], extra[inside], y[inside])
                     held[~inside] = model.odds(r, c, extra)[~inside]
                 extra = np.column_stack([extra, held])
         return self
@@ -135,7 +166,7 @@ def _unique(doc: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF)
 
 
-def learn(df: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", sample_rows: int = 8_000, most: int = 2_048, least: int = 4, folds: int = 4) -> Chain:
+def learn(df: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", sample_rows: int = 12_000, most: int = 2_048, least: int = 4, folds: int = 4) -> Chain:
     """A chain of the categories, each given by a condition over columns of labels, in that order."""
     named = list(categories)
     truth = labels.select(F.col(key).alias("__key"), *(c.cast("int").alias(f"__y{i}") for i, c in enumerate(categories.values()))).dropna()
@@ -158,11 +189,11 @@ def learn(df: DataFrame, labels: DataFrame, categories: dict[str, Column], key:
     texts = df.select(F.col(key).alias("__key"), utf8(text).alias("__text")).join(F.broadcast(sample), "__key")
     got = texts.select("__key", *(f"__y{i}" for i in range(len(named))), "__text").mapInArrow(extract, f"__key {df.schema[key].dataType.simpleString()}, {answers}, __features binary").toArrow().to_pydict()
     order = sorted(range(len(got["__key"])), key=lambda i: (got["__key"][i], got["__features"][i]))
-    sets = [np.frombuffer(got["__features"][i], np.uint32) for i in order]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    name = np.concatenate([*sets, np.zeros(0, np.uint32)]).astype(np.uint64)
     y = np.array([[got[f"__y{k}"][i] for k in range(len(named))] for i in order]).reshape(-1, len(named))
-    return Chain(named).fit(row, name, y, np.arange(len(sets)) % folds, most, least)
+    sets = [np.frombuffer(got["__features"][i], np.uint32) for i in order]
+    row, name = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets]), np.concatenate([*sets, np.zeros(0, np.uint32)])
+    del got, sets
+    return Chain(named).fit(row, name, y, np.arange(len(y)) % folds, most, least)
 
 
 def score(df: DataFrame, chain: Chain, keep: list[str], text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -322,6 +322,30 @@ def test_op6_later_models_get_out_of_fold_odds():
     assert chain.models[1].v.shape == (1,) and abs(chain.models[1].v[0]) < 1.0
 
 
+def test_op6_learns_from_12000_rows_in_little_memory():
+    import inspect
+    import tracemalloc
+
+    assert inspect.signature(toxicity.learn).parameters["sample_rows"].default == 12_000
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.zipf(1.3, 300).clip(0, 200_000)).astype(np.uint32) for _ in range(4_000)]
+    row, name = np.repeat(np.arange(4_000), [len(x) for x in sets]), np.concatenate(sets)
+    labels = np.column_stack([r.random(4_000) < 0.3, [len(x) % 3 == 0 for x in sets]]).astype(int)
+    tracemalloc.start()
+    chain = toxicity.Chain(["a", "b"]).fit(row, name, labels, np.arange(4_000) % 4, 2_048, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35 * len(name)
+    # What is selected is what whole sums over all entries select.
+    for i, model in enumerate(chain.models):
+        y = labels[:, i].astype(float)
+        df, hit = np.bincount(name), np.bincount(name, y[row])
+        keep = np.flatnonzero((df >= 4) & (df < 4_000))
+        d, h, n, pos = df[keep], hit[keep], 4_000, y.sum()
+        chi = n * (h * n - d * pos) ** 2 / (d * (n - d) * pos * (n - pos))
+        assert model.names.tolist() == np.sort(keep[np.lexsort((keep, -chi))[:2_048]]).tolist()
+
+
 # op7
 
 
