@@ -536,6 +536,106 @@ def test_pipeline_stages(spark):
     assert seen == sorted(seen, reverse=True) and seen[-1] == seen[-2] > 0 and seen[2] < seen[1]
 
 
+def _pipeline_rows():
+    """(doc_id, text, toxic): copies, near copies, shared passages, benchmark text, toxic text, null ids and texts."""
+    r = random.Random(11)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    base, passage, item = [say(r.randint(20, 300)) for _ in range(60)], say(70), say(16)
+    rows = [(i, t, 0) for i, t in enumerate(base)]
+    rows += [(100 + i, t, 0) for i, t in enumerate(base[:6])]  # copies
+    rows += [(110 + i, " ".join([*t.split()[:-1], "other"]), 0) for i, t in enumerate(base[:20])]  # near copies
+    rows += [(130 + i, f"{say(150)} {passage}\n{say(90)}", 0) for i in range(5)] + [(-7, f"{say(20)} {passage[: len(passage) // 2]}", 0)]
+    rows += [(140, f"{say(30)} {item.upper()} {say(20)}", 0), (141, f"{say(900)} {item} {say(100)}", 0), (142, item, 0)]
+    rows += [(150 + i, f"{say(40)} vile hateful {say(40)}", 1) for i in range(20)] + [(170, None, 0), (171, "", 0), (172, " \n", 0)]
+    rows += [(None, base[7], 0), (None, f"{say(60)} {passage}", 0), (None, f"{say(30)} vile hateful {say(10)}", 1), (None, item, 0), (None, None, 0)]
+    r.shuffle(rows)
+    return rows, item
+
+
+def _pipeline_tables(spark, folder, rows, item):
+    docs = frame(spark, [(i, t, "en", "s", len(t or "")) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("component_id", "fp", "begins", "same"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    frame(spark, [(i, 1, x) for i, _, x in rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    frame(spark, [("b1", item), ("b2", None)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return docs
+
+
+def _brute_near(docs):
+    import xxhash
+
+    def fp(text):
+        w = (text or "").encode().lower().split()
+        grams = [b" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+        h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = [fp(t) for _, t in docs]
+    group = brute_components(fps)
+    least = {}
+    for (i, _), x in zip(docs, fps, strict=True):
+        if i is not None:
+            least[group[x]] = min(i, least.get(group[x], i))
+    return [(i, t) for (i, t), x in zip(docs, fps, strict=True) if i is None or least[group[x]] == i]
+
+
+def _brute_clean_of(docs, item):
+    find = lambda t: ALNUM.findall(lower(t))
+    known, out = find(item), []
+    windows = {tuple(known[k : k + 13]) for k in range(len(known) - 12)}
+    for i, t in docs:
+        w = find(t)
+        hit = {j for k in range(len(w) - 12) if tuple(w[k : k + 13]) in windows for j in range(k, k + 13)}
+        if not hit or 20 * len(hit) < len(w):
+            out.append((i, t))
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows, item = _pipeline_rows()
+    df = _pipeline_tables(spark, str(tmp_path), rows, item)
+    stages, pairs = dict(cp.STAGES), lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=key)
+    run = lambda name, d: frames.written(stages[name](spark, d, str(tmp_path)), name)
+    said = lambda t: hashlib.sha256(b" ".join(PLAIN.findall((t or "").encode()))).hexdigest()
+
+    df = run("toxicity", df)
+    want = [(i, t) for i, t, toxic in rows if not toxic]
+    assert pairs(df) == sorted(want, key=key)
+
+    df = run("near_duplicates", df)
+    near, before = _brute_near(want), len(want)
+    assert pairs(df) == sorted(near, key=key) and 5 < before - len(near) < 30
+
+    df = run("substring_dedup", df)
+    cut = brute_repeats(near, 50)
+    got = df.collect()
+    assert sorted(((r.doc_id, said(r.text)) for r in got), key=key) == sorted(((i, h) for i, _, _, h in cut), key=key)
+    assert sum(n > 0 for _, _, n, _ in cut) >= 4 and all(r.n_chars == (len(r.text) if r.text is not None else None) for r in got)
+
+    left = pairs(df)
+    df = run("decontamination", df)
+    clean = _brute_clean_of(left, item)
+    assert pairs(df) == sorted(clean, key=key) and 0 < len(left) - len(clean) <= 3
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer())
+    got = sorted(((r.doc_id, list(r.ids), r.decoded) for r in run("encoding", df).collect()), key=key)
+    assert got == sorted(((i, ids := sp.encode(t or ""), sp.decode(ids)) for i, t in clean), key=key)
+
+
+def test_pipeline_stages_of_nothing(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    df = _pipeline_tables(spark, str(tmp_path), [], "a b")
+    for name, stage in cp.STAGES:
+        df = frames.written(stage(spark, df, str(tmp_path)), name)
+        assert df.count() == 0
+
+
 def test_sql_of_queries(spark):
     from compare import database, same_rows
 
