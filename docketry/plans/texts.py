@@ -204,6 +204,13 @@ def query_planner(spark, sf_dir):
     return w.select("conv_id", "turn", F.array_join(rules.planned_terms(F.col("w"), _CONCEPTS), ",").alias("added"))
 
 
+@query()
+def query_planner_turns(spark, sf_dir):
+    """Terms that concepts add to a turn, by all its words; a turn of more words than the planner takes adds none."""
+    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    return w.select("conv_id", "turn", F.array_join(rules.planned_terms(F.col("w"), _CONCEPTS), ",").alias("added"))
+
+
 def _pii() -> str:
     cases = ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{k}' END" for k, p in tx.PERSONAL.items())
     return f"SELECT doc_id, array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',') AS kinds FROM documents"

@@ -219,6 +219,19 @@ def test_danish_outcomes_finds_every_kind_of_defect(spark, tmp_path):
     assert got == {1: "Installationer,Vinduer/døre", 2: "Råd/svamp/insekt,Konstruktion/bærende", 3: "Andet"}
 
 
+def test_query_planner_sees_whole_turns(spark, tmp_path):
+    from docketry.plans.queries import QUERIES
+
+    turns = [(1, 0, "one two three the"), (1, 1, "one two three four five the"), (1, 2, "der the"), (1, 3, None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    cut, whole = ({r.turn: r.added for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("query_planner", "query_planner_turns"))
+    assert whole == {0: "thing,of the,that", 1: "", 2: "thing,of the,that,und,haus", 3: ""} == cut
+    long = [(2, 0, "the two three four five six")]
+    spark.createDataFrame(long, "conv_id long, turn int, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.added for r in QUERIES["query_planner"](spark, str(tmp_path)).collect()] == ["thing,of the,that"]
+    assert [r.added for r in QUERIES["query_planner_turns"](spark, str(tmp_path)).collect()] == [""]
+
+
 def test_facets(spark):
     df = spark.createDataFrame([(1, 2019, ["a"], "x"), (2, None, ["b"], "y"), (3, 2021, [], "x")], "i int, y int, l array<string>, v string")
     assert filters.facets(F.col("y")) is None
