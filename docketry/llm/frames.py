@@ -64,3 +64,16 @@ def rows(batch: pa.RecordBatch, name: str) -> pa.Array:
 def typed(df: DataFrame, **kinds: str) -> DataFrame:
     """df with the named columns as Spark types."""
     return df.withColumns({name: F.col(name).cast(T._parse_datatype_string(kind)) for name, kind in kinds.items()})
+
+
+#: A key with more than this share of all rows is hot; there are at most so many.
+HOT_KEYS = 10_000
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, n: str) -> DataFrame:
+    """many joined with one, which has a row for each key of many at most and in column n how many rows of many have it.
+    Keys with more than 1 / HOT_KEYS of all rows, which are fewer than HOT_KEYS, are broadcast, the others shuffled."""
+    total = one.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT_KEYS > total
+    some = F.broadcast(one.where(hot).drop(n))
+    return many.join(some, key).unionByName(many.join(some.select(key), key, "left_anti").join(one.where(~hot).drop(n), key))

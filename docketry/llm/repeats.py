@@ -75,13 +75,12 @@ class Windows:
 
     def passages(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         """A hash of each passage's words."""
-        from docketry.llm.words import _power, mix
+        import xxhash
 
-        up, down = _power("word", len(self.w) + 1)
-        total = np.zeros(len(self.w) + 1, np.uint64)
-        np.cumsum(self.h * up[: len(self.w)], out=total[1:])
-        size = count + self.window - 1
-        return mix((total[first + size] - total[first]) * down[first] + size.astype(np.uint64))
+        raw, size = self.h.tobytes(), 8 * (count + self.window - 1)
+        lo = 8 * first
+        digest = xxhash.xxh3_64_intdigest
+        return np.array([digest(raw[a:b]) for a, b in zip(lo.tolist(), (lo + size).tolist(), strict=True)], np.uint64)
 
     @cached_property
     def whole(self) -> np.ndarray:

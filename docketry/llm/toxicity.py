@@ -25,24 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.frames import rows, utf8
-from docketry.llm.words import ALNUM, Words, member, mix, texts_of, words, _power, _VALUE_LOWER
+from docketry.llm.words import ALNUM, Octets, Words, member, texts_of, words
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of each word and its beginnings."""
     doc = np.repeat(np.arange(len(w.first) - 1), w.counts())
-    n = len(w.buf)
     if not len(w):
         return doc, np.zeros(0, np.uint64)
-    up, down = _power("byte", n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE_LOWER[w.buf] * up[:n], out=total[1:])
+    octets = Octets(w.buf, lower=True)
     found, docs = [], []
     for size in (0, 4, 5):
         long = np.ones(len(w), bool) if not size else w.ends - w.starts > size
         a = w.starts[long]
-        b = a + size if size else w.ends
-        found.append(mix((total[b] - total[a]) * down[a] + np.uint64(size)) >> np.uint64(32))
+        found.append(octets.hashes(a, a + size if size else w.ends, size) >> np.uint64(32))
         docs.append(doc[long])
     return np.concatenate(docs), np.concatenate(found)
 

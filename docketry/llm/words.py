@@ -1,9 +1,9 @@
 """Words of whole texts as numpy arrays, without a Python object for each word.
 
 A batch of texts is taken as one byte buffer. Words become (start, end) places in it; a word's hash
-is a polynomial over its bytes modulo 2**64, taken from prefix sums, then mixed. Hashes of k
-consecutive words come the same way from the words' hashes. Equal words have equal hashes in every
-process and on every machine.
+takes in eight bytes a round, each round mixed into the one before, so words of up to eight bytes and one length never share
+a hash. Hashes of k consecutive words are made of those of k / 2 words, and so on. Equal words have equal hashes in every
+process and on every machine; where a hash decides over a result, bytes are compared too.
 """
 
 from __future__ import annotations
@@ -25,27 +25,13 @@ _byte = np.arange(256)
 #: True for the bytes of words of ASCII letters, digits and all that isn't ASCII.
 ALNUM = ((_byte >= 0x30) & (_byte <= 0x39)) | ((_byte >= 0x41) & (_byte <= 0x5A)) | ((_byte >= 0x61) & (_byte <= 0x7A)) | (_byte >= 0x80)
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: The same with A-Z as a-z.
-_VALUE_LOWER = _VALUE.copy()
-_VALUE_LOWER[0x41:0x5B] = _VALUE[0x61:0x7B]
-_BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD1342543DE82EF95}
-_powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    if kind not in _powers or len(_powers[kind][0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        base = _BASE[kind]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            out = np.full(size, b, np.uint64)
-            out[0] = 1
-            both.append(np.multiply.accumulate(out))
-        _powers[kind] = (both[0], both[1])
-    return _powers[kind]
+#: A-Z as a-z, other bytes as they are.
+_LOWER = _byte.astype(np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+#: The first 0 to 8 bytes of eight.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Rounds of eight bytes by numpy; what is longer is hashed word by word.
+ROUNDS = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,6 +44,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Octets:
+    """Eight bytes from any place of a buffer on, as one number."""
+
+    def __init__(self, buf: np.ndarray, lower: bool = False):
+        self.data = np.zeros(len(buf) + 8, np.uint8)
+        self.data[: len(buf)] = _LOWER[buf] if lower else buf
+        self.at = np.ndarray(len(buf) + 1, "<u8", self.data, strides=(1,))
+
+    def __call__(self, places: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next eight bytes; of fewer left, those."""
+        return self.at[places] & _FIRST[np.minimum(left, 8)]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each run of bytes."""
+        import xxhash
+
+        left = ends - starts
+        h = mix((left.astype(np.uint64) << np.uint64(8)) + np.uint64(seed + 1))
+        h = mix(h ^ self(starts, left))
+        some = np.flatnonzero(left > 8)
+        for done in range(1, ROUNDS):
+            if not len(some):
+                return h
+            h[some] = mix((h[some] + np.uint64(done)) ^ self(starts[some] + 8 * done, left[some] - 8 * done))
+            some = some[left[some] > 8 * done + 8]
+        for i in some.tolist():
+            h[i : i + 1] = mix(h[i : i + 1] ^ np.uint64(xxhash.xxh3_64_intdigest(self.data[starts[i] : ends[i]])))
+        return h
+
+    def same(self, a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Whether the runs of ``left`` bytes from a and from b on are equal."""
+        out = self(a, left) == self(b, left)
+        some, done = np.flatnonzero(out & (left > 8)), 8
+        while len(some):
+            if done >= 8 * ROUNDS:
+                for i in some.tolist():
+                    out[i] = np.array_equal(self.data[a[i] : a[i] + left[i]], self.data[b[i] : b[i] + left[i]])
+                break
+            same = self(a[some] + done, left[some] - done) == self(b[some] + done, left[some] - done)
+            out[some] = same
+            done += 8
+            some = some[same & (left[some] > done)]
+        return out
+
+
 @dataclass
 class Words:
     """The words of some texts. Text d has the words first[d] to first[d + 1]."""
@@ -78,11 +109,7 @@ class Words:
         """A 64-bit hash of each word."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        n = len(self.buf)
-        up, down = _power("byte", n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((_VALUE_LOWER if lower else _VALUE)[self.buf] * up[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        return Octets(self.buf, lower).hashes(self.starts, self.ends)
 
     def left(self, k: int) -> np.ndarray:
         """For each word, whether k words of the same text begin with it."""
@@ -93,15 +120,29 @@ class Words:
         return out
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    x = a ^ (a >> np.uint64(29))
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k words from each word on; 0 for the last k - 1. Texts aren't told apart here."""
     n = len(hashes)
     out = np.zeros(n, np.uint64)
     if n >= k:
-        up, down = _power("word", n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * up[:n], out=total[1:])
-        out[: n - k + 1] = mix((total[k:] - total[: n - k + 1]) * down[: n - k + 1] + np.uint64(k))
+        made, size, whole, span = None, 0, hashes, 1
+        while True:
+            if k & span:
+                made, size = (whole, span) if made is None else (_joined(made[: n - size - span + 1], whole[size:]), size + span)
+            if size == k:
+                break
+            whole, span = _joined(whole[:-span], whole[span:]), 2 * span
+        out[: n - k + 1] = mix(made + np.uint64(k))
     return out
 
 

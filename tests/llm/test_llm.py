@@ -665,3 +665,87 @@ def test_op2_shard_tells_words_of_one_letter_apart(monkeypatch, letters):
     inside = shard.spans(x, [i for i, _ in docs])
     got = {(i, int(inside[x.w.first[d] : x.w.first[d + 1]].sum())) for d, (i, _) in enumerate(docs)}
     assert got == {(i, gone) for i, _, gone, _ in brute_repeats(docs, 10)}
+
+
+def thue_morse(n):
+    """A text of n letters and its complement; polynomials over them are equal modulo 2**64 for any odd base."""
+    said = "a"
+    while len(said) < n:
+        said += said.translate(str.maketrans("ab", "ba"))
+    return said, said.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_mix_up_have_hashes_of_their_own():
+    for n in (1024, 4096):
+        raw = " ".join(thue_morse(n)).encode()
+        buf = np.frombuffer(raw, np.uint8)
+        w = wd.words(buf, np.array([0, len(buf)]), wd.PLAIN)
+        assert len(set(w.hashes(False).tolist())) == 2
+        letters = wd.words(np.frombuffer(" ".join(raw.decode().replace(" ", "")).encode(), np.uint8), np.array([0, 4 * n - 1]), wd.PLAIN).hashes(False)
+        g = wd.grams(letters, n)
+        assert g[0] != g[n]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 12, 13, 50])
+def test_grams_are_those_of_equal_words(k):
+    r = random.Random(k)
+    said = [r.randrange(2) for _ in range(400)]
+    g = wd.grams(np.array([11, 12], np.uint64)[said], k).tolist()
+    runs = [tuple(said[i : i + k]) for i in range(400 - k + 1)]
+    assert len(set(g[: len(runs)])) == len(set(runs)) and all(g[i] == g[runs.index(x)] for i, x in enumerate(runs)) and not any(g[len(runs) :])
+
+
+def test_same_bytes():
+    raw = b"abcdefgh12 abcdefgh12 abcdefgh13 " + b"x" * 1500 + b" " + b"x" * 1500 + b" " + b"x" * 1499 + b"y"
+    w = wd.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), wd.PLAIN)
+    left = w.ends - w.starts
+    a, b = np.array([0, 0, 3, 3]), np.array([1, 2, 4, 5])
+    assert wd.Octets(w.buf).same(w.starts[a], w.starts[b], left[a]).tolist() == [True, False, True, False]
+
+
+@pytest.mark.parametrize(("n", "bits", "most_share"), [(2016, 2, 0.01), (20_001, 3, 0.01), (20_000, 4, 0.02)])
+def test_op9_a_large_group_around_one_centre_is_not_searched_pair_by_pair(n, bits, most_share):
+    import tracemalloc
+
+    r = random.Random(n)
+    centre = r.getrandbits(64)
+    fps = set()
+    while len(fps) < n:
+        fps.add(centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, bits))))
+    fps = np.array(sorted(fps), np.uint64)
+    tracemalloc.start()
+    search = simhash.Search(simhash.GrayTree(fps), None, 4)
+    forest = search.run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(np.unique(forest.root)) == 1 and sum(len(i) for i, _ in forest.links) == n - 1
+    assert search.visited < most_share * n * (n - 1) / 2 and peak < 100e6
+    for i, j in forest.links:
+        assert (np.bitwise_count(fps[i] ^ fps[j]) <= 4).all()
+
+
+@pytest.mark.parametrize("n", [1, 10, 300_000_000, 10**12])
+def test_op9_fingerprints_that_are_near_agree_in_a_choice(n):
+    masks = simhash.choices(n, 4, 1 << 14)
+    r = random.Random(n)
+    for _ in range(2000):
+        off = sum(1 << b for b in r.sample(range(64), r.randint(0, 4)))
+        assert any(not off & m for m in masks)
+
+
+def test_op9_pieces_of_a_hot_group(spark):
+    r = random.Random(5)
+    centre = r.getrandbits(64)
+    fps = sorted({centre ^ (r.getrandbits(9) << 20) ^ (r.getrandbits(3) << 50) for _ in range(500)})
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    pairs = [(a & (2**64 - 1), b & (2**64 - 1)) for a, b in simhash.links(df, 1, 30).collect()]
+    root = {x: x for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {x: find(x) for x in fps} == brute_components(fps, 1)
