@@ -721,7 +721,7 @@ def test_op9_a_large_group_around_one_centre_is_not_searched_pair_by_pair(n, bit
     assert len(np.unique(forest.root)) == 1 and sum(len(i) for i, _ in forest.links) == n - 1
     assert search.visited < most_share * n * (n - 1) / 2 and peak < 100e6
     for i, j in forest.links:
-        assert (np.bitwise_count(fps[i] ^ fps[j]) <= 4).all()
+        assert (np.bitwise_count(search.every[i] ^ search.every[j]) <= 4).all()
 
 
 @pytest.mark.parametrize("n", [1, 10, 300_000_000, 10**12])
