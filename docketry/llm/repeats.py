@@ -9,14 +9,17 @@ words also start in a text of a smaller key; windows are those of the input.
 2. Confirmation: a phrase that all its texts hold within one and the same passage recurs with the whole passage, first
    in the least key. Where passages of a phrase differ, the windows of each distinct passage are counted one by one.
    Both give the recurring windows and the first key of each.
-3. Automata: the phrases' words are read from the text with the least key that holds them, and compiled to
-   Aho-Corasick automata in shards, by that key. All texts that hold a recurring phrase as later ones are streamed through
-   the shards of their phrases (texts that hold none can't have a recurring window). Around each occurrence
-   the windows are looked up among the shard's recurring ones; those with a smaller first key are removed.
-
-A shard's texts are dealt over several tasks if they are many (``task_docs``), each with the shard's automaton. No step
-gathers a phrase's texts in one task: counts are partial aggregates of fixed size. Windows are told apart by
-64-bit hashes.
+3. Passages: the runs of words that recurring windows cover are cut out of the text with the first key, and dealt to
+   shards by the least key that holds their phrase.
+4. Automata: a shard's phrases are compiled to an Aho-Corasick automaton. All texts that hold a recurring phrase as later
+   ones stream through the shards of their phrases (texts that hold none can't have a recurring window). Only
+   windows whose phrase the automaton has located within them go on: a window's hash names the place in the shard's
+   passages that it may equal, and from there the words are compared one by one along the text. Runs that are equal
+   and whose passage has a smaller key are removed.
+
+A shard's texts are dealt over several tasks by their bytes (``task_bytes``), each with the shard's automaton. No step
+gathers a phrase's texts in one task: counts are partial aggregates of fixed size, and phrases that many texts hold are
+joined by broadcast. Hashes only suggest; the words decide over what is removed.
 
 Null and empty texts, and texts below a window, lose nothing. Rows with a null key lose nothing and remove nothing
 elsewhere. Rows of equal keys don't remove from one another. Columns that clash with result columns are replaced;
@@ -35,8 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.frames import lists, rows, utf8, written
-from docketry.llm.words import PLAIN, Words, covered, grams, member, texts_of, window_minima, words
+from docketry.llm.frames import hot_join, lists, rows, utf8, written
+from docketry.llm.words import NOTHING, PLAIN, Words, covered, grams, member, sliding_min, texts_of, window_minima, words
 
 _FLIP = np.uint64(1 << 63)
 #: Letters of a shard's automaton.
@@ -101,6 +104,11 @@ class Windows:
     def raw(self) -> bytes:
         return self.w.buf.tobytes()
 
+    def raw_words(self) -> list[bytes]:
+        """All words, text after text."""
+        offsets = self.w.offsets.tolist()
+        return [w for a, b in zip(offsets[:-1], offsets[1:], strict=True) for w in self.raw[a:b].split()]
+
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.w.first, at, "right") - 1
 
@@ -115,9 +123,10 @@ def _anchors(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
                 passage = x.passages(first, count)
                 doc = x.doc_of(first)
                 one = _distinct(doc, passage)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(x.phrase[first[one]])), pa.array(_signed(passage[one])), ids.take(pa.array(lo + doc[one]))], names=["phrase", "passage", "id"])
+                size = pa.array(np.diff(offsets)[doc[one]].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(x.phrase[first[one]])), pa.array(_signed(passage[one])), ids.take(pa.array(lo + doc[one])), size], names=["phrase", "passage", "id", "size"])
 
-    return docs.mapInArrow(run, f"phrase long, passage long, id {kind}")
+    return docs.mapInArrow(run, f"phrase long, passage long, id {kind}, size long")
 
 
 def _distinct(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -159,75 +168,113 @@ def _single_windows(docs: DataFrame, kind: str, window: int, gram: int) -> DataF
     return docs.mapInArrow(run, f"phrase long, whole long, id {kind}, last {kind}, least {kind}")
 
 
+def _passages(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
+    """For each text and each entry of wanted (shard, phrases, wholes) the runs of words that its windows of those
+    phrases, and its windows of those hashes, cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, wanted = rows(batch, "id"), rows(batch, "wanted").to_pylist()
+            for lo, hi, buf, offsets in texts_of(rows(batch, "said")):
+                x = Windows(buf, offsets, window, gram)
+                shards, owner, said = [], [], []
+                for d in range(hi - lo):
+                    a, b = int(x.w.first[d]), int(x.w.first[d + 1])
+                    for part in wanted[lo + d]:
+                        phrases, wholes = (np.array(sorted(part[c] or ()), np.int64) for c in ("phrases", "wholes"))
+                        mine = np.flatnonzero(x.there[a:b] & (member(x.named[a:b], phrases) | member(x.whole[a:b], wholes)))
+                        inside = covered(mine, window, b - a)
+                        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+                        for i, j in zip((a + edges[::2]).tolist(), (a + edges[1::2]).tolist(), strict=True):
+                            shards.append(part["shard"])
+                            owner.append(lo + d)
+                            said.append(b" ".join(x.raw[x.w.starts[i] : x.w.ends[j - 1]].split()))
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), ids.take(pa.array(owner, pa.int64())), pa.array(said, pa.binary())], names=["shard", "id", "said"])
+
+    return docs.mapInArrow(run, f"shard int, id {kind}, said binary")
+
+
 class Shard:
-    """Recurring windows with their first keys, and an automaton of the phrases they are filed under."""
+    """Passages with their keys, and an automaton of the phrases that their windows are filed under."""
 
     def __init__(self, window: int, gram: int):
         self.window, self.gram = window, gram
-        self.known: list[np.ndarray] = []
-        self.owner: list[np.ndarray] = []
-        self.letters: dict[bytes, str] = {}
-        self.phrases: dict[str, list[int]] = {}
+        self.codes: dict[bytes, int] = {}
+        #: Words of the passages, one passage after the other; the windows' hashes, places and keys.
+        self.words: list[np.ndarray] = []
+        self.size = 0
+        self.windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.phrases: dict[int, str] = {}
         self.automaton = None
 
-    def windows(self, whole: np.ndarray, owner: np.ndarray) -> None:
-        self.known.append(whole)
-        self.owner.append(owner)
-
-    def read(self, x: Windows, d: int, key: int, wanted: list[tuple[int, bool]]) -> None:
-        """Takes phrases from text d, which has the least key; whole: the phrase's passage recurs whole."""
-        a, b = int(x.w.first[d]), int(x.w.first[d + 1])
-        names = np.array(sorted(p for p, _ in wanted), np.int64)
-        mine = np.flatnonzero(x.there[a:b] & member(x.named[a:b], names)) + a
-        if not len(mine):
-            return
-        phrase = x.named[mine]
-        alone = member(phrase, np.array(sorted(p for p, whole in wanted if whole), np.int64))
-        whole = x.whole[mine[alone]]
-        self.windows(whole, np.full(len(whole), key))
-        _, one = np.unique(phrase, return_index=True)
-        for k in one.tolist():
-            at = int(mine[k]) + int(np.flatnonzero(x.small[mine[k] : mine[k] + self.window] == phrase[k])[0])
-            said = [x.raw[x.w.starts[i] : x.w.ends[i]] for i in range(at, at + self.gram)]
-            self.phrases.setdefault("".join([self._letter(w) for w in said]), []).append(int(phrase[k]))
-
-    def _letter(self, word: bytes) -> str:
-        """Words of phrases are dealt to LETTERS letters: the automaton looks a node's letters through one by one, so
-        there must be few. Words that share one are told apart when windows are looked up."""
-        if (got := self.letters.get(word)) is None:
-            got = self.letters[word] = chr(1 + len(self.letters) % LETTERS)
-        return got
+    def _letters(self, codes: np.ndarray) -> str:
+        """Words are dealt to LETTERS letters: the automaton looks a node's letters through one by one, so there must be
+        few. Words that share one are told apart when words are compared. Unknown words have a letter of no phrase."""
+        return np.where(codes > 0, 1 + (codes - 1) % LETTERS, 0).astype(np.uint8).tobytes().decode("latin-1")
+
+    def read(self, x: Windows, keys: list[int]) -> None:
+        """Takes passages, given as texts, with their keys."""
+        codes = np.array([self.codes.setdefault(w, len(self.codes) + 1) for w in x.raw_words()], np.int32)
+        at = np.flatnonzero(x.there)
+        self.windows.append((x.whole[at], at + self.size, np.array(keys, np.int64)[x.doc_of(at)]))
+        self.words.append(codes)
+        self.size += len(codes)
+        name, one = np.unique(x.named[at], return_index=True)
+        for phrase, k in zip(name.tolist(), at[one].tolist(), strict=True):
+            if phrase not in self.phrases:
+                i = k + int(np.flatnonzero(x.small[k : k + self.window] == phrase)[0])
+                self.phrases[phrase] = self._letters(codes[i : i + self.gram])
 
     def compile(self) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        for said, names in self.phrases.items():
-            self.automaton.add_word(said, names)
+        for said in set(self.phrases.values()):
+            self.automaton.add_word(said, True)
         if self.phrases:
             self.automaton.make_automaton()
-        whole = np.concatenate([*self.known, np.zeros(0, np.int64)])
-        owner = np.concatenate([*self.owner, np.zeros(0, np.int64)])
-        order = np.lexsort((owner, whole))
-        self.sorted, self.first = whole[order], owner[order]
+        self.names = np.array(sorted(self.phrases), np.int64)
+        whole, place, key = (np.concatenate([*(w[k] for w in self.windows), np.zeros(0, np.int64)]) for k in range(3))
+        order = np.lexsort((key, whole))
+        self.whole, self.place, self.key = whole[order], place[order], key[order]
+        self.said = np.concatenate([*self.words, np.zeros(0, np.int32)])
+        self.words, self.windows = [], []
+
+    def located(self, x: Windows, codes: np.ndarray) -> np.ndarray:
+        """Where the automaton finds phrases: their hashes as they are in x, NOTHING elsewhere."""
+        out = np.full(len(x.w), NOTHING)
+        ends: list[int] = []
+        for a, b in zip(x.w.first[:-1].tolist(), x.w.first[1:].tolist(), strict=True):
+            if b - a >= self.window:
+                ends += [a + e for e, _ in self.automaton.iter(self._letters(codes[a:b]))]
+        at = np.array(ends, np.int64) - (self.gram - 1)
+        at = at[member(x.small[at], self.names)]
+        out[at] = _unsigned(x.small[at])
+        return out
 
     def spans(self, x: Windows, keys: list[int]) -> np.ndarray:
         """Which words of the texts of x are in removed windows."""
-        get = self.letters.get
-        found: list[np.ndarray] = []
-        if not len(self.sorted) or not self.phrases:
-            return np.zeros(len(x.w), bool)
-        for d, key in enumerate(keys):
-            a, b = int(x.w.first[d]), int(x.w.first[d + 1])
-            line = "".join([get(w, "\0") for w in x.raw[x.w.offsets[d] : x.w.offsets[d + 1]].split()])
-            hit = np.array(sorted({p for _, names in self.automaton.iter(line) for p in names}), np.int64)
-            if not len(hit):
-                continue
-            mine = np.flatnonzero(x.there[a:b] & member(x.named[a:b], hit)) + a
-            at = np.minimum(np.searchsorted(self.sorted, x.whole[mine]), len(self.sorted) - 1)
-            found.append(mine[(self.sorted[at] == x.whole[mine]) & (self.first[at] < key)])
-        starts = np.concatenate([*found, np.zeros(0, np.int64)])
-        return covered(starts, self.window, len(x.w))
+        none = np.zeros(len(x.w), bool)
+        if not len(self.whole) or not self.phrases or not len(x.w):
+            return none
+        get = self.codes.get
+        codes = np.array([get(w, 0) for w in x.raw_words()], np.int32)
+        at = np.flatnonzero(x.there & (sliding_min(self.located(x, codes), self.window - self.gram + 1) == x.phrase))
+        like = np.minimum(np.searchsorted(self.whole, x.whole[at]), len(self.whole) - 1)
+        hit = (self.whole[like] == x.whole[at]) & (self.key[like] < np.array(keys, np.int64)[x.doc_of(at)])
+        at, place = at[hit], self.place[like[hit]]
+        if not len(at):
+            return none
+        # Windows that go on side by side are compared together, a word once.
+        fresh = np.append(True, (np.diff(at) != 1) | (np.diff(place) != 1))
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.append(first, len(at))) + self.window - 1
+        begin = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(begin, size)
+        differs = np.append(0, np.cumsum(codes[np.repeat(at[first], size) + step] != self.said[np.repeat(place[first], size) + step]))
+        run = np.cumsum(fresh) - 1
+        here = begin[run] + at - at[first][run]
+        return covered(at[differs[here + self.window] == differs[here]], self.window, len(x.w))
 
 
 def _ranges(inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,8 +287,7 @@ def _ranges(inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _scan(stream: DataFrame, window: int, gram: int) -> DataFrame:
-    """Goes along rows sorted by shard, part and step: a shard's windows, the texts its phrases are read from, then
-    the texts to look through."""
+    """Goes along rows sorted by shard, part and step: a shard's passages, then the texts to look through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = None, None
@@ -255,44 +301,40 @@ def _scan(stream: DataFrame, window: int, gram: int) -> DataFrame:
                 some, step = batch.slice(lo, hi - lo), place[lo][2]
                 if place[lo][:2] != at:
                     at, shard = place[lo][:2], Shard(window, gram)
-                if step == 0:
-                    shard.windows(rows(some, "whole").to_numpy(zero_copy_only=False).astype(np.int64), rows(some, "id").to_numpy(zero_copy_only=False).astype(np.int64))
-                elif step == 1:
-                    ids, wanted = rows(some, "id").to_pylist(), rows(some, "wanted").to_pylist()
-                    for a, b, buf, offsets in texts_of(rows(some, "said")):
-                        x = Windows(buf, offsets, window, gram)
-                        for d in range(b - a):
-                            shard.read(x, d, ids[a + d], [(p["phrase"], p["alone"]) for p in wanted[a + d]])
-                else:
+                ids = rows(some, "id")
+                for a, b, buf, offsets in texts_of(rows(some, "said")):
+                    x = Windows(buf, offsets, window, gram)
+                    keys = ids.slice(a, b - a).to_pylist()
+                    if step == 0:
+                        shard.read(x, keys)
+                        continue
                     if shard.automaton is None:
                         shard.compile()
-                    ids = rows(some, "id")
-                    for a, b, buf, offsets in texts_of(rows(some, "said")):
-                        x = Windows(buf, offsets, window, gram)
-                        begins, ends, per = _ranges(shard.spans(x, ids.slice(a, b - a).to_pylist()), x.w.first)
-                        base = np.repeat(x.w.first[:-1], per)
-                        leads, alone = (rows(some, c).slice(a, b - a) for c in ("leads", "alone"))
-                        said = rows(some, "said").take(pa.array(np.arange(a, b), mask=~leads.to_numpy(zero_copy_only=False)))
-                        made = [ids.slice(a, b - a), rows(some, "same").slice(a, b - a), lists((begins - base).astype(np.int32), per), lists((ends - base).astype(np.int32), per), said]
-                        out = pa.RecordBatch.from_arrays(made, names=["id", "same", "begins", "ends", "said"])
-                        # Of a text in several shards one gives the text, whether or not it finds anything.
-                        yield out.filter(pc.or_(pa.array(per > 0), pc.and_not(leads, alone)))
+                    begins, ends, per = _ranges(shard.spans(x, keys), x.w.first)
+                    base = np.repeat(x.w.first[:-1], per)
+                    leads, alone = (rows(some, c).slice(a, b - a) for c in ("leads", "alone"))
+                    said = rows(some, "said").take(pa.array(np.arange(a, b), mask=~leads.to_numpy(zero_copy_only=False)))
+                    made = [ids.slice(a, b - a), rows(some, "same").slice(a, b - a), lists((begins - base).astype(np.int32), per), lists((ends - base).astype(np.int32), per), said]
+                    out = pa.RecordBatch.from_arrays(made, names=["id", "same", "begins", "ends", "said"])
+                    # Of a text in several shards one gives the text, whether or not it finds anything.
+                    yield out.filter(pc.or_(pa.array(per > 0), pc.and_not(leads, alone)))
                 lo = hi
 
     return stream.mapInArrow(run, f"id {stream.schema['id'].dataType.simpleString()}, same long, begins array<int>, ends array<int>, said binary")
 
 
-def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, gram: int = 12, shards: int | None = None, task_docs: int = 16_000) -> DataFrame:
+def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, gram: int = 12, shards: int | None = None, task_bytes: int = 32 << 20) -> DataFrame:
     """(id, same, begins, ends, said): runs of removed words (first, one past the last) of each text that loses any,
     possibly in several rows, one of which has the text; same is the XXH64 of the text. Keys are integers."""
     kind = df.schema[key].dataType.simpleString()
     docs = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("id"), utf8(F.col(f"`{text}`")).alias("said"))
     anchors = written(_anchors(docs, kind, window, gram), "anchors")
-    counted = anchors.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("last"), (F.min("passage") == F.max("passage")).alias("alone"))
-    again = written(anchors.join(counted.where("least < last").select("phrase", "least", "alone"), "phrase"), "recurring")
+    counted = anchors.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("last"), (F.min("passage") == F.max("passage")).alias("alone"), F.count(F.lit(1)).alias("n"))
+    counted = written(counted.where("least < last").select("phrase", "least", "alone", "n"), "counted")
+    again = written(hot_join(anchors, counted, "phrase", "n"), "recurring")
     if shards is None:
-        # An automaton of some 60,000 phrases: a hundred MB or so.
-        shards = max(1, -(-again.where("id = least").count() // 60_000))
+        # An automaton of some 40,000 phrases, and their passages: a hundred MB or so.
+        shards = max(1, -(-counted.count() // 40_000))
     shard = F.pmod(F.xxhash64("least"), F.lit(shards)).cast("int")
 
     # Passages of phrases that have several: their windows, one by one.
@@ -301,22 +343,25 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int
     single = _single_windows(docs.join(listed, "id"), kind, window, gram)
     single = single.groupBy("phrase", "whole").agg(F.min("id").alias("id"), F.max("last").alias("last"), F.min("least").alias("least")).where("id < last")
 
-    none = lambda *kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds]
-    flags = none(("leads", "boolean"), ("alone", "boolean"))
-    readers = again.where("id = least").groupBy("id").agg(F.collect_set(F.struct("phrase", "alone")).alias("wanted"), F.min("least").alias("least"))
-    readers = readers.select("id", "wanted", shard.alias("shard"))
-    routes = again.where("id > least").groupBy("id").agg(F.collect_set(shard).alias("shards"))
-    seekers = written(routes.select("id", F.explode("shards").alias("shard"), F.array_min("shards").alias("lead"), (F.size("shards") == 1).alias("alone")), "seekers")
-    # A shard's texts in parts of task_docs or so.
-    parts = seekers.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / task_docs).cast("int").alias("parts"))
+    # What each shard is to have of a text.
+    none = F.lit(None).cast("long")
+    owned = again.where(F.col("alone") & (F.col("id") == F.col("least"))).select("id", shard.alias("shard"), "phrase", none.alias("whole"))
+    owned = owned.unionByName(single.select("id", shard.alias("shard"), none.alias("phrase"), "whole"))
+    owned = owned.groupBy("id", "shard").agg(F.collect_set("phrase").alias("phrases"), F.collect_set("whole").alias("wholes"))
+    owned = owned.groupBy("id").agg(F.collect_list(F.struct("shard", "phrases", "wholes")).alias("wanted"))
+    passages = _passages(docs.join(owned, "id"), kind, window, gram)
+
+    routes = again.where("id > least").groupBy("id").agg(F.collect_set(shard).alias("shards"), F.max("size").alias("size"))
+    seekers = written(routes.select("id", "size", F.explode("shards").alias("shard"), F.array_min("shards").alias("lead"), (F.size("shards") == 1).alias("alone")), "seekers")
+    # A shard's texts in parts of task_bytes or so.
+    parts = written(seekers.groupBy("shard").agg(F.ceil(F.sum(F.col("size") + 64) / task_bytes).cast("int").alias("parts")), "parts")
     spread = parts.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    columns = ["shard", "part", "step", "id", "same", "said", "wanted", "whole", "leads", "alone"]
-    zero = single.select(shard.alias("shard"), "id", "whole").join(spread, "shard").select("shard", "part", F.lit(0).alias("step"), "id", *none(("same", "long"), ("said", "binary"), ("wanted", "array<struct<phrase:bigint,alone:boolean>>")), "whole", *flags)
-    one = docs.join(readers, "id").join(spread, "shard").select("shard", "part", F.lit(1).alias("step"), "id", *none(("same", "long")), "said", "wanted", *none(("whole", "long")), *flags)
+    zero = passages.join(spread, "shard").select("shard", "part", F.lit(0).alias("step"), "id", F.lit(None).cast("long").alias("same"), "said", *(F.lit(None).cast("boolean").alias(c) for c in ("leads", "alone")))
     seek = seekers.join(parts, "shard").select("id", "shard", (F.col("shard") == F.col("lead")).alias("leads"), "alone", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    two = docs.join(seek, "id").select("shard", "part", F.lit(2).alias("step"), "id", F.xxhash64("said").alias("same"), "said", *none(("wanted", "array<struct<phrase:bigint,alone:boolean>>"), ("whole", "long")), "leads", "alone")
-    stream = zero.select(*columns).unionByName(one.select(*columns)).unionByName(two.select(*columns))
-    return _scan(stream.repartition("shard", "part").sortWithinPartitions("shard", "part", "step"), window, gram)
+    one = docs.join(seek, "id").select("shard", "part", F.lit(1).alias("step"), "id", F.xxhash64("said").alias("same"), "said", "leads", "alone")
+    # Twice the parts, so that few tasks get two; a given number isn't coalesced.
+    tasks = 2 * (parts.agg(F.sum("parts")).first()[0] or 1)
+    return _scan(zero.unionByName(one).repartition(min(tasks, 16_384), "shard", "part").sortWithinPartitions("shard", "part", "step"), window, gram)
 
 
 RESULT = "n_words long, n_removed long, kept_sha256 string"

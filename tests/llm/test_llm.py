@@ -145,7 +145,7 @@ def repeating(seed):
     return docs
 
 
-@pytest.mark.parametrize(("window", "gram", "options"), [(10, 4, {}), (10, 4, {"task_docs": 7, "shards": 5}), (8, 1, {"task_docs": 10, "shards": 2})])
+@pytest.mark.parametrize(("window", "gram", "options"), [(10, 4, {}), (10, 4, {"task_bytes": 900, "shards": 5}), (8, 1, {"task_bytes": 2000, "shards": 2})])
 def test_op2(spark, window, gram, options):
     docs = repeating(window + gram)
     got = sorted((tuple(r) for r in repeats.kept_digests(frame(spark, docs).repartition(3), window=window, gram=gram, **options).collect()), key=key)
@@ -644,27 +644,43 @@ def test_sql_of_queries(spark):
         same_rows(queries.queries()[name](spark, "/root/testdata/sf0.001"), con, sql)
 
 
+def as_texts(texts, window, gram):
+    return repeats.Windows(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])), window, gram)
+
+
 @pytest.mark.parametrize("letters", [1, 2, 127])
 def test_op2_shard_tells_words_of_one_letter_apart(monkeypatch, letters):
     monkeypatch.setattr(repeats, "LETTERS", letters)
     docs = [(i, t) for i, t in repeating(11) if i is not None and i != 200]
-    texts = [(t or "").encode() for _, t in docs]
-    x = repeats.Windows(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])), 10, 4)
-    first = {}
-    for d, (i, _) in enumerate(docs):
-        for k in range(x.w.first[d], x.w.first[d + 1]):
-            if x.there[k]:
-                first[int(x.named[k])] = min((i, d), first.get(int(x.named[k]), (i, d)))
+    texts, keys = [(t or "").encode() for _, t in docs], [i for i, _ in docs]
+    x = as_texts(texts, 10, 4)
     shard = repeats.Shard(10, 4)
-    for d, (i, _) in enumerate(docs):
-        shard.read(x, d, i, [(p, False) for p, (_, at) in first.items() if at == d])
-        a, b = int(x.w.first[d]), int(x.w.first[d + 1])
-        mine = np.flatnonzero(x.there[a:b]) + a
-        shard.windows(x.whole[mine], np.full(len(mine), i))
+    shard.read(as_texts([b" ".join(t.split()) for t in texts], 10, 4), keys)
     shard.compile()
-    inside = shard.spans(x, [i for i, _ in docs])
+    inside = shard.spans(x, keys)
     got = {(i, int(inside[x.w.first[d] : x.w.first[d + 1]].sum())) for d, (i, _) in enumerate(docs)}
     assert got == {(i, gone) for i, _, gone, _ in brute_repeats(docs, 10)}
+    # What the automaton doesn't locate isn't removed.
+    monkeypatch.setattr(shard, "automaton", type("Empty", (), {"iter": lambda self, line: iter(())})())
+    assert not shard.spans(x, keys).any()
+
+
+def test_op2_hashes_alone_remove_nothing(monkeypatch):
+    """Windows whose hashes are all the same are told apart by their words."""
+    docs = [(i, t) for i, t in repeating(12) if i is not None and i != 200]
+    texts, keys = [(t or "").encode() for _, t in docs], [i for i, _ in docs]
+    x, shard = as_texts(texts, 10, 4), repeats.Shard(10, 4)
+    shard.read(as_texts(texts, 10, 4), keys)
+    shard.compile()
+    shard.said = shard.said + 1_000_000
+    assert not shard.spans(x, keys).any()
+
+
+def test_op2_words_that_polynomials_mix_up(spark):
+    one, other = thue_morse(1024)
+    docs = [(i, " ".join(["w%d" % k for k in range(25)] + [t] + ["v%d" % k for k in range(24)])) for i, t in enumerate((one, other, one))] + [(9, "word " * 30_000), (10, "word " * 60)]
+    got = sorted((tuple(r) for r in repeats.kept_digests(frame(spark, docs)).collect()), key=key)
+    assert got == brute_repeats(docs, 50) and dict((r[0], r[2]) for r in got) == {0: 0, 1: 0, 2: 50, 9: 0, 10: 60}
 
 
 def thue_morse(n):
