@@ -4,6 +4,8 @@ Words are runs of ASCII letters (A-Z as a-z), digits and characters beyond ASCII
 consecutive words of a text; blocks begin every STRIDE words, so what spans STRIDE words at most lies whole
 in some block. A template meets a block if the block holds ``threshold`` of its distinct words or more.
 
+0. Texts are cut into words once; a table keeps of each text the number of words, and place and word of those that are in
+   the templates or the phrases. All that follows reads this table.
 1. Global order: the template words' document frequencies over all texts, rare words first, ties by word.
 2. Prefix filter: of a template with n words of which c must be met, one of the first n - c + 1 in that order is
    in every block that meets it. Only blocks around such words are made, and only they are joined, by an
@@ -24,10 +26,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.frames import written
+
 STRIDE = 32
-#: A word, for Java's regular expressions.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII that is in no word.
+GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 #: Phrases whose places are counted, and their labels (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -47,14 +51,18 @@ TEMPLATES = (
 )
 
 
-def lowered(text: Column) -> Column:
-    """A-Z as a-z and nothing else; null as empty."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+def words_of(text: Column) -> Column:
+    """Runs of letters (A-Z as a-z), digits and characters beyond ASCII; null as empty."""
+    said = F.translate(F.coalesce(text, F.lit("")), GAPS + UPPER, " " * len(GAPS) + LOWER)
+    return F.array_remove(F.split(said, " "), "")
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))
+def told(docs: DataFrame, key: list[str], text: str = "text", templates=TEMPLATES) -> DataFrame:
+    """Key columns, n_words, held: place and word of each word that is in a template or a phrase, in order."""
+    known = sorted({w for said in [*(t for _, t in templates), *PHRASES] for w in said.split()})
+    split = docs.select(*key, words_of(F.col(text)).alias("words"))
+    placed = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    return split.select(*key, F.size("words").cast("long").alias("n_words"), F.filter(placed, lambda x: x.word.isin(known)).alias("held"))
 
 
 def needed(n: int, threshold: float) -> int:
@@ -62,18 +70,17 @@ def needed(n: int, threshold: float) -> int:
     return max(1, math.ceil(n * threshold - 1e-9))
 
 
-def global_order(docs: DataFrame, text: str, templates) -> list[str]:
+def global_order(told: DataFrame, templates) -> list[str]:
     """The templates' words, rare ones first, by the number of texts that hold them."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
-    held = docs.select(F.explode(F.array_intersect(words_of(F.col(text)), F.array(*map(F.lit, vocabulary)))).alias("word"))
-    counts = {r.word: r["count"] for r in held.groupBy("word").count().collect()}  # a row for a template word at most
+    counts = {r.word: r["count"] for r in told.select(F.explode(F.array_distinct("held.word")).alias("word")).groupBy("word").count().collect()}  # a row for a template word at most
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def meets(docs: DataFrame, key: list[str], text: str = "text", templates=TEMPLATES, threshold: float = 0.8, order: list[str] | None = None) -> DataFrame:
-    """Key columns, block, template (its place), label, containment: every block and template that meet."""
-    spark = docs.sparkSession
-    order = order or global_order(docs, text, templates)
+def meets(told: DataFrame, key: list[str], templates=TEMPLATES, threshold: float = 0.8, order: list[str] | None = None) -> DataFrame:
+    """Key columns, block, template (its place), label, containment: every block and template that meet, from told()."""
+    spark = told.sparkSession
+    order = order or global_order(told, templates)
     place = {w: i for i, w in enumerate(order)}
     index = []
     for t, (label, said) in enumerate(templates):
@@ -83,15 +90,18 @@ def meets(docs: DataFrame, key: list[str], text: str = "text", templates=TEMPLAT
     index_rows = spark.createDataFrame(index, "word string, template int, label string, wanted array<string>, need int, i int")
     prefixes = sorted({r[0] for r in index})
     known = F.array(*map(F.lit, order))
-    told = docs.select(*key, words_of(F.col(text)).alias("words"))
-    at = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x.word.isin(prefixes))
-    hit = told.select(*key, "words", at.alias("hits")).where(F.size("hits") > 0)
-    n, first = F.size("words"), lambda x: F.floor(x["at"] / STRIDE).cast("int")
-    blocks = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.array(first(x), first(x) - 1))))
-    blocks = F.filter(blocks, lambda b: (b == 0) | ((b > 0) & (n > (b + 1) * STRIDE)))
-    # The block's template words in global order, each once.
-    relevant = lambda b: F.array_intersect(known, F.slice("words", b * STRIDE + 1, 2 * STRIDE))
-    made = hit.select(*key, F.explode(F.transform(blocks, lambda b: F.struct(b.alias("block"), relevant(b).alias("held")))).alias("x")).select(*key, "x.block", "x.held")
+    wide = 2 * STRIDE
+    numbered = F.transform("held", lambda x, k: F.struct(k.alias("k"), x["at"].alias("at"), x["word"].alias("word")))
+    hit = told.select(*key, "n_words", "held", F.filter(numbered, lambda x: x["word"].isin(prefixes)).alias("hits")).where(F.size("hits") > 0)
+    # A block is taken at the first prefix word in it.
+    before = lambda h: F.coalesce(F.get("hits", h - 1)["at"], F.lit(-1))
+    leads = lambda x, h, b: F.when((b >= 0) & (before(h) < b * STRIDE) & ((b == 0) | (F.col("n_words") > (b + 1) * STRIDE)), F.struct(b.alias("block"), x["k"].alias("k")))
+    last = lambda x: F.floor(x["at"] / STRIDE).cast("int")
+    blocks = F.array_compact(F.flatten(F.transform("hits", lambda x, h: F.array(leads(x, h, last(x)), leads(x, h, last(x) - 1)))))
+    # The block's template words in global order, each once: they are among the 2 * wide - 1 known words around this one.
+    near = F.slice("held", F.greatest(F.col("x.k") - (wide - 1), F.lit(0)) + 1, F.lit(2 * wide - 1))
+    inside = F.filter(near, lambda y: (y["at"] >= F.col("x.block") * STRIDE) & (y["at"] < F.col("x.block") * STRIDE + wide))
+    made = hit.select(*key, "held", F.explode(blocks).alias("x")).select(*key, "x.block", F.array_intersect(known, F.transform(inside, lambda y: y["word"])).alias("held"))
     tokens = made.select(*key, "block", "held", F.posexplode("held").alias("j", "word")).where(F.col("word").isin(prefixes))
     # The index has a row for each word of the templates' prefixes.
     pairs = tokens.join(F.broadcast(index_rows), "word").where(
@@ -106,21 +116,26 @@ def meets(docs: DataFrame, key: list[str], text: str = "text", templates=TEMPLAT
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """A row for each text: key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     docs = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).withColumn("__same", F.xxhash64("__text"))
-    met = meets(docs, ["__key", "__same"], "__text", templates, threshold)
+    held = written(told(docs, ["__key", "__same"], "__text", templates), "held")
+    met = meets(held, ["__key", "__same"], templates, threshold)
     best = met.groupBy("__key", "__same").agg(F.array_sort(F.collect_set("label")).alias("met"), F.max("containment").alias("score"))
-    told = docs.select("__key", "__same", words_of(F.col("__text")).alias("words"))
-    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    told = told.select("__key", "__same", "words", line.alias("line"))
 
     def places(phrase: str) -> Column:
-        wanted = phrase.split()
-        runs = F.filter(F.sequence(F.lit(1), F.size("words") - len(wanted) + 1), lambda i: F.slice("words", i, len(wanted)) == F.array(*map(F.lit, wanted)))
-        return F.when(F.contains("line", F.lit(f" {phrase} ")), runs).otherwise(F.array().cast("array<int>"))
+        first, *others = phrase.split()
+
+        def stands(x: Column, k: Column) -> Column:
+            out = x["word"] == first
+            for step, word in enumerate(others, 1):
+                then = F.get("held", k + step)
+                out = out & F.coalesce((then["word"] == word) & (then["at"] == x["at"] + step), F.lit(False))
+            return out
+
+        return F.transform(F.filter("held", stands), lambda x: x["at"])
 
-    base = told.select("__key", "__same", F.size("words").cast("long").alias("n_words"), *(places(p).alias(f"at{i}") for i, p in enumerate(PHRASES)))
+    base = held.select("__key", "__same", "n_words", *(places(p).alias(f"at{i}") for i, p in enumerate(PHRASES)))
     every = F.concat(*(F.col(f"at{i}") for i in range(len(PHRASES))))
     labels = F.array_compact(F.array(*(F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values()))))
-    base = base.select("__key", "__same", "n_words", F.size(every).cast("long").alias("n_base"), (F.array_min(every) - 1).cast("long").alias("first_word"), (F.array_max(every) - 1).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"))
+    base = base.select("__key", "__same", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"))
     both = base.join(best.withColumnsRenamed({"__key": "__key2", "__same": "__same2"}), F.col("__key").eqNullSafe(F.col("__key2")) & (F.col("__same") == F.col("__same2")), "left")
     none = F.array().cast("array<string>")
     return both.select(
