@@ -8,8 +8,11 @@ Null media gives one row with the error "null". Empty tables give empty tables.
 
 The writer turns bytes into pages of 8-bit RGB, 64 pixels (192 bytes) a row and at most 256 rows a
 page, padded with spaces. Pages take turns at the LAYOUTS (deflate, PackBits and LZW; strips and
-tiles; with and without predictor), from a place that depends on the bytes alone. One in eight is LZW,
-which is decoded code by code in Python. Equal bytes give equal files.
+tiles; with and without predictor; each in equal shares), from a place that depends on the bytes alone.
+Equal bytes give equal files.
+
+Nothing is decoded beyond the samples that a strip or tile must have, and a page whose header claims more samples
+than its file can hold is a fault.
 """
 
 from __future__ import annotations
@@ -56,10 +59,12 @@ def packbits(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def unpackbits(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def unpackbits(data: bytes, need: int = 1 << 62) -> bytes:
+    """The first ``need`` bytes, and at most 127 more."""
+    out, i, n, made = [], 0, len(data), 0
+    while i < n and made < need:
         k = data[i]
+        made += k + 1 if k < 128 else 257 - k
         if k < 128:
             out.append(data[i + 1 : i + 2 + k])
             i += 2 + k
@@ -110,10 +115,11 @@ def lzw(data: bytes) -> bytes:
     return np.packbits(wide[np.arange(12) >= 12 - width[:, None]]).tobytes()
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, need: int = 1 << 62) -> bytes:
+    """The first ``need`` bytes, and those of their last code."""
     start = [bytes([i]) for i in range(256)] + [b"", b""]
     out: list[bytes] = []
-    table, prev, width, held, bits = list(start), b"", 9, 0, 0
+    table, prev, width, held, bits, made = list(start), b"", 9, 0, 0, 0
     for byte in data:
         held, bits = (held << 8) | byte, bits + 8
         if bits < width:
@@ -129,6 +135,7 @@ def unlzw(data: bytes) -> bytes:
         if not prev:
             prev = table[code]
             out.append(prev)
+            made += len(prev)
             continue
         if code < len(table):
             now = table[code]
@@ -137,6 +144,9 @@ def unlzw(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code beyond the table")
         out.append(now)
+        made += len(now)
+        if made >= need:
+            break
         table.append(prev + now[:1])
         prev = now
         n = len(table)
@@ -146,9 +156,17 @@ def unlzw(data: bytes) -> bytes:
 
 
 _ENCODE = {NONE: bytes, PACKBITS: packbits, LZW: lzw, DEFLATE: lambda d: zlib.compress(d, 1)}
-_DECODE = {NONE: bytes, PACKBITS: unpackbits, LZW: unlzw, DEFLATE: lambda d: zlib.decompressobj().decompress(d), OLD_DEFLATE: lambda d: zlib.decompressobj().decompress(d)}
+
+
+def _inflate(data: bytes, need: int) -> bytes:
+    return zlib.decompressobj().decompress(data, need)
+
+
+_DECODE = {NONE: lambda d, need: d[:need], PACKBITS: unpackbits, LZW: unlzw, DEFLATE: _inflate, OLD_DEFLATE: _inflate}
+#: Bytes of samples that a byte of a file stands for at most: LZW's longest, 12 bits for 3,837 bytes.
+LARGEST = 2_600
 #: (compression, tiled, predictor) of the writer's pages, in turn.
-LAYOUTS = ((DEFLATE, True, 2), (PACKBITS, False, 1), (DEFLATE, False, 2), (PACKBITS, True, 1), (LZW, False, 1), (DEFLATE, True, 1), (PACKBITS, False, 2), (DEFLATE, False, 1))
+LAYOUTS = tuple((how, tiled, predictor) for predictor in (1, 2) for tiled in (False, True) for how in (DEFLATE, PACKBITS, LZW))
 
 
 def padded(text: bytes) -> bytes:
@@ -242,18 +260,22 @@ def _page(media: bytes, end: str, tags: dict[int, tuple], n: int) -> Page:
     if bits not in (8, 16) or len(set(tags.get(BITS, (bits,)))) > 1 or how not in _DECODE or predictor not in (1, 2):
         raise ValueError(f"page {n}: {bits} bits, compression {how}, predictor {predictor} aren't read")
     bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
+    if min(width, height, samples, bw, bh) < 1:
+        raise ValueError(f"page {n} has a size of 0")
     offsets, counts = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS]
     across, down = -(-width // bw), -(-height // bh)
     planes, each = (samples, 1) if planar == 2 else (1, samples)
     kind = np.dtype(np.uint8 if bits == 8 else end + "u2")
     if len(offsets) < across * down * planes or len(counts) < len(offsets):
         raise ValueError(f"page {n} has too few strips or tiles")
+    if down * bh * across * bw * samples * kind.itemsize > LARGEST * (len(media) + 1):
+        raise ValueError(f"page {n} claims more samples than its file can hold")
     image = np.zeros((down * bh, across * bw, samples), kind)
     for k in range(across * down * planes):
         plane, y, x = k // (across * down), k % (across * down) // across, k % across
         high = bh if tiled else min(bh, height - y * bh)
         need = high * bw * each * kind.itemsize
-        raw = _DECODE[how](media[offsets[k] : offsets[k] + counts[k]])[:need]
+        raw = _DECODE[how](media[offsets[k] : offsets[k] + counts[k]], need)[:need]
         if len(raw) < need:
             raise ValueError(f"page {n}: a strip or tile is short")
         block = np.frombuffer(raw, kind).reshape(high, bw, each)
@@ -302,7 +324,7 @@ def read_tiff(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame
                             raise ValueError("null")
                         for p in pages(m):
                             mine.append([p.page, None, p.width, p.height, p.samples, p.bits, p.compression, p.tiled, p.pixels, None])
-                    except (ValueError, struct.error, zlib.error, KeyError, IndexError, MemoryError) as e:
+                    except (ValueError, ArithmeticError, struct.error, zlib.error, LookupError, MemoryError) as e:
                         error = str(e) or type(e).__name__
                     if error or not mine:
                         mine.append([len(mine), None, None, None, None, None, None, None, None, error or "no directory"])

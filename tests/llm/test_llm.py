@@ -100,6 +100,30 @@ def test_tiff_faults_give_rows(spark):
     assert rows[1] == ["null"] and rows[2][-1] and rows[3][-1] and rows[4][-1] and set(rows[5]) == {None} and len(rows[5]) == 2
 
 
+def one_page(**changed):
+    """A file of one deflated 4 x 2 grey page, with fields changed."""
+    import struct
+
+    fields = {256: 4, 257: 2, 258: 8, 259: 8, 262: 1, 273: 8, 277: 1, 278: 2, 279: 0} | {int(k[1:]): v for k, v in changed.items()}
+    body = zlib.compress(bytes(range(8)))
+    fields[279] = len(body)
+    ifd = struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", tag, 4, 1, v) for tag, v in sorted(fields.items())) + b"\0\0\0\0"
+    return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + ifd
+
+
+def test_tiff_sizes_of_zero_and_beyond_the_file_are_rows(spark):
+    bombs = [one_page(), one_page(t278=0), one_page(t256=0), one_page(t277=0), one_page(t256=1 << 30, t257=1 << 20), one_page(t322=0, t323=16, t324=8, t325=8)]
+    got = {r.i: r for r in tiff.read_tiff(spark.createDataFrame(list(enumerate(bombs)), "i int, media binary"), ["i"]).collect()}
+    assert got[0].error is None and bytes(got[0].pixels) == bytes(range(8))
+    assert all(got[i].error and got[i].pixels is None for i in range(1, 6))
+    flood = zlib.compress(bytes(50_000_000))
+    assert len(tiff._inflate(flood, 100)) == 100 and len(tiff.unlzw(tiff.lzw(bytes(300_000)), 100)) < 5000 and len(tiff.unpackbits(tiff.packbits(bytes(300_000)), 100)) < 300
+
+
+def test_tiff_codecs_take_equal_shares():
+    assert Counter(how for how, _, _ in tiff.LAYOUTS) == {tiff.DEFLATE: 4, tiff.PACKBITS: 4, tiff.LZW: 4} and len(set(tiff.LAYOUTS)) == 12
+
+
 def test_op1(spark, tmp_path):
     docs = [(i, made(i, 0, 900)) for i in range(30)] + ODD
     frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
