@@ -7,9 +7,9 @@ windows that equal an item's have the same least hash, so documents and items ar
 fingerprints and no shared span of a window or more is missed. Hits are then extended: the windows
 at the fingerprint are compared with the items', first by hash, then byte by byte.
 
-Items of at most ``broadcast_bytes`` of text in all go to the workers as one index, which is looked up
-while documents are winnowed; beyond that the fingerprints of both sides are shuffled and joined. The
-rows are the same.
+Items of at most ``broadcast_bytes`` of text in all go to the workers as one index of sorted arrays (some 2.6 times the
+text), which is looked up while documents are winnowed; beyond that the fingerprints of both sides are shuffled and
+joined. The rows are the same.
 
 Null or empty texts have no words and are never contaminated. A null item id counts as empty text.
 Repeated rows, of either side, count as rows. With no items nothing is hit; an empty table of
@@ -35,22 +35,41 @@ _NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 @dataclass
 class Index:
-    """Windows of items by length: hash -> (words, item ids); and the fingerprints of each length, sorted."""
+    """Windows of items, by length: the upper halves of their hashes, sorted, and where they begin in ``said``; and the
+    fingerprints of each length, sorted. Item k has ``said`` from begins[k] on, words apart by one space."""
 
-    windows: dict[int, dict[int, list[tuple[bytes, str]]]] = field(default_factory=dict)
+    said: bytes
+    begins: np.ndarray
+    items: list[str]
+    windows: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     marks: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def seal(self, marks: dict[int, set[int]]) -> Index:
-        self.marks = {n: np.array(sorted(m), np.uint64) for n, m in marks.items()}
-        return self
+    def holding(self, n: int, h: int, said: bytes) -> list[str]:
+        """The items with this window, whose hash has the upper half h."""
+        halves, places = self.windows[n]
+        lo, hi = np.searchsorted(halves, np.uint32(h), "left"), np.searchsorted(halves, np.uint32(h), "right")
+        at = [p for p in places[lo:hi].tolist() if self.said.startswith(said, p) and self.said[p + len(said) : p + len(said) + 1] == b" "]
+        return [self.items[k] for k in (np.searchsorted(self.begins, at, "right") - 1).tolist()] if at else []
+
+
+def _index(said: list[bytes], items: list[str], windows: dict[int, list[tuple[int, int]]], marks: dict[int, set[int]]) -> Index:
+    """said: of each item its words, each with a space behind it; windows: (hash, place in all of them)."""
+    out = Index(b"".join(said), np.cumsum([0, *(len(x) for x in said[:-1])]), items)
+    for n, found in windows.items():
+        halves, places = (np.array([f[k] for f in found], np.uint64) for k in (0, 1))
+        halves = (halves >> np.uint64(32)).astype(np.uint32)
+        order = np.argsort(halves, kind="stable")
+        out.windows[n] = halves[order], places[order].astype(np.uint32)
+    out.marks = {n: np.array(sorted(m), np.uint64) for n, m in marks.items()}
+    return out
 
 
 def _said(w: Words, low: bytes, i: int, length: int) -> bytes:
     return b" ".join([low[w.starts[j] : w.ends[j]] for j in range(i, i + length)])
 
 
-def item_windows(text: bytes, window: int, gram: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(length, hash, fingerprint, words) of each window of an item."""
+def item_windows(text: bytes, window: int, gram: int, said: bool = True) -> Iterator[tuple[int, int, int, bytes]]:
+    """(length, hash, fingerprint, words if said) of each window of an item, in order."""
     buf = np.frombuffer(text, np.uint8)
     w = words(buf, np.array([0, len(buf)]), ALNUM)
     if not len(w):
@@ -59,22 +78,29 @@ def item_windows(text: bytes, window: int, gram: int) -> Iterator[tuple[int, int
     least, there = window_minima(w, h, n, min(gram, n))
     whole = grams(h, n)
     for i in np.flatnonzero(there).tolist():
-        yield n, int(whole[i]), int(least[i]), _said(w, low, i, n)
+        yield n, int(whole[i]), int(least[i]), _said(w, low, i, n) if said else b""
 
 
 def build(items: list[tuple[str, bytes]], window: int, gram: int) -> Index:
-    out, marks = Index(), {}
+    said, names, windows, marks, size = [], [], {}, {}, 0
     for item, text in items:
-        for n, h, least, said in item_windows(text, window, gram):
-            out.windows.setdefault(n, {}).setdefault(h, []).append((said, item))
+        tokens = [x for _, _, _, x in item_windows(text, 1, 1)]
+        begins = np.cumsum([0, *(len(t) + 1 for t in tokens)]) + size
+        for i, (n, h, least, _) in enumerate(item_windows(text, window, gram, False)):
+            windows.setdefault(n, []).append((h, int(begins[i])))
             marks.setdefault(n, set()).add(least)
-    return out.seal(marks)
+        said.append(b"".join([t + b" " for t in tokens]))
+        names.append(item)
+        size = int(begins[-1])
+    # Items without words have no place of their own.
+    some = [k for k, x in enumerate(said) if x]
+    return _index([said[k] for k in some], [names[k] for k in some], windows, marks)
 
 
 def hits(w: Words, hashes: np.ndarray, low: bytes, index: Index, gram: int) -> list[tuple[int, int, list[str]]]:
     """(first word, length, item ids) of the items' windows in some texts."""
     out = []
-    for n, windows in index.windows.items():
+    for n in index.windows:
         if len(w) < n:
             continue
         least, there = window_minima(w, hashes, n, min(gram, n))
@@ -83,12 +109,11 @@ def hits(w: Words, hashes: np.ndarray, low: bytes, index: Index, gram: int) -> l
         places = np.flatnonzero(likely)
         if not len(places):
             continue
-        whole = grams(hashes, n)[places]
-        for i, h in zip(places.tolist(), whole.tolist(), strict=True):
-            if (known := windows.get(h)) is not None:
-                said = _said(w, low, i, n)
-                if (ids := [item for text, item in known if text == said]):
-                    out.append((i, n, ids))
+        halves = (grams(hashes, n)[places] >> np.uint64(32)).astype(np.uint32)
+        known = member(halves, index.windows[n][0])
+        for i, h in zip(places[known].tolist(), halves[known].tolist(), strict=True):
+            if (ids := index.holding(n, h, _said(w, low, i, n))):
+                out.append((i, n, ids))
     return out
 
 
@@ -119,7 +144,7 @@ def _judge(found: list[tuple[int, int, list[str]]], w: Words) -> list[pa.Array]:
 
 
 def decontaminate(
-    df: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, gram: int = 5, broadcast_bytes: int = 32 << 20
+    df: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, gram: int = 5, broadcast_bytes: int = 16 << 20
 ) -> DataFrame:
     """The kept columns of df, then RESULT: words, words hit, ids of the items with windows here (sorted), the
     runs of words hit (first, and one past the last), and whether a twentieth of the words or more is hit."""
@@ -181,12 +206,13 @@ def decontaminate(
             near_by = rows(batch, "__near")
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                index, marks = Index(), {}
-                for x in near_by[i].as_py() or ():
-                    index.windows.setdefault(x["n"], {}).setdefault(x["whole"] + (1 << 63), []).append((x["said"], x["item"]))
+                found, windows, size = near_by[i].as_py() or [], {}, 0
+                for x in found:
+                    windows.setdefault(x["n"], []).append((x["whole"] + (1 << 63), size))
+                    size += len(x["said"]) + 1
+                index = _index([x["said"] + b" " for x in found], [x["item"] for x in found], windows, {})
                 for lo, hi, w, h, _ in parts(one):
-                    for n in index.windows:
-                        marks[n] = set(window_minima(w, h, n, min(gram, n))[0].tolist())
-                    yield out(one, lo, hi, _judge(hits(w, h, w.buf.tobytes().lower(), index.seal(marks), gram), w))
+                    index.marks = {n: np.unique(window_minima(w, h, n, min(gram, n))[0]) for n in windows}
+                    yield out(one, lo, hi, _judge(hits(w, h, w.buf.tobytes().lower(), index, gram), w))
 
     return keyed.join(found, "__key", "left").select(*(f"`{c}`" for c in keep), "__text", "__near").mapInArrow(far, f"{kinds}, {RESULT}")
