@@ -4,12 +4,12 @@ Spaces of a text become markers, one more marker comes first, and pieces are mer
 only. Where no piece of the model holds two neighbouring bytes next to each other, no piece can
 cross; a marker after another character is such a place in the models this is for, and so are most
 places between letters and punctuation. A text's ids are hence those of its chunks between such
-places, one after the other. Each worker keeps a table of distinct chunks: it segments a chunk once,
-by the library, and joins the ids back by position with numpy. The table begins anew when it holds
-``table_entries`` chunks, so memory is bounded and results don't change.
+places, one after the other.
 
-A table of the whole corpus's chunks, joined back by (document, position), was left out: it moves a row
-for each word, several times the input. The table of a worker moves nothing.
+1. Texts are gathered in blocks of some MB. A block is kept as its distinct chunks, and the texts as places among them.
+2. The blocks' chunks make one table of distinct chunks over all texts. Each is segmented once, by the library.
+3. The table is joined back: a row for each chunk of each block, never for each word. A block's texts take
+   the ids by position, with numpy. A chunk that is everywhere is one row a block, so no key is hot.
 
 Null text is taken as empty; empty text has no ids. Ties and repeated rows are rows as any other.
 Columns of the input other than the key and the text aren't looked at. An empty input gives no rows.
@@ -18,15 +18,18 @@ Columns of the input other than the key and the text aren't looked at. An empty
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.frames import lists, rows
-from docketry.llm.words import CHUNK_BYTES, Words
+from docketry.llm.frames import lists, rows, written
+from docketry.llm.interpolation import packed, unpacked
+from docketry.llm.words import CHUNK_BYTES, Octets
 
 MARK = "▁"
 _MARK_BYTES = MARK.encode()
@@ -43,168 +46,218 @@ def ragged(offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
     return np.cumsum(out, out=out)
 
 
-class ChunkTable:
-    """The distinct chunks that a worker has met, with their ids and the ids' decimals."""
+@dataclass
+class Cuts:
+    """What a model says of places that no piece crosses, and its ids in decimals."""
 
-    def __init__(self, model: bytes, most: int):
+    #: cut[a * 256 + b]: no piece crosses from byte a to byte b, and b begins a character.
+    cut: np.ndarray
+    #: Ids that don't stand for the characters of their piece.
+    special: np.ndarray
+    #: The id of a line end.
+    line: int
+    #: The ids in decimals, each with a comma.
+    decimals: np.ndarray
+    decimal_offsets: np.ndarray
+
+
+def cuts(model: bytes) -> Cuts:
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    n = sp.get_piece_size()
+    special = np.array([sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)])
+    together = np.zeros((256, 256), bool)
+    for i in np.flatnonzero(~special).tolist():
+        b = sp.id_to_piece(i).replace(MARK, " ").encode()
+        together[list(b[:-1]), list(b[1:])] = True
+    cut = ~together
+    cut[0x80:, 0x80:] = False
+    line = sp.piece_to_id("<0x0A>")
+    probe = " a  b\tc\néﬁ "
+    if together[:0x20, 0x20].any() or together[0x21:, 0x20].any():
+        raise ValueError("a piece holds a marker after another character")
+    if together[0x0A].any() or together[:, 0x0A].any() or not sp.is_byte(line):
+        raise ValueError("line ends aren't bytes of their own in this model")
+    if MARK + probe.replace(" ", MARK) != sp.normalize(probe):
+        raise ValueError("the model's normalizer changes text, or adds no marker before it")
+    decimal = [f"{i},".encode() for i in range(n)]
+    return Cuts(cut.reshape(-1), special, line, np.frombuffer(b"".join(decimal), np.uint8), np.append(0, np.cumsum([len(x) for x in decimal])))
+
+
+def chunks(texts: list[bytes], cut: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """For texts that aren't empty: their distinct chunks, each chunk's place among them, and the first chunk of each
+    text. A space comes before each text."""
+    flat = b" " + b" ".join(texts)
+    buf = np.frombuffer(flat, np.uint8)
+    begin = np.zeros(len(texts), np.int64)
+    np.cumsum([len(t) + 1 for t in texts[:-1]], out=begin[1:])
+    apart = np.empty(len(buf), bool)
+    apart[1:] = cut[buf[:-1].astype(np.int32) * 256 + buf[1:]]
+    apart[begin] = True
+    starts = np.flatnonzero(apart)
+    ends = np.append(starts[1:], len(buf))
+    octets = Octets(buf)
+    _, index, place = np.unique(octets.hashes(starts, ends), return_index=True, return_inverse=True)
+    said = [flat[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
+    like = index[place]
+    if not ((ends - starts == (ends - starts)[like]) & octets.same(starts, starts[like], ends - starts)).all():
+        # Chunks that share a hash: by their bytes.
+        table: dict[bytes, int] = {}
+        place = np.array([table.setdefault(flat[a:b], len(table)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        said = list(table)
+    return said, place, np.append(np.searchsorted(starts, begin), len(starts))
+
+
+def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFrame:
+    """(block, ids, counts, places, chunks): keys of texts, how many chunks each has, which of the block's chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[bytes, int] = {}
+        ids, counts, places, size = [], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            keys = pa.chunked_array(ids).combine_chunks()
+            columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), lists(keys, [len(keys)]), pa.array([packed(np.concatenate(counts))], pa.binary()), pa.array([packed(np.concatenate(places))], pa.binary()), pa.array([list(table)], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "counts", "places", "chunks"])
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                texts, held = [], 0
+                lo = at
+                while at < batch.num_rows and (at == lo or (held < CHUNK_BYTES and at - lo < 4096)):
+                    texts.append((rows(batch, "said")[at].as_py() or b"").replace(_MARK_BYTES, b" "))
+                    held += len(texts[-1])
+                    at += 1
+                count = np.zeros(len(texts), np.int64)
+                if (full := [i for i, t in enumerate(texts) if t]):
+                    said, place, first = chunks([texts[i] for i in full], cut.value)
+                    count[full] = np.diff(first)
+                    places.append(np.array([table.setdefault(c, len(table)) for c in said], np.int32)[place])
+                else:
+                    places.append(np.zeros(0, np.int32))
+                ids.append(rows(batch, "id").slice(lo, at - lo))
+                counts.append(count)
+                size += held + 8 * len(texts)
+                if size >= block_bytes:
+                    yield made()
+                    table.clear()
+                    ids, counts, places, size = [], [], [], 0
+        if ids:
+            yield made()
+
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, counts binary, places binary, chunks array<binary>")
+
+
+class Segmenter:
+    """Ids of chunks, and the text that they decode to, by the library."""
+
+    def __init__(self, model: bytes, special: np.ndarray, line: int):
         import sentencepiece
 
-        self.sp, self.most = sentencepiece.SentencePieceProcessor(model_proto=model), most
-        n = self.sp.get_piece_size()
-        pieces = [self.sp.id_to_piece(i) for i in range(n)]
-        special = np.array([self.sp.is_byte(i) or self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i) for i in range(n)])
-        self.special = special
-        #: cut[a * 256 + b]: no piece crosses from byte a to byte b, and b begins a character.
-        together = np.zeros((256, 256), bool)
-        for i in np.flatnonzero(~special):
-            b = pieces[i].replace(MARK, " ").encode()
-            together[list(b[:-1]), list(b[1:])] = True
-        self.cut = ~together
-        self.cut[0x80:, 0x80:] = False
-        self.cut = self.cut.reshape(-1)
-        self.line = self.sp.piece_to_id("<0x0A>")
-        probe = " a  b\tc\néﬁ "
-        if together[:0x20, 0x20].any() or together[0x21:, 0x20].any():
-            raise ValueError("a piece holds a marker after another character")
-        if together[0x0A].any() or together[:, 0x0A].any() or not self.sp.is_byte(self.line):
-            raise ValueError("line ends aren't bytes of their own in this model")
-        if MARK + probe.replace(" ", MARK) != self.sp.normalize(probe):
-            raise ValueError("the model's normalizer changes text, or adds no marker before it")
-        decimal = [f"{i},".encode() for i in range(n)]
-        self.dec_of, self.dec_of_off = np.frombuffer(b"".join(decimal), np.uint8), np.append(0, np.cumsum([len(x) for x in decimal]))
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.ids, self.id_off = np.zeros(1024, np.int32), np.zeros(1025, np.int64)
-        self.dec, self.dec_off = np.zeros(4096, np.uint8), np.zeros(1025, np.int64)
-        #: Chunks whose decoded text isn't the chunk.
-        self.unlike: dict[int, bytes] = {}
-
-    def _add(self, hashes: list[int], chunks: list[bytes]) -> None:
-        for lo in range(0, len(chunks), 512):
-            some = chunks[lo : lo + 512]
-            # A line end is an id of its own wherever it stands, so it parts the chunks.
-            got = np.array(self.sp.encode("\n" + "\n".join(["" if c == b"\n" else c.decode("utf-8", "replace") for c in some])), np.int32)
-            lines = np.append(np.flatnonzero(got == self.line), len(got))
-            if (alone := [k for k, c in enumerate(some) if c == b"\n"]):
-                got = np.insert(got, lines[np.array(alone) + 1], self.line)
-                lines = lines + np.searchsorted(alone, np.arange(len(lines)))
-            counts = np.diff(lines) - 1
-            keep = np.ones(len(got), bool)
-            keep[lines[:-1]] = False
-            keep[: lines[0]] = False
-            self._put(hashes[lo : lo + 512], some, got[keep], counts)
-
-    def _put(self, hashes: list[int], chunks: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        base, n = len(self.at), len(chunks)
-        made = self.dec_of[ragged(self.dec_of_off, ids)]
-        off = np.append(0, np.cumsum(counts))
-        dec_off = np.append(0, np.cumsum(self.dec_of_off[ids + 1] - self.dec_of_off[ids]))[off]
-        a, d = int(self.id_off[base]), int(self.dec_off[base])
-        while base + n + 1 > len(self.id_off):
-            self.id_off, self.dec_off = np.append(self.id_off, self.id_off), np.append(self.dec_off, self.dec_off)
-        while a + len(ids) > len(self.ids):
-            self.ids = np.append(self.ids, self.ids)
-        while d + len(made) > len(self.dec):
-            self.dec = np.append(self.dec, self.dec)
-        self.ids[a : a + len(ids)], self.dec[d : d + len(made)] = ids, made
-        self.id_off[base : base + n + 1], self.dec_off[base : base + n + 1] = a + off, d + dec_off
-        self.at.update(zip(hashes, range(base, base + n), strict=True))
+        self.sp, self.special, self.line = sentencepiece.SentencePieceProcessor(model_proto=model), special, line
+
+    def __call__(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """All ids, how many each chunk has, and the decoded chunks."""
+        # A line end is an id of its own wherever it stands, so it parts the chunks.
+        got = np.array(self.sp.encode("\n" + "\n".join(["" if c == b"\n" else c.decode("utf-8", "replace") for c in some])), np.int32)
+        lines = np.append(np.flatnonzero(got == self.line), len(got))
+        if (alone := [k for k, c in enumerate(some) if c == b"\n"]):
+            got = np.insert(got, lines[np.array(alone) + 1], self.line)
+            lines = lines + np.searchsorted(alone, np.arange(len(lines)))
+        counts = np.diff(lines) - 1
+        keep = np.ones(len(got), bool)
+        keep[lines[:-1]] = False
+        keep[: lines[0]] = False
+        ids, off, said = got[keep], np.append(0, np.cumsum(counts)), list(some)
         # Ids of ordinary pieces decode to the pieces' characters, which are the chunk's. Before others
         # a line end keeps the library from dropping a leading space.
         for k in np.flatnonzero(np.add.reduceat(self.special[ids].astype(np.int64), off[:-1])).tolist():
-            said = self.sp.decode([self.line, *ids[off[k] : off[k + 1]].tolist()])[1:].encode()
-            if said != chunks[k]:
-                self.unlike[base + k] = said
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-        """For texts that aren't empty: chunks' places in the table, the first chunk of each text, the
-        chunks' byte offsets, and the bytes they are offsets of (a space before each text)."""
-        flat = b" " + b" ".join(texts)
-        buf = np.frombuffer(flat, np.uint8)
-        begin = np.zeros(len(texts), np.int64)
-        np.cumsum([len(t) + 1 for t in texts[:-1]], out=begin[1:])
-        cut = np.empty(len(buf), bool)
-        cut[1:] = self.cut[buf[:-1].astype(np.int32) * 256 + buf[1:]]
-        cut[begin] = True
-        starts = np.flatnonzero(cut)
-        first = np.append(np.searchsorted(starts, begin), len(starts))
-        ends = np.append(starts[1:], len(buf))
-        h = Words(buf, starts, ends, first, begin).hashes(lower=False)
-        distinct, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.at) + len(distinct) > self.most:
-            self.clear()
-        at = np.fromiter(map(self.at.get, distinct.tolist(), [-1] * len(distinct)), np.int64, len(distinct))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            here = index[new]
-            base = len(self.at)
-            self._add(distinct[new].tolist(), [flat[a:b] for a, b in zip(starts[here].tolist(), ends[here].tolist(), strict=True)])
-            at[new] = np.arange(base, base + len(new))
-        return at[inverse], first, np.append(starts, len(buf)), flat
-
-
-_tables: dict[int, ChunkTable] = {}
-
-
-def _table(model: bytes, most: int) -> ChunkTable:
-    """One table for a worker, kept from task to task."""
-    key = hash((model, most))
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = ChunkTable(model, most)
-    return _tables[key]
-
-
-def encoded(table: ChunkTable, texts: list[bytes], digests: bool) -> tuple[list[int], list, list]:
-    """Of each text: the number of ids, the ids, the decoded text; with digests SHA-256 of the last two."""
-    texts = [t.replace(_MARK_BYTES, b" ") for t in texts]
-    full = [i for i, t in enumerate(texts) if t]
-    empty = hashlib.sha256(b"").hexdigest() if digests else None
-    n, ids, said = [0] * len(texts), [empty if digests else np.zeros(0, np.int32) for _ in texts], [empty if digests else "" for _ in texts]
-    lo = 0
-    while lo < len(full):
-        hi, size = lo, 0
-        while hi < len(full) and (hi == lo or size + len(texts[full[hi]]) <= CHUNK_BYTES):
-            size, hi = size + len(texts[full[hi]]), hi + 1
-        at, first, offsets, flat = table.of([texts[i] for i in full[lo:hi]])
-        per = np.append(0, np.cumsum(table.id_off[at + 1] - table.id_off[at]))[first]
-        if digests:
-            made = table.dec[ragged(table.dec_off, at)].tobytes()
-            cuts = np.append(0, np.cumsum(table.dec_off[at + 1] - table.dec_off[at]))[first].tolist()
-        else:
-            flat_ids = table.ids[ragged(table.id_off, at)]
-        unlike = [k for k in range(len(at)) if int(at[k]) in table.unlike] if table.unlike else []
-        for d, i in enumerate(full[lo:hi]):
-            a, b = int(first[d]), int(first[d + 1])
-            n[i] = int(per[d + 1] - per[d])
-            text = flat[offsets[a] + 1 : offsets[b]]
-            if unlike and any(a <= k < b for k in unlike):
-                text = b"".join(table.unlike.get(int(at[k]), flat[offsets[k] : offsets[k + 1]]) for k in range(a, b)).removeprefix(b" ")
-            ids[i] = hashlib.sha256(made[cuts[d] : cuts[d + 1] - 1]).hexdigest() if digests else flat_ids[per[d] : per[d + 1]]
-            said[i] = hashlib.sha256(text).hexdigest() if digests else text.decode()
-        lo = hi
-    return n, ids, said
-
-
-def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", table_entries: int = 300_000, digests: bool = False) -> DataFrame:
-    """Columns key, n_tokens, then ids (array<int>) and decoded (string); with digests their SHA-256 instead.
+            said[k] = self.sp.decode([self.line, *ids[off[k] : off[k + 1]].tolist()])[1:].encode()
+        return ids, counts, said
 
-    model: the path of the model's file, read by the driver alone.
-    """
-    with open(model, "rb") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
+
+def segmented(distinct: DataFrame, shared: object) -> DataFrame:
+    """(chunk, ids, said) of distinct chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(shared.value, table_entries)
+        model, special, line = shared.value
+        segment = Segmenter(model, special, line)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                n, ids, said = encoded(table, [t or b"" for t in rows(some, "text").to_pylist()], digests)
-                made = pa.array(ids, pa.string()) if digests else lists(pa.array(np.concatenate(ids)), n)
-                yield pa.RecordBatch.from_arrays([rows(some, "key"), pa.array(n, pa.int64()), made, pa.array(said, pa.string())], names=names)
+                some = rows(batch, "chunk").slice(lo, 512)
+                ids, counts, said = segment(some.to_pylist())
+                yield pa.RecordBatch.from_arrays([some, lists(pa.array(ids), counts), pa.array(said, pa.binary())], names=["chunk", "ids", "said"])
+
+    return distinct.mapInArrow(run, "chunk binary, ids array<int>, said binary")
+
+
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of lists or bytes."""
+    array = column.combine_chunks()
+    array = pa.concat_arrays(array.chunks) if isinstance(array, pa.ChunkedArray) else array
+    if pa.types.is_binary(array.type):
+        array = array.cast(pa.large_binary())
+        offsets = np.frombuffer(array.buffers()[1], np.int64, count=len(array) + 1, offset=8 * array.offset)
+        data = array.buffers()[2]
+        return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+    offsets = array.offsets.to_numpy().astype(np.int64)
+    return array.values.to_numpy(zero_copy_only=False).astype(kind), offsets
 
+
+def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20, digests: bool = False) -> DataFrame:
+    """Columns key, n_tokens, then ids (array<int>) and decoded (string); with digests their SHA-256 instead.
+
+    model: the path of the model's file, read by the driver alone.
+    """
+    context = df.sparkSession.sparkContext
+    with open(model, "rb") as f:
+        proto = f.read()
+    known = cuts(proto)
+    # All three are as large as the model.
+    cut, shared, decimals = (context.broadcast(x) for x in (known.cut, (proto, known.special, known.line), (known.decimals, known.decimal_offsets)))
+    kind = df.schema[key].dataType.simpleString()
+    blocks = written(_blocks(df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("said")), kind, cut, block_bytes), "blocks")
+    listed = blocks.select("block", F.posexplode("chunks").alias("place", "chunk"))
+    table = written(segmented(listed.select("chunk").distinct(), shared), "chunks")
+    answers = listed.join(table, "chunk").select(F.col("block").alias("of"), "place", "ids", "said")
     names = [key, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-    kinds = [df.schema[key].dataType.simpleString(), "long", "string" if digests else "array<int>", "string"]
-    return df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, ", ".join(f"`{a}` {b}" for a, b in zip(names, kinds, strict=True)))
+    kinds = [kind, "long", "string" if digests else "array<int>", "string"]
+
+    def joined(block: pa.Table, told: pa.Table) -> pa.Table:
+        """The texts of a block, from its chunks' ids by position."""
+        keys = block["ids"].combine_chunks()
+        keys = (pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys).flatten()
+        counts, places = unpacked(block["counts"][0].as_py()).astype(np.int64), unpacked(block["places"][0].as_py()).astype(np.int64)
+        told = told.sort_by("place")
+        ids, id_off = _flat(told["ids"], np.int32)
+        said, said_off = _flat(told["said"], np.uint8)
+        first = np.append(0, np.cumsum(counts))
+        decimal, decimal_off = decimals.value
+        n, out_ids, out_said = np.zeros(len(counts), np.int64), [], []
+        lo = 0
+        while lo < len(counts):
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + (1 << 18), "right")) - 1)
+            at, cut_at = places[first[lo] : first[hi]], first[lo : hi + 1] - first[lo]
+            mine = ids[ragged(id_off, at)]
+            per = np.append(0, np.cumsum(id_off[at + 1] - id_off[at]))[cut_at]
+            ends = np.append(0, np.cumsum(said_off[at + 1] - said_off[at]))[cut_at]
+            raw = said[ragged(said_off, at)].tobytes()
+            n[lo:hi] = np.diff(per)
+            # The space before a text is dropped.
+            decoded = [raw[a:b].removeprefix(b" ") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            if digests:
+                made = decimal[ragged(decimal_off, mine)].tobytes()
+                spots = np.append(0, np.cumsum(decimal_off[mine + 1] - decimal_off[mine]))[per].tolist()
+                out_ids += [hashlib.sha256(made[a : max(a, b - 1)]).hexdigest() for a, b in zip(spots[:-1], spots[1:], strict=True)]
+                out_said += [hashlib.sha256(x).hexdigest() for x in decoded]
+            else:
+                out_ids.append(mine)
+                out_said += [x.decode() for x in decoded]
+            lo = hi
+        made = pa.array(out_ids, pa.string()) if digests else lists(pa.array(np.concatenate([*out_ids, np.zeros(0, np.int32)])), n)
+        return pa.table([keys, pa.array(n), made, pa.array(out_said, pa.string())], names=names)
+
+    schema = ", ".join(f"`{a}` {b}" for a, b in zip(names, kinds, strict=True))
+    return blocks.select("block", "ids", "counts", "places").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(joined, schema)

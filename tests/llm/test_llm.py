@@ -303,7 +303,7 @@ def test_op5_is_the_library(spark):
     parts = [" ", "▁", "a", "é", "\n", "日", "😀", "̀", "<", "0x", "s>", "  ", "\r", "ﬁ", "\x7f", "_", ".", ":", "²", "the", "Hello"]
     docs = ODD + [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 40)))) for i in range(400)]
     got = {}
-    for row in pieces.encode(frame(spark, docs), queries.tokenizer(), table_entries=500).collect():
+    for row in pieces.encode(frame(spark, docs), queries.tokenizer(), block_bytes=900).collect():
         got.setdefault(row.doc_id, []).append((row.n_tokens, list(row.ids), row.decoded))
     want = {}
     for i, t in docs:
@@ -314,6 +314,28 @@ def test_op5_is_the_library(spark):
     assert hashes == {(i, hashlib.sha256(",".join(map(str, x[1])).encode()).hexdigest(), hashlib.sha256(x[2].encode()).hexdigest()) for i, xs in want.items() for x in xs}
 
 
+def test_op5_chunks_of_one_hash_are_told_apart(spark, monkeypatch):
+    one, other = thue_morse(1024)
+    docs = [(1, one), (2, other), (3, one + " " + other), (4, "a b  c\n\nd")]
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer())
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in pieces.encode(frame(spark, docs), queries.tokenizer()).collect()}
+    assert got == {i: (sp.encode(t), sp.decode(sp.encode(t))) for i, t in docs}
+    cut = pieces.cuts(open(queries.tokenizer(), "rb").read()).cut
+    texts = [t.encode() for _, t in docs]
+    want = pieces.chunks(texts, cut)
+    monkeypatch.setattr(wd.Octets, "hashes", lambda self, starts, ends, seed=0: np.zeros(len(starts), np.uint64))
+    said, place, first = pieces.chunks(texts, cut)
+    assert [said[k] for k in place] == [want[0][k] for k in want[1]] and (first == want[2]).all()
+
+
+def test_op5_of_nothing_and_clashing_columns(spark):
+    assert pieces.encode(frame(spark, []), queries.tokenizer()).count() == 0
+    df = frame(spark, [(1, "a b"), (1, "a b"), (2, None)]).withColumn("ids", F.lit(1)).withColumn("decoded", F.lit(2))
+    assert sorted((r.doc_id, r.n_tokens, r.decoded) for r in pieces.encode(df, queries.tokenizer()).collect()) == [(1, 2, "a b"), (1, 2, "a b"), (2, 0, "")]
+
+
 # op6
 
 
