@@ -6,10 +6,13 @@ cross; a marker after another character is such a place in the models this is fo
 places between letters and punctuation. A text's ids are hence those of its chunks between such
 places, one after the other.
 
-1. Texts are gathered in blocks of some MB. A block is kept as its distinct chunks, and the texts as places among them.
-2. The blocks' chunks make one table of distinct chunks over all texts. Each is segmented once, by the library.
-3. The table is joined back: a row for each chunk of each block, never for each word. A block's texts take
-   the ids by position, with numpy. A chunk that is everywhere is one row a block, so no key is hot.
+1. Texts are gathered in blocks of some MB. A block is kept as the texts' chunks by place among its distinct ones, which
+   are in the order of their hashes.
+2. The table of distinct chunks over all texts lies in buckets of the hashes' range. A block sends each bucket its distinct
+   chunks there; the bucket tells them apart by their bytes, segments each once, by the library, and answers each block with
+   the ids in the order it asked. Buckets are of bounded size, their number follows the input, and a chunk that is
+   everywhere is one entry a block. What moves is packed: distinct chunks of blocks and their ids, not words.
+3. A block's texts take the ids by position, with numpy, and the decoded text from the ids.
 
 Null text is taken as empty; empty text has no ids. Ties and repeated rows are rows as any other.
 Columns of the input other than the key and the text aren't looked at. An empty input gives no rows.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.frames import lists, rows, written
-from docketry.llm.interpolation import packed, unpacked
+from docketry.llm.interpolation import packed, packed_keys, unpacked, unpacked_keys
 from docketry.llm.words import CHUNK_BYTES, Octets
 
 MARK = "▁"
@@ -59,6 +63,9 @@ class Cuts:
     #: The ids in decimals, each with a comma.
     decimals: np.ndarray
     decimal_offsets: np.ndarray
+    #: The ids' characters, for ids that aren't special.
+    pieces: np.ndarray
+    piece_offsets: np.ndarray
 
 
 def cuts(model: bytes) -> Cuts:
@@ -81,8 +88,10 @@ def cuts(model: bytes) -> Cuts:
         raise ValueError("line ends aren't bytes of their own in this model")
     if MARK + probe.replace(" ", MARK) != sp.normalize(probe):
         raise ValueError("the model's normalizer changes text, or adds no marker before it")
-    decimal = [f"{i},".encode() for i in range(n)]
-    return Cuts(cut.reshape(-1), special, line, np.frombuffer(b"".join(decimal), np.uint8), np.append(0, np.cumsum([len(x) for x in decimal])))
+    flat = []
+    for made in ([f"{i},".encode() for i in range(n)], [sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]):
+        flat += [np.frombuffer(b"".join(made), np.uint8), np.append(0, np.cumsum([len(x) for x in made]))]
+    return Cuts(cut.reshape(-1), special, line, *flat)
 
 
 def chunks(texts: list[bytes], cut: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -109,8 +118,13 @@ def chunks(texts: list[bytes], cut: np.ndarray) -> tuple[list[bytes], np.ndarray
     return said, place, np.append(np.searchsorted(starts, begin), len(starts))
 
 
+#: Chunks that a bucket is meant to be asked for.
+BUCKET_CHUNKS = 1 << 18
+
+
 def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFrame:
-    """(block, ids, counts, places, chunks): keys of texts, how many chunks each has, which of the block's chunks."""
+    """(block, ids, counts, places, n, hashes, sizes, chunks): keys of texts, how many chunks each has, which of the block's
+    distinct chunks; these in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, int] = {}
@@ -118,8 +132,17 @@ def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFr
 
         def made() -> pa.RecordBatch:
             keys = pa.chunked_array(ids).combine_chunks()
-            columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), lists(keys, [len(keys)]), pa.array([packed(np.concatenate(counts))], pa.binary()), pa.array([packed(np.concatenate(places))], pa.binary()), pa.array([list(table)], pa.list_(pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "counts", "places", "chunks"])
+            said = list(table)
+            off = np.append(0, np.cumsum([len(x) for x in said])).astype(np.int64)
+            h = Octets(np.frombuffer(b"".join(said), np.uint8)).hashes(off[:-1], off[1:])
+            order = np.argsort(h, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            told = place[np.concatenate([*places, np.zeros(0, np.int32)])]
+            row = [uuid.uuid4().int >> 65, None, packed(np.concatenate(counts)), packed(told), len(said), packed_keys(h[order]), packed(np.diff(off)[order]), zlib.compress(b"".join([said[k] for k in order.tolist()]), 1)]
+            columns = [pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.null(), pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 3), strict=True)]
+            columns[1] = lists(keys, [len(keys)])
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "counts", "places", "n", "hashes", "sizes", "chunks"])
 
         for batch in batches:
             at = 0
@@ -135,8 +158,6 @@ def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFr
                     said, place, first = chunks([texts[i] for i in full], cut.value)
                     count[full] = np.diff(first)
                     places.append(np.array([table.setdefault(c, len(table)) for c in said], np.int32)[place])
-                else:
-                    places.append(np.zeros(0, np.int32))
                 ids.append(rows(batch, "id").slice(lo, at - lo))
                 counts.append(count)
                 size += held + 8 * len(texts)
@@ -147,7 +168,7 @@ def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFr
         if ids:
             yield made()
 
-    return docs.mapInArrow(run, f"block long, ids array<{kind}>, counts binary, places binary, chunks array<binary>")
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, counts binary, places binary, n long, hashes binary, sizes binary, chunks binary")
 
 
 class Segmenter:
@@ -158,8 +179,8 @@ class Segmenter:
 
         self.sp, self.special, self.line = sentencepiece.SentencePieceProcessor(model_proto=model), special, line
 
-    def __call__(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """All ids, how many each chunk has, and the decoded chunks."""
+    def __call__(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
+        """All ids, how many each chunk has, and the decoded text of chunks with special ids."""
         # A line end is an id of its own wherever it stands, so it parts the chunks.
         got = np.array(self.sp.encode("\n" + "\n".join(["" if c == b"\n" else c.decode("utf-8", "replace") for c in some])), np.int32)
         lines = np.append(np.flatnonzero(got == self.line), len(got))
@@ -170,40 +191,67 @@ class Segmenter:
         keep = np.ones(len(got), bool)
         keep[lines[:-1]] = False
         keep[: lines[0]] = False
-        ids, off, said = got[keep], np.append(0, np.cumsum(counts)), list(some)
-        # Ids of ordinary pieces decode to the pieces' characters, which are the chunk's. Before others
-        # a line end keeps the library from dropping a leading space.
-        for k in np.flatnonzero(np.add.reduceat(self.special[ids].astype(np.int64), off[:-1])).tolist():
-            said[k] = self.sp.decode([self.line, *ids[off[k] : off[k + 1]].tolist()])[1:].encode()
-        return ids, counts, said
+        ids, off = got[keep], np.append(0, np.cumsum(counts))
+        # Ids of ordinary pieces decode to the pieces' characters. Before others a line end keeps the library
+        # from dropping a leading space.
+        odd = np.flatnonzero(np.add.reduceat(self.special[ids].astype(np.int64), off[:-1])).tolist()
+        return ids, counts, {k: self.sp.decode([self.line, *ids[off[k] : off[k + 1]].tolist()])[1:].encode() for k in odd}
 
 
-def segmented(distinct: DataFrame, shared: object) -> DataFrame:
-    """(chunk, ids, said) of distinct chunks."""
+def _answers(blocks: DataFrame, shared: object, buckets: int) -> DataFrame:
+    """(of, bucket, counts, ids, odd_at, odd): for each block and bucket how many ids each of the block's chunks there
+    has, the ids, and the decoded text of chunks with special ids."""
+    bits = max(1, (buckets - 1).bit_length())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, special, line = shared.value
-        segment = Segmenter(model, special, line)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = rows(batch, "chunk").slice(lo, 512)
-                ids, counts, said = segment(some.to_pylist())
-                yield pa.RecordBatch.from_arrays([some, lists(pa.array(ids), counts), pa.array(said, pa.binary())], names=["chunk", "ids", "said"])
-
-    return distinct.mapInArrow(run, "chunk binary, ids array<int>, said binary")
-
-
-def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a column of lists or bytes."""
-    array = column.combine_chunks()
-    array = pa.concat_arrays(array.chunks) if isinstance(array, pa.ChunkedArray) else array
-    if pa.types.is_binary(array.type):
-        array = array.cast(pa.large_binary())
-        offsets = np.frombuffer(array.buffers()[1], np.int64, count=len(array) + 1, offset=8 * array.offset)
-        data = array.buffers()[2]
-        return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
-    offsets = array.offsets.to_numpy().astype(np.int64)
-    return array.values.to_numpy(zero_copy_only=False).astype(kind), offsets
+            for block, hashes, sizes, said in zip(*(rows(batch, c).to_pylist() for c in ("block", "hashes", "sizes", "chunks")), strict=True):
+                bucket = (unpacked_keys(hashes) >> np.uint64(64 - bits)).astype(np.int64)
+                size, said = unpacked(sizes).astype(np.int64), zlib.decompress(said)
+                cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
+                off, ends = np.append(0, np.cumsum(size)), np.append(cuts[1:], len(bucket))[: len(cuts)]
+                parts = [(int(bucket[a]), packed(size[a:b]), zlib.compress(said[off[a] : off[b]], 1)) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+                columns = [pa.array([block] * len(parts), pa.int64()), *(pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["of", "bucket", "sizes", "chunks"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        segment = Segmenter(*shared.value)
+        table: dict[bytes, int] = {}
+        asked = []
+        for sizes, said in zip(group["sizes"].to_pylist(), group["chunks"].to_pylist(), strict=True):
+            said, off = zlib.decompress(said), np.append(0, np.cumsum(unpacked(sizes).astype(np.int64))).tolist()
+            asked.append(np.array([table.setdefault(said[a:b], len(table)) for a, b in zip(off[:-1], off[1:], strict=True)], np.int64))
+        distinct = list(table)
+        del table
+        made, odd = [], {}
+        for lo in range(0, len(distinct), 512):
+            ids, counts, mine = segment(distinct[lo : lo + 512])
+            made.append((ids, counts))
+            odd |= {lo + k: x for k, x in mine.items()}
+        ids, off = np.concatenate([m[0] for m in made]), np.append(0, np.cumsum(np.concatenate([m[1] for m in made])))
+        is_odd = np.zeros(len(distinct), bool)
+        is_odd[list(odd)] = True
+        out = {"of": group["of"], "bucket": group["bucket"]}
+        out["counts"] = pa.array([packed(np.diff(off)[at]) for at in asked], pa.binary())
+        out["ids"] = pa.array([packed(ids[ragged(off, at)]) for at in asked], pa.binary())
+        spots = [np.flatnonzero(is_odd[at]) for at in asked]
+        out["odd_at"] = pa.array([x.tolist() for x in spots], pa.list_(pa.int32()))
+        out["odd"] = pa.array([[odd[k] for k in at[x].tolist()] for at, x in zip(asked, spots, strict=True)], pa.list_(pa.binary()))
+        return pa.table(out)
+
+    asked = blocks.select("block", "hashes", "sizes", "chunks").mapInArrow(ask, "of long, bucket int, sizes binary, chunks binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "of long, bucket int, counts binary, ids binary, odd_at array<int>, odd array<binary>")
+
+
+def _replaced(flat: np.ndarray, off: np.ndarray, odd: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes with some replaced."""
+    if not odd:
+        return flat, off
+    sizes, parts, at = np.diff(off), [], 0
+    for k in sorted(odd):
+        parts += [flat[at : off[k]], np.frombuffer(odd[k], np.uint8)]
+        at, sizes[k] = off[k + 1], len(odd[k])
+    return np.concatenate([*parts, flat[at:]]), np.append(0, np.cumsum(sizes))
 
 
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20, digests: bool = False) -> DataFrame:
@@ -216,12 +264,11 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", b
         proto = f.read()
     known = cuts(proto)
     # All three are as large as the model.
-    cut, shared, decimals = (context.broadcast(x) for x in (known.cut, (proto, known.special, known.line), (known.decimals, known.decimal_offsets)))
+    cut, shared, table = (context.broadcast(x) for x in (known.cut, (proto, known.special, known.line), (known.decimals, known.decimal_offsets, known.pieces, known.piece_offsets)))
     kind = df.schema[key].dataType.simpleString()
     blocks = written(_blocks(df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("said")), kind, cut, block_bytes), "blocks")
-    listed = blocks.select("block", F.posexplode("chunks").alias("place", "chunk"))
-    table = written(segmented(listed.select("chunk").distinct(), shared), "chunks")
-    answers = listed.join(table, "chunk").select(F.col("block").alias("of"), "place", "ids", "said")
+    asked = blocks.agg(F.sum("n")).first()[0] or 0
+    answers = _answers(blocks, shared, -(-asked // BUCKET_CHUNKS))
     names = [key, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
     kinds = [kind, "long", "string" if digests else "array<int>", "string"]
 
@@ -230,11 +277,17 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", b
         keys = block["ids"].combine_chunks()
         keys = (pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys).flatten()
         counts, places = unpacked(block["counts"][0].as_py()).astype(np.int64), unpacked(block["places"][0].as_py()).astype(np.int64)
-        told = told.sort_by("place")
-        ids, id_off = _flat(told["ids"], np.int32)
-        said, said_off = _flat(told["said"], np.uint8)
+        told = told.sort_by("bucket")
+        sizes = [unpacked(x).astype(np.int64) for x in told["counts"].to_pylist()]
+        ids = np.concatenate([*(unpacked(x).astype(np.int32) for x in told["ids"].to_pylist()), np.zeros(0, np.int32)])
+        id_off = np.append(0, np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)])))
+        starts, odd = np.cumsum([0, *(len(x) for x in sizes)]).tolist(), {}
+        for base, spots, texts in zip(starts, told["odd_at"].to_pylist(), told["odd"].to_pylist(), strict=False):
+            odd |= {base + k: x for k, x in zip(spots, texts, strict=True)}
+        decimal, decimal_off, piece, piece_off = table.value
+        said_off = np.append(0, np.cumsum(piece_off[ids + 1] - piece_off[ids]))[id_off]
+        said, said_off = _replaced(piece[ragged(piece_off, ids)], said_off, odd)
         first = np.append(0, np.cumsum(counts))
-        decimal, decimal_off = decimals.value
         n, out_ids, out_said = np.zeros(len(counts), np.int64), [], []
         lo = 0
         while lo < len(counts):
