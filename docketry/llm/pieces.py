@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.frames import lists, rows, written
-from docketry.llm.interpolation import packed, packed_keys, unpacked, unpacked_keys
+from docketry.llm.interpolation import packed, unpacked
 from docketry.llm.words import CHUNK_BYTES, Octets
 
 MARK = "▁"
@@ -123,8 +123,8 @@ BUCKET_CHUNKS = 1 << 18
 
 
 def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFrame:
-    """(block, ids, counts, places, n, hashes, sizes, chunks): keys of texts, how many chunks each has, which of the block's
-    distinct chunks; these in the order of their hashes."""
+    """(block, ids, counts, ranks, places, n, sizes, chunks): keys of texts, how many chunks each has, the chunks by how often
+    the block has them, the place of each rank among the block's distinct chunks; these in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, int] = {}
@@ -138,11 +138,15 @@ def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFr
             order = np.argsort(h, kind="stable")
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
-            told = place[np.concatenate([*places, np.zeros(0, np.int32)])]
-            row = [uuid.uuid4().int >> 65, None, packed(np.concatenate(counts)), packed(told), len(said), packed_keys(h[order]), packed(np.diff(off)[order]), zlib.compress(b"".join([said[k] for k in order.tolist()]), 1)]
-            columns = [pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.null(), pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 3), strict=True)]
+            # Chunks that are there often have small numbers, which pack better.
+            told = np.concatenate([*places, np.zeros(0, np.int32)])
+            often = np.argsort(-np.bincount(told, minlength=len(said)), kind="stable")
+            rank = np.empty(len(often), np.int32)
+            rank[often] = np.arange(len(often), dtype=np.int32)
+            row = [uuid.uuid4().int >> 65, None, packed(np.concatenate(counts)), packed(rank[told]), packed(place[often]), len(said), packed(np.diff(off)[order]), zlib.compress(b"".join([said[k] for k in order.tolist()]), 1)]
+            columns = [pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.null(), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 2), strict=True)]
             columns[1] = lists(keys, [len(keys)])
-            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "counts", "places", "n", "hashes", "sizes", "chunks"])
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "counts", "ranks", "places", "n", "sizes", "chunks"])
 
         for batch in batches:
             at = 0
@@ -168,7 +172,7 @@ def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFr
         if ids:
             yield made()
 
-    return docs.mapInArrow(run, f"block long, ids array<{kind}>, counts binary, places binary, n long, hashes binary, sizes binary, chunks binary")
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, counts binary, ranks binary, places binary, n long, sizes binary, chunks binary")
 
 
 class Segmenter:
@@ -205,11 +209,12 @@ def _answers(blocks: DataFrame, shared: object, buckets: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, hashes, sizes, said in zip(*(rows(batch, c).to_pylist() for c in ("block", "hashes", "sizes", "chunks")), strict=True):
-                bucket = (unpacked_keys(hashes) >> np.uint64(64 - bits)).astype(np.int64)
+            for block, sizes, said in zip(*(rows(batch, c).to_pylist() for c in ("block", "sizes", "chunks")), strict=True):
                 size, said = unpacked(sizes).astype(np.int64), zlib.decompress(said)
+                off = np.append(0, np.cumsum(size)).astype(np.int64)
+                bucket = (Octets(np.frombuffer(said, np.uint8)).hashes(off[:-1], off[1:]) >> np.uint64(64 - bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
-                off, ends = np.append(0, np.cumsum(size)), np.append(cuts[1:], len(bucket))[: len(cuts)]
+                ends = np.append(cuts[1:], len(bucket))[: len(cuts)]
                 parts = [(int(bucket[a]), packed(size[a:b]), zlib.compress(said[off[a] : off[b]], 1)) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
                 columns = [pa.array([block] * len(parts), pa.int64()), *(pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary())))]
                 yield pa.RecordBatch.from_arrays(columns, names=["of", "bucket", "sizes", "chunks"])
@@ -239,7 +244,7 @@ def _answers(blocks: DataFrame, shared: object, buckets: int) -> DataFrame:
         out["odd"] = pa.array([[odd[k] for k in at[x].tolist()] for at, x in zip(asked, spots, strict=True)], pa.list_(pa.binary()))
         return pa.table(out)
 
-    asked = blocks.select("block", "hashes", "sizes", "chunks").mapInArrow(ask, "of long, bucket int, sizes binary, chunks binary")
+    asked = blocks.select("block", "sizes", "chunks").mapInArrow(ask, "of long, bucket int, sizes binary, chunks binary")
     return asked.groupBy("bucket").applyInArrow(answer, "of long, bucket int, counts binary, ids binary, odd_at array<int>, odd array<binary>")
 
 
@@ -254,7 +259,7 @@ def _replaced(flat: np.ndarray, off: np.ndarray, odd: dict[int, bytes]) -> tuple
     return np.concatenate([*parts, flat[at:]]), np.append(0, np.cumsum(sizes))
 
 
-def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20, digests: bool = False) -> DataFrame:
+def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", block_bytes: int = 24 << 20, digests: bool = False) -> DataFrame:
     """Columns key, n_tokens, then ids (array<int>) and decoded (string); with digests their SHA-256 instead.
 
     model: the path of the model's file, read by the driver alone.
@@ -276,7 +281,8 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", b
         """The texts of a block, from its chunks' ids by position."""
         keys = block["ids"].combine_chunks()
         keys = (pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys).flatten()
-        counts, places = unpacked(block["counts"][0].as_py()).astype(np.int64), unpacked(block["places"][0].as_py()).astype(np.int64)
+        counts, places = unpacked(block["counts"][0].as_py()).astype(np.int64), unpacked(block["places"][0].as_py()).astype(np.int32)
+        places = places[unpacked(block["ranks"][0].as_py()).astype(np.int32)] if len(places) else places
         told = told.sort_by("bucket")
         sizes = [unpacked(x).astype(np.int64) for x in told["counts"].to_pylist()]
         ids = np.concatenate([*(unpacked(x).astype(np.int32) for x in told["ids"].to_pylist()), np.zeros(0, np.int32)])
@@ -313,4 +319,4 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", b
         return pa.table([keys, pa.array(n), made, pa.array(out_said, pa.string())], names=names)
 
     schema = ", ".join(f"`{a}` {b}" for a, b in zip(names, kinds, strict=True))
-    return blocks.select("block", "ids", "counts", "places").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(joined, schema)
+    return blocks.select("block", "ids", "counts", "ranks", "places").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(joined, schema)
