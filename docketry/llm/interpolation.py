@@ -20,11 +20,11 @@ rows as any other; an empty input gives an empty result.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +40,14 @@ BUCKET_KEYS = 1 << 20
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Whole numbers, not below 0, in as few bytes as the largest needs, by planes, deflated."""
+    """Whole numbers, not below 0, in as few bytes as the largest needs, by planes, compressed."""
     x = x.astype("<u8")
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + zlib.compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+    return bytes([width]) + zstandard.compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, : data[0]] = planes.T
     return out.view("<u8").reshape(-1)

@@ -22,12 +22,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,7 +143,7 @@ def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFr
             often = np.argsort(-np.bincount(told, minlength=len(said)), kind="stable")
             rank = np.empty(len(often), np.int32)
             rank[often] = np.arange(len(often), dtype=np.int32)
-            row = [uuid.uuid4().int >> 65, None, packed(np.concatenate(counts)), packed(rank[told]), packed(place[often]), len(said), packed(np.diff(off)[order]), zlib.compress(b"".join([said[k] for k in order.tolist()]), 1)]
+            row = [uuid.uuid4().int >> 65, None, packed(np.concatenate(counts)), packed(rank[told]), packed(place[often]), len(said), packed(np.diff(off)[order]), zstandard.compress(b"".join([said[k] for k in order.tolist()]), 3)]
             columns = [pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.null(), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 2), strict=True)]
             columns[1] = lists(keys, [len(keys)])
             return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "counts", "ranks", "places", "n", "sizes", "chunks"])
@@ -210,12 +210,12 @@ def _answers(blocks: DataFrame, shared: object, buckets: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, sizes, said in zip(*(rows(batch, c).to_pylist() for c in ("block", "sizes", "chunks")), strict=True):
-                size, said = unpacked(sizes).astype(np.int64), zlib.decompress(said)
+                size, said = unpacked(sizes).astype(np.int64), zstandard.decompress(said)
                 off = np.append(0, np.cumsum(size)).astype(np.int64)
                 bucket = (Octets(np.frombuffer(said, np.uint8)).hashes(off[:-1], off[1:]) >> np.uint64(64 - bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
                 ends = np.append(cuts[1:], len(bucket))[: len(cuts)]
-                parts = [(int(bucket[a]), packed(size[a:b]), zlib.compress(said[off[a] : off[b]], 1)) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+                parts = [(int(bucket[a]), packed(size[a:b]), zstandard.compress(said[off[a] : off[b]], 3)) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
                 columns = [pa.array([block] * len(parts), pa.int64()), *(pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary())))]
                 yield pa.RecordBatch.from_arrays(columns, names=["of", "bucket", "sizes", "chunks"])
 
@@ -224,7 +224,7 @@ def _answers(blocks: DataFrame, shared: object, buckets: int) -> DataFrame:
         table: dict[bytes, int] = {}
         asked = []
         for sizes, said in zip(group["sizes"].to_pylist(), group["chunks"].to_pylist(), strict=True):
-            said, off = zlib.decompress(said), np.append(0, np.cumsum(unpacked(sizes).astype(np.int64))).tolist()
+            said, off = zstandard.decompress(said), np.append(0, np.cumsum(unpacked(sizes).astype(np.int64))).tolist()
             asked.append(np.array([table.setdefault(said[a:b], len(table)) for a, b in zip(off[:-1], off[1:], strict=True)], np.int64))
         distinct = list(table)
         del table
@@ -259,7 +259,7 @@ def _replaced(flat: np.ndarray, off: np.ndarray, odd: dict[int, bytes]) -> tuple
     return np.concatenate([*parts, flat[at:]]), np.append(0, np.cumsum(sizes))
 
 
-def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", block_bytes: int = 24 << 20, digests: bool = False) -> DataFrame:
+def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", block_bytes: int = 32 << 20, digests: bool = False) -> DataFrame:
     """Columns key, n_tokens, then ids (array<int>) and decoded (string); with digests their SHA-256 instead.
 
     model: the path of the model's file, read by the driver alone.
