@@ -145,7 +145,6 @@ def _counts(blocks: DataFrame, pairs: bool, buckets: int) -> DataFrame:
     training texts, and over the held-out ones, of the block's keys there in order; types: the bucket's keys
     with a count."""
     shift = np.uint64(64 - max(1, (buckets - 1).bit_length()))
-    n = 1 << max(1, (buckets - 1).bit_length())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,9 +155,11 @@ def _counts(blocks: DataFrame, pairs: bool, buckets: int) -> DataFrame:
                 fold = b.fold_of_tokens()
                 learned = np.bincount(at[fold != APART], minlength=len(keys))
                 tuned = np.bincount(at[fold == TUNING], minlength=len(keys))
-                cuts = np.searchsorted(keys >> shift, np.arange(n + 1, dtype=np.uint64)).tolist()
-                full = [k for k in range(n) if cuts[k] < cuts[k + 1]]
-                parts = [[f(x[cuts[k] : cuts[k + 1]]) for k in full] for f, x in ((packed_keys, keys), (packed, learned), (packed, tuned))]
+                # Only buckets that the block has keys of: at most a message a key, however many buckets there are.
+                bucket = (keys >> shift).astype(np.int64)
+                begins = np.flatnonzero(np.append(True, np.diff(bucket) != 0)[: len(bucket)])
+                ends, full = np.append(begins[1:], len(bucket))[: len(begins)].tolist(), bucket[begins].tolist()
+                parts = [[f(x[a:b]) for a, b in zip(begins.tolist(), ends, strict=True)] for f, x in ((packed_keys, keys), (packed, learned), (packed, tuned))]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows(one, "block")[0].as_py()] * len(full), pa.string()), *(pa.array(p, pa.binary()) for p in parts)], names=["bucket", "block", "keys", "learned", "tuned"])
 
     def answer(group: pa.Table) -> pa.Table:

@@ -255,6 +255,50 @@ def test_op4_base_and_mixture(spark):
     assert all(r.score < 0 for r in got)
 
 
+def test_op4_score_is_the_mixture_learned_by_expectation_maximisation(spark):
+    docs = [(i, made(i % 37, 0, 60)) for i in range(120)] + [(200, None), (201, ""), (202, "Only here"), (202, "Only here"), (203, " ".join(thue_morse(1024)))]
+    df = frame(spark, docs).repartition(3)
+    got = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 4)) for r in interpolation.score(df, F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 == 1, rounds=6, block_bytes=1500).collect())
+    tokens = [(i, [x.lower() for x in PLAIN.findall((t or "").encode())] + [None]) for i, t in docs]
+
+    def counts(texts):
+        one, two, context = Counter(), Counter(), Counter()
+        for t in texts:
+            one.update(t)
+            two.update(zip(["begin", *t], t))
+            context.update(["begin", *t[:-1]])
+        return one, two, context
+
+    def parts(model, v, w):
+        one, two, _ = model
+        # A context is counted wherever it stands, an end as the beginning of nothing.
+        seen = model[2]["begin"] if v == "begin" else one[v]
+        return min(seen.bit_length(), interpolation.BUCKETS - 1), (two[v, w] / seen if seen else 0.0), one[w] / max(1, sum(one.values())), 1 / (len(one) + 1)
+
+    tuning = [t for i, t in tokens if i % 5 == 1]
+    model = counts([t for i, t in tokens if i % 5 not in (0, 1)])
+    weights = {b: [0.5, 0.4, 0.1] if b else [0.0, 0.8, 0.2] for b in range(interpolation.BUCKETS)}
+    for _ in range(6):
+        sums = {}
+        for t in tuning:
+            for v, w in zip(["begin", *t], t):
+                b, *p = parts(model, v, w)
+                mine = [x * y for x, y in zip(weights[b], p)]
+                sums[b] = [x + y / sum(mine) for x, y in zip(sums.get(b, [0, 0, 0]), mine)]
+        weights |= {b: [y / sum(x) for y in x] for b, x in sums.items()}
+    model = counts([t for i, t in tokens if i % 5])
+    one, n = model[0], sum(model[0].values())
+    want = []
+    for i, t in tokens:
+        score = 0.0
+        for v, w in zip(["begin", *t], t):
+            b, *p = parts(model, v, w)
+            score += math.log10(sum(x * y for x, y in zip(weights[b], p)))
+        base = sum(math.log10((one[w] + 0.1) / (n + 0.1 * (len(one) + 1))) for w in t)
+        want.append((i, len(t), sum(one[w] > 0 for w in t), n, round(base, 6), round(score, 4)))
+    assert all(a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-5 and abs(a[5] - b[5]) < 2e-3 for a, b in zip(got, sorted(want), strict=True))
+
+
 def test_op4_beats_the_base_where_words_go_in_pairs(spark):
     r = random.Random(4)
     docs = [(i, " ".join(r.choice(("red house", "blue tree", "old river", "big stone")) for _ in range(30))) for i in range(150)]
