@@ -36,7 +36,7 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
-ROW_PIXELS, PAGE_ROWS, STRIP_ROWS, TILE = 64, 256, 64, 32
+ROW_PIXELS, PAGE_ROWS, STRIP_ROWS, TILE_WIDE, TILE_HIGH = 64, 256, 64, 32, 16
 ROW_BYTES = 3 * ROW_PIXELS
 
 _RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
@@ -115,43 +115,50 @@ def lzw(data: bytes) -> bytes:
     return np.packbits(wide[np.arange(12) >= 12 - width[:, None]]).tobytes()
 
 
+#: Codes that a table takes in before it must be cleared, and their widths.
+_RUN_CODES = 4096 - 256
+_RUN_WIDTHS = _widths(_RUN_CODES)
+_RUN_ENDS = np.cumsum(_RUN_WIDTHS)
+_BYTES = [bytes([i]) for i in range(256)] + [b"", b""]
+
+
 def unlzw(data: bytes, need: int = 1 << 62) -> bytes:
-    """The first ``need`` bytes, and those of their last code."""
-    start = [bytes([i]) for i in range(256)] + [b"", b""]
-    out: list[bytes] = []
-    table, prev, width, held, bits, made = list(start), b"", 9, 0, 0, 0
-    for byte in data:
-        held, bits = (held << 8) | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 256:
-            table, prev, width = list(start), b"", 9
-            continue
-        if code == 257:
+    """The first ``need`` bytes, and those of their last code. Codes between two clears are cut out together."""
+    raw, out, made, bit = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64), [], 0, 0
+    while made < need:
+        n = int(np.searchsorted(_RUN_ENDS, 8 * len(data) - bit, "right"))
+        if not n:
             break
-        if not prev:
-            prev = table[code]
-            out.append(prev)
-            made += len(prev)
-            continue
-        if code < len(table):
-            now = table[code]
-        elif code == len(table):
-            now = prev + prev[:1]
-        else:
-            raise ValueError("LZW code beyond the table")
-        out.append(now)
-        made += len(now)
-        if made >= need:
+        width, at = _RUN_WIDTHS[:n], _RUN_ENDS[:n] - _RUN_WIDTHS[:n] + bit
+        place = at >> 3
+        codes = ((raw[place] << 16 | raw[place + 1] << 8 | raw[place + 2]) >> (24 - (at & 7) - width)) & ((1 << width) - 1)
+        stops = np.flatnonzero((codes | 1) == 257)
+        if not len(stops) and n == _RUN_CODES:
+            raise ValueError("LZW table isn't cleared in time")
+        stop = int(stops[0]) if len(stops) else n
+        table, prev = list(_BYTES), b""
+        add, grow = out.append, table.append
+        for code in codes[:stop].tolist():
+            if not prev:
+                if code > 255:
+                    raise ValueError("LZW run begins beyond the bytes")
+                now = table[code]
+            else:
+                if code < len(table):
+                    now = table[code]
+                elif code == len(table):
+                    now = prev + prev[:1]
+                else:
+                    raise ValueError("LZW code beyond the table")
+                grow(prev + now[:1])
+            add(now)
+            prev = now
+            made += len(now)
+            if made >= need:
+                break
+        if stop == n or codes[stop] == 257:
             break
-        table.append(prev + now[:1])
-        prev = now
-        n = len(table)
-        if n == 511 or n == 1023 or n == 2047:
-            width += 1
+        bit = int(at[stop] + width[stop])
     return b"".join(out)
 
 
@@ -182,9 +189,9 @@ def write(payload: bytes, page_rows: int = PAGE_ROWS) -> bytes:
         part = image[top : top + page_rows]
         how, tiled, predictor = LAYOUTS[(turn + page) % len(LAYOUTS)]
         if tiled:
-            tall = np.zeros((-(-len(part) // TILE) * TILE, ROW_PIXELS, 3), np.uint8)
+            tall = np.zeros((-(-len(part) // TILE_HIGH) * TILE_HIGH, ROW_PIXELS, 3), np.uint8)
             tall[: len(part)] = part
-            blocks = [tall[y : y + TILE, x : x + TILE] for y in range(0, len(tall), TILE) for x in range(0, ROW_PIXELS, TILE)]
+            blocks = [tall[y : y + TILE_HIGH, x : x + TILE_WIDE] for y in range(0, len(tall), TILE_HIGH) for x in range(0, ROW_PIXELS, TILE_WIDE)]
         else:
             blocks = [part[y : y + STRIP_ROWS] for y in range(0, len(part), STRIP_ROWS)]
         offsets, counts = [], []
@@ -197,7 +204,7 @@ def write(payload: bytes, page_rows: int = PAGE_ROWS) -> bytes:
             out += made
         out += b"\0" * (len(out) % 2)
         fields = [(WIDTH, 3, [ROW_PIXELS]), (HEIGHT, 4, [len(part)]), (BITS, 3, [8, 8, 8]), (COMPRESSION, 3, [how]), (PHOTOMETRIC, 3, [2]), (SAMPLES, 3, [3]), (PLANAR, 3, [1]), (PREDICTOR, 3, [predictor])]
-        fields += [(TILE_WIDTH, 3, [TILE]), (TILE_HEIGHT, 3, [TILE]), (TILE_OFFSETS, 4, offsets), (TILE_COUNTS, 4, counts)] if tiled else [(STRIP_OFFSETS, 4, offsets), (ROWS_PER_STRIP, 3, [STRIP_ROWS]), (STRIP_COUNTS, 4, counts)]
+        fields += [(TILE_WIDTH, 3, [TILE_WIDE]), (TILE_HEIGHT, 3, [TILE_HIGH]), (TILE_OFFSETS, 4, offsets), (TILE_COUNTS, 4, counts)] if tiled else [(STRIP_OFFSETS, 4, offsets), (ROWS_PER_STRIP, 3, [STRIP_ROWS]), (STRIP_COUNTS, 4, counts)]
         entries = b""
         for tag, kind, values in sorted(fields):
             raw = struct.pack(f"<{len(values)}{'H' if kind == 3 else 'I'}", *values)
