@@ -10,24 +10,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Used where spark.checkpoint.dir is unset and all runs on one machine, as in tests.
 LOCAL_FOLDER = "/tmp/docketry-checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; LOCAL_FOLDER where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir; LOCAL_FOLDER where there is none and no cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/") if held.isDefined() else LOCAL_FOLDER
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    return LOCAL_FOLDER
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and outlives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage, and outlives lost executors. The table goes when
+    the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
