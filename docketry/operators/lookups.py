@@ -41,7 +41,7 @@ def phrase_hits(units: DataFrame, phrases: DataFrame, limit: int = 20) -> DataFr
     pairs = words.join(keyed.where("word is not null").select("query", "phrase", "word"), "word").select("query", "phrase", "unit")
     long = pairs.join(units, "unit").where(F.contains("said", F.col("phrase"))).select("query", "unit", "phrase", F.length("said").alias("size"))
     short = units.join(F.broadcast(keyed.where("word is null").select("query", "phrase")), F.contains(F.col("said"), F.col("phrase"))).select("query", "unit", "phrase", F.length("said").alias("size"))
-    hits = long.unionByName(short).groupBy("query", "unit").agg(F.count(F.lit(1)).alias("matches"), F.max(F.length("phrase")).alias("longest"), F.max("size").alias("size"))
+    hits = long.unionByName(short).groupBy("query", "unit").agg(F.count(F.lit(1)).alias("matches"), F.max(F.length("phrase")).cast("long").alias("longest"), F.max("size").alias("size"))
     ranked = first_per_group(hits, ["query"], [F.desc("matches"), F.desc("longest"), "size", "unit"], limit)
     return ranked.select("query", "unit", "matches", "longest", F.col("place").alias("rank"))
 

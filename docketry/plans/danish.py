@@ -17,6 +17,8 @@ from docketry.plans.queries import ORACLES, QUERIES, table
 def _sql(value) -> str:
     if value is None:
         return "NULL"
+    if isinstance(value, float):
+        return f"{value}::DOUBLE"
     return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
 
 

@@ -65,7 +65,7 @@ def expected_in_results(spark, sf_dir):
     sources AS (SELECT DISTINCT query, doc, dense_rank() OVER (PARTITION BY query ORDER BY doc) AS number FROM hits WHERE doc % 2 = 0),
     mine AS (SELECT h.*, number FROM hits h JOIN sources USING (query, doc) QUALIFY row_number() OVER (PARTITION BY query, doc ORDER BY rank) <= 3),
     blocks AS (SELECT *, '[Kilde ' || number || '] ' || 'sag ' || doc || chr(10) || text AS block FROM mine)
-    SELECT query, doc, row_number() OVER w AS place, number, block, sum(length(block) + 2) OVER w - 2 AS used FROM blocks WINDOW w AS (PARTITION BY query ORDER BY rank) QUALIFY used <= 14000""")
+    SELECT query, doc, row_number() OVER w AS place, number, block, (sum(length(block) + 2) OVER w - 2)::BIGINT AS used FROM blocks WINDOW w AS (PARTITION BY query ORDER BY rank) QUALIFY used <= 14000""")
 def numbered_citation_context(spark, sf_dir):
     """Paragraphs of sources under their numbers, three of each, within 14,000 characters."""
     i = F.col("doc_id")
