@@ -30,6 +30,15 @@ class Index:
     docs: int
     mean: float
 
+    def of(self, terms: DataFrame, most: int = 2_000) -> Index:
+        """The index with the postings of these terms alone. Up to ``most`` of them are named to the scan, which skips what
+        lies elsewhere in a stored index; more are joined."""
+        distinct = terms.select("term").distinct()
+        named = [r.term for r in distinct.limit(most + 1).collect()]
+        if len(named) <= most:
+            return Index(self.postings.where(F.col("term").isin(named)), self.frequencies.where(F.col("term").isin(named)), self.docs, self.mean)
+        return Index(self.postings.join(distinct, "term", "left_semi"), self.frequencies, self.docs, self.mean)
+
 
 def runs(said: Column, most: int) -> Column:
     """The runs of 1 to ``most`` neighbouring tokens, joined by spaces."""
@@ -60,6 +69,11 @@ def build(df: DataFrame, doc: str = "doc_id", text: str = "text", terms: DataFra
     return Index(found, found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), docs, mean)
 
 
+def laid_out(rows: DataFrame) -> DataFrame:
+    """Rows with a column term in its order, so that files and row groups of a stored table hold ranges of terms."""
+    return rows.repartitionByRange("term").sortWithinPartitions("term")
+
+
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text", most: int = 1, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """(query, term), each once."""
     said = queries.select(F.col(query).alias("query"), words(F.coalesce(F.col(text), F.lit(""))).alias("said"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.vectors import dot
 from docketry.operators.index import fixed
 
 
@@ -17,17 +19,51 @@ def top(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, threshold: float = 0.15) -> DataFrame:
-    """(query, doc, score) of (query, qv) against all (doc, v): products above the threshold, to ten places.
+def _blocks(df: DataFrame, key: str, vector: str, rows: int, name: str) -> tuple[DataFrame, int]:
+    """(name, keys, values): some ``rows`` vectors in one row each, and how many blocks there are."""
+    count = max(1, -(-df.count() // rows))
+    kind = df.schema[key].dataType.simpleString()
 
-    A stated set of queries meets every vector in blocks: the queries are packed into rows of 64 and each vector is
-    compared with a block at a time.
+    def pack(group: pa.Table) -> pa.Table:
+        flat = group[vector].combine_chunks()
+        flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+        keys = group[key].combine_chunks()
+        keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
+        values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return pa.table({name: group[name].slice(0, 1), "keys": pa.array([keys.to_pylist()], pa.list_(keys.type)), "values": pa.array([values.tobytes()], pa.binary())})
+
+    dealt = df.where(F.col(vector).isNotNull()).select(key, vector, F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias(name))
+    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, keys array<{kind}>, values binary"), count
+
+
+def vector_scores(vectors: DataFrame, queries: DataFrame, threshold: float = 0.15, k: int | None = None, rows: int = 4_096) -> DataFrame:
+    """(query, doc, score) of (query, qv) against all (doc, v): products above the threshold, to ten places; with k the k best of
+    each query, ties by doc, in each pair of blocks, which holds the k best of all.
+
+    A stated set of queries meets every vector in blocks of ``rows``: a pair of blocks is one matrix product, so memory is that of
+    two blocks and their products, and a vector moves once for each block of queries.
     """
-    blocks = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(64)).alias("block")).agg(F.collect_list(F.struct("query", "qv")).alias("block_of"))
-    # Every vector with every block of the stated queries: an explode over the blocks' numbers, then an equi-join.
-    each = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63)))).join(blocks, "block")
-    scored = each.select("doc", F.explode(F.transform("block_of", lambda q: F.struct(q.query.alias("query"), F.bround(dot(F.col("v"), q.qv), 10).alias("score")))).alias("x"))
-    return scored.select("x.query", "doc", "x.score").where(F.col("score") > threshold)
+    held, m = _blocks(vectors, "doc", "v", rows, "block")
+    asked, n = _blocks(queries, "query", "qv", rows // 4, "of")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    # Joined by pair, so that a block of queries isn't one task's.
+    pairs = held.withColumn("of", each(n)).join(asked.withColumnsRenamed({"keys": "qkeys", "values": "qvalues"}).withColumn("block", each(m)), ["block", "of"])
+    kinds = (vectors.schema["doc"].dataType.simpleString(), queries.schema["query"].dataType.simpleString())
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, named = np.array(row["keys"]), np.array(row["qkeys"])
+                v, q = (np.frombuffer(row[c], np.float64).reshape(len(x), -1) for c, x in (("values", docs), ("qvalues", named)))
+                order = np.argsort(docs, kind="stable")
+                docs, scores = docs[order], np.round(q @ v[order].T, 10)
+                for i in range(len(named)):
+                    at = np.flatnonzero(scores[i] > threshold)
+                    if k is not None and len(at) > k:
+                        at = at[np.argsort(-scores[i][at], kind="stable")[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array([named[i]] * len(at), batch.schema.field("qkeys").type.value_type), pa.array(docs[at], batch.schema.field("keys").type.value_type), pa.array(scores[i][at])], names=["query", "doc", "score"])
+
+    return pairs.select("keys", "values", "qkeys", "qvalues").mapInArrow(products, f"query {kinds[1]}, doc {kinds[0]}, score double")
 
 
 def max_pool(scores: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -50,9 +86,11 @@ def boosted(ranking: DataFrame, overlap: Column, k: int = 20, step: float = 0.00
 def exact_scores(docs: DataFrame, queries: DataFrame, per_phrase: int = 120) -> DataFrame:
     """(query, doc, score): points for phrases that stand in the text. queries: (query, phrase); docs: (doc, said).
 
-    Phrases are joined by their first word, then compared whole.
+    Texts that hold a phrase's longest word are found without the text, which is joined back to compare the phrase whole.
     """
-    words = docs.select("doc", "said", F.explode(F.array_distinct(F.split("said", " "))).alias("word"))
-    wanted = queries.where(F.col("phrase") != "").withColumn("word", F.split("phrase", " ")[0])
-    hit = words.join(wanted, "word").where(F.contains(F.concat(F.lit(" "), "said", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    longest = F.array_sort(F.split("phrase", " "), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    wanted = queries.where(F.col("phrase") != "").withColumn("word", F.get(longest, 0))
+    words = docs.select("doc", F.explode(F.array_distinct(F.split("said", " "))).alias("word"))
+    likely = words.join(wanted, "word").select("query", "phrase", "doc").distinct()
+    hit = likely.join(docs, "doc").where(F.contains(F.concat(F.lit(" "), "said", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" "))))
     return hit.groupBy("query", "doc").agg((F.count(F.lit(1)) * per_phrase).alias("score"))

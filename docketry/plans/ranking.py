@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.functions import text as tx
 from docketry.functions.snowball_da import stemmed
 from docketry.functions.text import squeezed, title, tokens
 from docketry.operators import index as ix
@@ -13,6 +14,7 @@ from docketry.operators import paragraphs as pg
 from docketry.operators import rank as rk
 from docketry.operators.passages import key_sections_of
 from docketry.plans.queries import query, table
+from docketry.sources.tables import cached
 
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-zæøå0-9]+')"
 _POST = f"""
@@ -50,22 +52,37 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.query_terms(table(spark, sf_dir, "benchmark"), "item_id")
 
 
-def indexed(spark: SparkSession, sf_dir: str, all_terms: bool = False) -> ix.Index:
-    return ix.build(table(spark, sf_dir, "documents"), terms=None if all_terms else items(spark, sf_dir))
+def indexed(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """The index of all documents: built by the first query that needs it, then read."""
+    source, kept = [f"{sf_dir}/documents.parquet"], lambda name, make: cached(spark, name, source, [ix, tx], make)
+    posted = kept("postings", lambda: ix.laid_out(ix.postings(table(spark, sf_dir, "documents"))))
+    frequencies = kept("frequencies", lambda: ix.laid_out(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))))
+    said = tokens(F.coalesce("text", F.lit("")))
+    sizes = kept("sizes", lambda: table(spark, sf_dir, "documents").select(F.size(said).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean")))
+    docs, mean = sizes.first()
+    return ix.Index(posted, frequencies, docs, mean)
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.bm25(indexed(spark, sf_dir), items(spark, sf_dir))
+    terms = items(spark, sf_dir)
+    return ix.bm25(indexed(spark, sf_dir).of(terms), terms)
+
+
+def weighted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF weights and rarities of all documents, built once."""
+    source = [f"{sf_dir}/documents.parquet"]
+    index = indexed(spark, sf_dir)
+    weights, rare = (cached(spark, name, source, [ix, tx], lambda k=k: ix.laid_out(ix.tfidf(index)[k])) for k, name in enumerate(("weights", "rarities")))
+    return weights, rare
 
 
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = indexed(spark, sf_dir, all_terms=True)
-    return ix.tfidf_scores(*ix.tfidf(index), items(spark, sf_dir))
+    return ix.tfidf_scores(*weighted(spark, sf_dir), items(spark, sf_dir))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
     every = table(spark, sf_dir, "embeddings")
-    return rk.vector_scores(every.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v")), every.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")))
+    return rk.vector_scores(every.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v")), every.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")), k=k)
 
 
 @query(f"WITH {_BM25} SELECT query, doc, matched, score, rank FROM {_ranked('bm25', 20)}")
@@ -149,7 +166,7 @@ def candidate_local_bm25(spark, sf_dir):
     terms, docs = items(spark, sf_dir), table(spark, sf_dir, "documents")
     cand = rk.top(bm25(spark, sf_dir), 30).select("query", "doc")
     sizes = docs.select(F.col("doc_id").alias("doc"), F.size(tokens(F.coalesce("text", F.lit("")))).alias("size")).join(cand, "doc").groupBy("query").agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg("size").alias("mean"))
-    local = ix.build(docs, terms=terms).postings.join(cand, "doc").join(terms, ["query", "term"])
+    local = indexed(spark, sf_dir).of(terms).postings.join(cand, "doc").join(terms, ["query", "term"])
     freq = local.groupBy("query", "term").agg(F.count(F.lit(1)).alias("df"))
     df, tf, n = F.col("df"), F.col("tf"), F.col("n")
     w = F.ln(1.0 + (F.col("docs") - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / F.col("mean"))))
@@ -185,7 +202,7 @@ def query_feature_rerank(spark, sf_dir):
     """1 / (rank + 1) plus the rarity, among the candidates, of the query's features in a text."""
     cand, terms = rk.top(bm25(spark, sf_dir), 30), items(spark, sf_dir)
     pool = cand.groupBy("query").agg(F.count(F.lit(1)).cast("double").alias("docs"))
-    feat = indexed(spark, sf_dir).postings.select("doc", "term").join(cand.select("query", "doc", "rank"), "doc").join(terms, ["query", "term"])
+    feat = indexed(spark, sf_dir).of(terms).postings.select("doc", "term").join(cand.select("query", "doc", "rank"), "doc").join(terms, ["query", "term"])
     freq = feat.groupBy("query", "term").agg(F.count(F.lit(1)).alias("df"))
     rare = ix.fixed(1.0 + F.ln((F.col("docs") + 1) / (F.col("df") + 1.0)))
     bonus = feat.join(freq, ["query", "term"]).join(pool, "query").groupBy("query", "doc", "rank").agg(F.sum(rare).alias("bonus"))
@@ -194,19 +211,19 @@ def query_feature_rerank(spark, sf_dir):
 
 @query(f"WITH {_VEC} SELECT query, doc, score, rank FROM {_ranked('vec', 20)}")
 def vector_topk(spark, sf_dir):
-    return rk.top(vectors(spark, sf_dir), 20)
+    return rk.top(vectors(spark, sf_dir, 20), 20)
 
 
 @query(f"WITH {_VEC}, pooled AS (SELECT query, label AS doc, max(score) AS score FROM {_ranked('vec', 80)} b JOIN embeddings e ON e.vec_id = b.doc GROUP BY ALL) SELECT query, doc, score, rank FROM {_ranked('pooled', 10)}")
 def vector_maxpool(spark, sf_dir):
     chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("label").alias("doc"))
-    return rk.top(rk.max_pool(vectors(spark, sf_dir), chunks, 10), 10)
+    return rk.top(rk.max_pool(vectors(spark, sf_dir, 80), chunks, 10), 10)
 
 
 @query(f"WITH {_BM25}, {_VEC}, lex AS (SELECT query, doc, rank FROM {_ranked('bm25', 50)}), dense AS (SELECT query // 20 AS query, doc, rank FROM {_ranked('vec', 50)}), fused AS (SELECT query, doc, sum(round_even(1e7 / (61.0e0 + rank), 0)::BIGINT)::BIGINT AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM dense) GROUP BY query, doc) SELECT query, doc, score, rank FROM {_ranked('fused', 20)}")
 def hybrid_topk(spark, sf_dir):
     """A lexical and a vector list fused; vector query 20 * i stands for text query i."""
-    dense = rk.top(vectors(spark, sf_dir), 50).withColumn("query", F.floor(F.col("query") / 20).cast("long"))
+    dense = rk.top(vectors(spark, sf_dir, 50), 50).withColumn("query", F.floor(F.col("query") / 20).cast("long"))
     return rk.top(rk.fuse([rk.top(bm25(spark, sf_dir), 50), dense]), 20)
 
 
@@ -218,7 +235,7 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of the title of each 20th document against all others."""
     docs = table(spark, sf_dir, "documents")
     terms = ix.query_terms(docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring(title(F.col("text")), 1, 600).alias("text")))
-    return ix.bm25(ix.build(docs, terms=terms), terms).where("query <> doc")
+    return ix.bm25(indexed(spark, sf_dir).of(terms), terms).where("query <> doc")
 
 
 @query(f"WITH {_SIMILAR_BM25}, others AS (SELECT * FROM bm25 WHERE query <> doc) SELECT query, doc, score, rank FROM {_ranked('others', 10)}")

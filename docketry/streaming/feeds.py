@@ -10,13 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_FOLDER = "/tmp/docketry-checkpoints"
-
-
-def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder of spark.checkpoint.dir; LOCAL_FOLDER where none is named."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
-
+from docketry.sources.tables import folder
 
 def drained(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """What a query over the files at path, read as a stream, has given when all are read.
