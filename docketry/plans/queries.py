@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from docketry.plans import answers, chain, danish, evaluation, facets, lookups, ranking, records, texts  # noqa: E402, F401
+from docketry.plans import answers, chain, danish, evaluation, facets, lookups, passages, ranking, records, texts  # noqa: E402, F401

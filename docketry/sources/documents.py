@@ -20,8 +20,8 @@ def kind(content: Column) -> Column:
     """pdf, docx (any zip), doc, else html or text by the first sign that isn't white space; null for null."""
     head = F.hex(F.substring(content, 1, 8))
     known = F.coalesce(*(F.when(F.startswith(head, F.lit(m)), F.lit(k)) for k, m in MAGIC))
-    start = F.ltrim(F.decode(F.substring(content, 1, 200), "ISO-8859-1"))
-    return F.when(content.isNull(), F.lit(None)).otherwise(F.coalesce(known, F.when(F.startswith(start, F.lit("<")), F.lit("html")), F.lit("text")))
+    start = F.decode(F.substring(content, 1, 200), "ISO-8859-1")
+    return F.when(content.isNull(), F.lit(None)).otherwise(F.coalesce(known, F.when(start.rlike(r"^\s*<"), F.lit("html")), F.lit("text")))
 
 
 def _docx(content: bytes) -> str:
