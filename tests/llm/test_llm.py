@@ -855,3 +855,145 @@ def test_op9_pieces_of_a_hot_group(spark):
     for a, b in pairs:
         root[max(find(a), find(b))] = min(find(a), find(b))
     assert {x: find(x) for x in fps} == brute_components(fps, 1)
+
+
+def plain_chain(docs, labels, most, least, folds, steps=120, ridge=0.05):
+    """The chain in plain loops over dictionaries of features: (models, odds of a text)."""
+
+    def of(text):
+        found = set()
+        for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+            w = bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+            buf = np.frombuffer(w, np.uint8)
+            for size in (0, 4, 5):
+                if not size or len(w) > size:
+                    found.add(int(wd.Octets(buf).hashes(np.array([0]), np.array([size or len(w)]), size)[0]) >> 32)
+        return found
+
+    sets = [of(t) for t in docs]
+    df = Counter(f for x in sets for f in x)
+
+    def select(y, use):
+        seen, hit = Counter(f for i in use for f in sets[i] if df[f] >= least), Counter(f for i in use for f in sets[i] if y[i])
+        n, pos = len(use), sum(y[i] for i in use)
+        if not 0 < pos < n:
+            return []
+        chi = {f: n * (hit[f] * n - c * pos) ** 2 / (c * (n - c) * pos * (n - pos)) for f, c in seen.items() if least <= c < n}
+        return sorted(sorted(chi, key=lambda f: (-chi[f], f))[:most])
+
+    def fit(names, y, use, extra):
+        x = np.array([[f in sets[i] for f in names] for i in use], float).reshape(len(use), len(names))
+        x, t = np.column_stack([x, extra[use], np.ones(len(use))]), np.array([y[i] for i in use], float)
+        theta = np.zeros(x.shape[1])
+        share = min(max(t.mean(), 1e-4), 1 - 1e-4)
+        theta[-1] = math.log(share / (1 - share))
+        a, b = np.zeros_like(theta), np.zeros_like(theta)
+        for k in range(1, steps + 1 if 0 < t.sum() < len(t) else 0):
+            grad = x.T @ (1 / (1 + np.exp(-np.clip(x @ theta, -30, 30))) - t)
+            grad[:-1] += ridge * theta[:-1]
+            a, b = 0.9 * a + 0.1 * grad, 0.99 * b + 0.01 * grad**2
+            theta -= 0.15 * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.99**k)) + 1e-8)
+        return names, theta
+
+    def odds(model, found, extra):
+        names, theta = model
+        return sum(theta[j] for j, f in enumerate(names) if f in found) + float(np.dot(theta[len(names) : -1], extra)) + theta[-1]
+
+    n, models, extra = len(docs), [], np.zeros((len(docs), 0))
+    for i in range(len(labels[0])):
+        y = [x[i] for x in labels]
+        models.append(fit(select(y, range(n)), y, list(range(n)), extra))
+        if i + 1 < len(labels[0]):
+            held = np.zeros(n)
+            for f in range(folds):
+                use = [k for k in range(n) if k % folds != f]
+                model = fit(select(y, use), y, use, extra)
+                for k in range(f, n, folds):
+                    held[k] = odds(model, sets[k], extra[k])
+            extra = np.column_stack([extra, held])
+
+    def told(text):
+        found, out = of(text), []
+        for m in models:
+            out.append(odds(m, found, np.array(out)))
+        return out
+
+    return told
+
+
+def test_op6_is_the_plain_chain(spark):
+    r = random.Random(66)
+    words = ["house", "trees", "rivers", "stone", "birds", "clouds", "Moron", "trashy", "é", "a1", "hus"]
+    docs = [(i, " ".join(r.choice(words[:6] if i % 4 else words) for _ in range(r.randint(0, 25)))) for i in range(160)]
+    labels = [(i, int(r.random() < (0.3 if "Moron" in t else 0.8)), int("trashy" in t)) for i, t in docs]
+    df = frame(spark, docs).repartition(3)
+    chain = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), queries.categories(), most=12, least=3, folds=4)
+    order = {x.doc_id: k for k, x in enumerate(frame(spark, docs).select("doc_id").orderBy("doc_id").collect())}
+    told = plain_chain([t for _, t in sorted(docs, key=lambda d: order[d[0]])], [(1 - q, t) for i, q, t in sorted(labels)], 12, 3, 4)
+    got = {x.doc_id: (x.p_degraded, x.p_toxic) for x in toxicity.score(df, chain, ["doc_id"]).collect()}
+    for i, t in docs:
+        assert got[i] == pytest.approx(tuple(1 / (1 + math.exp(-o)) for o in told(t)), abs=1e-6)
+
+
+def test_op8_shards_claim_by_turns_what_they_prefer():
+    shards, size = [f"node-{i}" for i in range(7)], 101
+    wish = []
+    for name in shards:
+        d = hashlib.md5(name.encode()).digest()
+        at, skip = int.from_bytes(d[:8], "big") % size, int.from_bytes(d[8:], "big") % (size - 1) + 1
+        wish.append([(at + j * skip) % size for j in range(size)])
+    assert all(sorted(w) == list(range(size)) for w in wish)
+    owner, turn = {}, 0
+    while len(owner) < size:
+        owner[next(s for s in wish[turn % 7] if s not in owner)] = turn % 7
+        turn += 1
+    assert sharding.lookup_table(shards, size) == [owner[s] for s in range(size)]
+
+
+CLASHING = ("fp", "component_id", "n_tokens", "score", "n_words", "lang_pred", "rejected", "p_toxic", "items", "contaminated", "labels", "ids", "media", "page", "slot", "hit_starts", "places", "phrase", "block")
+
+
+def clashing(spark, rows):
+    df = frame(spark, rows)
+    for c in CLASHING:
+        df = df.withColumn(c, F.lit("clash"))
+    return df.withColumn("lang", F.lit("en"))
+
+
+def every_operator(spark, df):
+    """Results of all operators over rows of documents, by name."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    fold = queries.remainder("doc_id", 10)
+    return {
+        "op1": tiff.page_digests(tiff.read_tiff(tiff.write_tiff(df), ["doc_id"]), ["doc_id"]), "op2": repeats.kept_digests(df), "op3": winnow.decontaminate(df, frame(spark, [(1, "b b b")], "item_id int, text string"), ["doc_id"]),
+        "op4": interpolation.score(df, fold != 0, fold == 1), "op5": pieces.encode(df, queries.tokenizer(), digests=True), "op6": toxicity.score(df, toxicity.learn(df, labels, queries.categories()), ["doc_id"]),
+        "op7": ppm.predict(df, ppm.learn(df, "doc_id", "text", "lang", F.lit(True), 9)), "op8": sharding.place(df, ["x", "y"], size=101), "op9": simhash.near_duplicates(df), "op10": licenses.scan(df),
+    }
+
+
+def test_columns_that_clash_change_nothing(spark):
+    rows = ODD + [(1, "b b b"), (2, "under the MIT license"), (2, "under the MIT license")]
+    plain, other = every_operator(spark, frame(spark, rows).withColumn("lang", F.lit("en"))), every_operator(spark, clashing(spark, rows))
+    for name, df in plain.items():
+        columns = [c for c in df.columns if c != "lang"]
+        assert sorted(map(key, df.select(columns).collect())) == sorted(map(key, other[name].select(columns).collect())), name
+        assert df.count() == len(rows)
+
+
+def test_empty_tables_give_empty_results(spark):
+    for name, df in every_operator(spark, clashing(spark, [])).items():
+        assert df.count() == 0, name
+
+
+def test_pipeline_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows, item = _pipeline_rows()
+    df = _pipeline_tables(spark, str(tmp_path), rows, item)
+    for c in ("rejected", "p_toxic", "p_degraded", "n_words", "n_hit", "items", "contaminated", "hit_starts"):
+        df = df.withColumn(c, F.lit("mine"))
+    df = frames.written(df, "documents")
+    for name, stage in cp.STAGES[:-1]:
+        before = df
+        df = frames.written(stage(spark, df, str(tmp_path)), name)
+        assert df.schema == before.schema and {r.rejected + r["items"] + r.contaminated for r in df.collect()} == {"mine" * 3}
