@@ -8,8 +8,10 @@ Stages, in order, each over all that the one before it kept, each written as Par
 - decontamination: documents with a twentieth or more of their words in ``benchmark`` windows go.
 - encoding: SentencePiece ids and the decoded text.
 
-Documents stay rows, even where nothing is left of their text. SQL can't express the learned and the
-iterative stages, so there is no ORACLE_SQL; the tests hold each stage against brute force.
+Documents stay rows, even where nothing is left of their text. Null and empty texts are kept by every stage but one: of those
+linked as near duplicates of no words, the smallest doc_id stays. Rows with a null doc_id are kept as rows of their own. Columns of
+the input keep their names, types and values, whatever the operators call theirs; an empty table gives empty tables. SQL can't
+express the learned and the iterative stages, so there is no ORACLE_SQL; the tests hold each stage against brute force.
 """
 
 from __future__ import annotations
@@ -23,9 +25,16 @@ from docketry.llm import pieces, queries, repeats, simhash, toxicity, winnow
 from docketry.llm.frames import written
 
 
+def judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], flag: str, results: list[str]) -> DataFrame:
+    """docs without the rows that judge() flags; columns named as its results are put aside meanwhile."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in results}
+    kept = judge(docs.withColumnsRenamed(own)).where(~F.col(flag)).drop(*results)
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain = toxicity.learn(docs, queries.table(spark, sf_dir, "labels"), queries.categories())
-    return toxicity.score(docs, chain, docs.columns).where(~F.col("rejected")).select(docs.columns)
+    return judged(docs, lambda d: toxicity.score(d, chain, d.columns), "rejected", [*(f"p_{c}" for c in chain.categories), "rejected"])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +48,8 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = winnow.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    items = queries.table(spark, sf_dir, "benchmark")
+    return judged(docs, lambda d: winnow.decontaminate(d, items, d.columns), "contaminated", [x.split()[0] for x in winnow.RESULT.split(", ")])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
