@@ -8,7 +8,7 @@ from docketry.functions import lexicon_da
 from docketry.operators import answers as an
 from docketry.operators import rank as rk
 from docketry.plans import ranking as r
-from docketry.plans.queries import query, table
+from docketry.plans.registry import query, table
 
 
 @query(f"WITH {r._BM25}, inside AS (SELECT b.* FROM bm25 b JOIN documents d ON d.doc_id = b.doc WHERE lang = 'en'), fused AS (SELECT query, doc, sum(round_even(1e7 / (61.0e0 + rank), 0)::BIGINT)::BIGINT AS score FROM (SELECT query, doc, rank FROM {r._ranked('bm25', 100)} UNION ALL SELECT query, doc, rank FROM {r._ranked('inside', 100)}) GROUP BY ALL) SELECT query, doc, score, rank FROM {r._ranked('fused', 15)}")

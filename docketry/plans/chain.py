@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.operators import chain
-from docketry.plans.queries import query, table
+from docketry.plans.registry import query, table
 from docketry.plans.ranking import _POST, _TFIDF, _TOK, _ranked
 
 #: Sentences and the features that the lexicon finds in them.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docketry.functions import boards, danish, rules
 from docketry.functions import lexicon_da as lex
 from docketry.operators import reasoning
-from docketry.plans.queries import ORACLES, QUERIES, table
+from docketry.plans.registry import ORACLES, QUERIES, table
 
 
 def _sql(value) -> str:

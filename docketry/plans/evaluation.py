@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketry.operators import evaluate as ev
 from docketry.operators import rank as rk
 from docketry.plans import ranking as r
-from docketry.plans.queries import query, table
+from docketry.plans.registry import query, table
 
 
 def qrels(spark, sf_dir):

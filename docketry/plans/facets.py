@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import title
 from docketry.operators import filters, graph, ordered, stats
-from docketry.plans.queries import query, table
+from docketry.plans.registry import query, table
 
 #: Order states as outcomes.
 OUTCOMES = {"F": "won", "O": "lost", "P": "rejected"}

@@ -9,7 +9,7 @@ from docketry.functions.text import folded, title
 from docketry.operators import lookups as lk
 from docketry.operators import ordered as od
 from docketry.plans.danish import cases, joined
-from docketry.plans.queries import query, table
+from docketry.plans.registry import query, table
 
 _FOLD = r"lower(trim(regexp_replace(coalesce({0}, ''), '[ \t\n\r\f]+', ' ', 'g')))"
 

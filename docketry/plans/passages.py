@@ -8,7 +8,7 @@ from docketry.functions import rules
 from docketry.functions.snowball_da import stemmed
 from docketry.operators import ordered, passages, reasoning
 from docketry.plans.danish import cases, joined
-from docketry.plans.queries import query, table
+from docketry.plans.registry import query, table
 from docketry.sources import documents
 
 cases("decided_outcomes", "title said given", "outcome", [

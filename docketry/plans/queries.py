@@ -1,29 +1,4 @@
-"""Queries over the driver's tables, each with DuckDB SQL of its own for the same rows."""
+"""All queries over the driver's tables."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from docketry.plans import answers, chain, danish, evaluation, facets, lookups, passages, ranking, records, texts  # noqa: E402, F401
+from docketry.plans import answers, chain, danish, evaluation, facets, lookups, passages, ranking, records, texts  # noqa: F401
+from docketry.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401

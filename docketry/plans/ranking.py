@@ -13,7 +13,7 @@ from docketry.operators import index as ix
 from docketry.operators import paragraphs as pg
 from docketry.operators import rank as rk
 from docketry.operators.passages import key_sections_of
-from docketry.plans.queries import query, table
+from docketry.plans.registry import query, table
 from docketry.sources.tables import cached
 
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-zæøå0-9]+')"

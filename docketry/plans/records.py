@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
 from docketry.operators import records as rc
-from docketry.plans.queries import query, table
+from docketry.plans.registry import query, table
 
 
 @query("SELECT c_custkey, array_to_string(list_filter(p, lambda x, i: x <> '' AND list_position(p, x) = i), ',') AS parts FROM (SELECT c_custkey, list_transform(string_split(c_mktsegment || '| ' || c_nationkey || '||' || c_mktsegment, '|'), lambda x: trim(x)) AS p FROM customer)")

@@ -8,7 +8,7 @@ from docketry.functions import dates, rules, vectors
 from docketry.functions import text as tx
 from docketry.functions.snowball_da import stemmed
 from docketry.operators import ordered, passages
-from docketry.plans.queries import query, table
+from docketry.plans.registry import query, table
 
 _TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-zæøå0-9]+')"
 _SQUEEZE = r"trim(regexp_replace({0}, '[ \t\n\r\f]+', ' ', 'g'))"
