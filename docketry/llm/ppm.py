@@ -155,12 +155,16 @@ class Model:
         return out
 
 
-def learn(df: DataFrame, key: str, text: str, lang: str, training, per_language: int, language_bytes: int = 16 << 20) -> Model:
+def learn(df: DataFrame, key: str, text: str, lang: str, training, per_language: int, language_bytes: int = 16 << 20, parts: int = 64) -> Model:
     """A model from per_language documents of each language at most, among those where training holds; whole ones, until a
     language has ``language_bytes``. Languages are the distinct values of a column of labels, a few dozen."""
     ids = df.where(F.col(lang).isNotNull() & training).select(F.col(key).alias("__key"), F.col(lang).alias("__lang"))
     order = Window.partitionBy("__lang").orderBy(F.xxhash64("__key"), "__key")
-    chosen = ids.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_language).select("__key", "__lang").distinct()
+    # First within each of some parts of a language, so that its rows aren't one task's.
+    part = F.pmod(F.xxhash64("__key", F.lit(1)), F.lit(parts))
+    some = Window.partitionBy("__lang", "__part").orderBy(F.xxhash64("__key"), "__key")
+    few = ids.withColumn("__part", part).withColumn("__rank", F.row_number().over(some)).where(F.col("__rank") <= per_language)
+    chosen = few.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_language).select("__key", "__lang").distinct()
     # per_language rows a language.
     texts = df.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(text).cast("binary").alias("__text")).join(F.broadcast(chosen), ["__key", "__lang"], "left_semi")
     so_far = F.sum(F.coalesce(F.octet_length("__text"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, -1))
