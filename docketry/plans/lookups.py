@@ -278,3 +278,116 @@ cases("reference_contexts", "said ref", "around", [
 cases("term_variants", "term said", "held", [
     ("taget", "Et nyt tag", False), ("vinduet", "to vinduer", True), ("kælderen", "i en kælder", True), ("under taget", "under tag", False), ("tag", "taget", True),
 ], lambda term, said: [F.contains(folded(said), folded(term)) | ((F.length(folded(term)) >= 6) & folded(term).rlike("^[^ ]+(en|et)$") & F.contains(folded(said), F.regexp_replace(folded(term), "(en|et)$", "")))])
+
+_TOKENS = {"words": "[a-zæøå0-9]+", "letters": "[a-zæøå][a-zæøå-]+", "long": "[a-zæøå0-9_]{4,}"}
+
+
+@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(lower(coalesce(text, '')), '{p}'))::INTEGER AS {n}" for n, p in _TOKENS.items()) + " FROM documents")
+def tokenisers(spark, sf_dir):
+    """How many tokens of three kinds a text has."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", *(F.size(F.regexp_extract_all(low, F.lit(p), F.lit(0))).alias(n) for n, p in _TOKENS.items()))
+
+
+cases("match_stems", "word", "loose tight", [
+    ("skaderne", "skad", "skad"), ("tagene", "tagen", "tagen"), ("husene", "husen", "husen"), ("gulvet", "gulv", "gulv"), ("afgørelsernes", "afgørelsernes", "afgørels"), ("taget", "taget", "taget"), ("boligens", "boligens", "boligen"),
+], lambda word: [F.regexp_replace(word, "^(.{4,}?)(?:erne|ene|er|en|et|e)$", "$1"), lex_stem(word)])
+
+
+def lex_stem(word):
+    """The word without the first of the reasoning's endings that leaves four letters."""
+    from docketry.operators.reasoning import SUFFIXES
+
+    cut = [F.when(F.endswith(word, F.lit(s)) & (F.length(word) - len(s) >= 4), F.substring(word, F.lit(1), F.length(word) - len(s))) for s in SUFFIXES]
+    return F.coalesce(*cut, word)
+
+
+@query("""WITH r AS (SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part)
+    SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 5 > 0 THEN p_size END DESC NULLS LAST, p_partkey) AS down, row_number() OVER (ORDER BY CASE WHEN p_size % 5 > 0 THEN p_size END ASC NULLS LAST, p_partkey) AS up FROM r QUALIFY down <= 30""")
+def nulls_last_both_ways(spark, sf_dir):
+    """The thirty first by size downwards, nulls last, with their place upwards, nulls last."""
+    from pyspark.sql import Window
+
+    sized = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 5 > 0, F.col("p_size")).alias("size"))
+    # Places come from counts by size, so that no window holds all rows.
+    counts = sized.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    all_sizes = Window.orderBy
+    down = counts.withColumn("before_down", F.coalesce(F.sum("n").over(all_sizes(F.desc_nulls_last("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    both = down.withColumn("before_up", F.coalesce(F.sum("n").over(all_sizes(F.asc_nulls_last("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n").withColumnRenamed("size", "of")
+    # A row for a size.
+    held = sized.join(F.broadcast(both), F.col("size").eqNullSafe(F.col("of"))).where("before_down < 30")
+    place = F.row_number().over(Window.partitionBy("size").orderBy("p_partkey"))
+    return held.select("p_partkey", (F.col("before_down") + place).alias("down"), (F.col("before_up") + place).alias("up")).where("down <= 30")
+
+
+@query("""WITH hits AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, text, 2000 + doc_id % 20 AS year FROM documents WHERE contains(lower(coalesce(text, '')), 'en d'))
+    SELECT doc_id, year, row_number() OVER (ORDER BY year DESC, doc_id) AS place FROM hits QUALIFY place <= 50""")
+def newest_literal_hits(spark, sf_dir):
+    """The fifty newest texts that hold the words as they are, case aside."""
+    from docketry.operators.filters import holds
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", title(F.col("text")).alias("title"), "text", (2000 + F.col("doc_id") % 20).alias("year"))
+    first = docs.where(holds(F.lit("en d"), F.col("title"), F.col("text"))).select("doc_id", "year").orderBy(F.desc("year"), "doc_id").limit(50)
+    return od.first_per_group(first.withColumn("all", F.lit(1)), ["all"], [F.desc("year"), "doc_id"], 50).select("doc_id", "year", "place")
+
+
+@query("""WITH q(query, identifier) AS (VALUES (0, 'customer#000000012'), (1, '00003'), (2, 'building')),
+    rows_ AS (SELECT c_custkey AS doc, lower(c_name) AS number, '' AS link, lower(c_mktsegment) AS title FROM customer)
+    SELECT query, doc, (CASE WHEN number = identifier THEN 400 ELSE 180 END)::BIGINT AS score FROM rows_, q WHERE contains(number, identifier) OR contains(title, identifier)""")
+def identifier_points(spark, sf_dir):
+    """Points for numbers that a row has or holds."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.col("c_name").alias("number"), F.lit("").alias("link"), F.col("c_mktsegment").alias("title"))
+    return lk.exact_points(rows, spark.createDataFrame([(0, "customer#000000012"), (1, "00003"), (2, "building")], "query int, identifier string"), "number", "link", "title")
+
+
+@query("""WITH f AS (SELECT p_partkey AS doc, unnest(['brand:' || p_brand, 'type:' || p_type]) AS feature FROM part), seen AS (SELECT feature, count(*) AS df FROM f GROUP BY feature), n AS (SELECT count(*) AS n FROM part),
+    mine AS (SELECT doc AS query, feature FROM f WHERE doc % 50 = 0)
+    SELECT query, doc, feature, round_even(1.0e0 + ln((n + 1.0e0) / (df + 1.0e0)), 6) AS contribution FROM f JOIN mine USING (feature) JOIN seen USING (feature), n WHERE query <> doc AND doc % 10 = 3""")
+def feature_contributions(spark, sf_dir):
+    """What each shared feature adds to two items' relation."""
+    parts = table(spark, sf_dir, "part")
+    each = parts.select(F.col("p_partkey").alias("doc"), F.explode(F.array(F.concat(F.lit("brand:"), "p_brand"), F.concat(F.lit("type:"), "p_type"))).alias("feature"))
+    rare = each.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).withColumn("contribution", F.bround(1.0 + F.ln(F.lit(parts.count() + 1.0) / (F.col("df") + 1.0)), 6)).drop("df")
+    mine = each.where("doc % 50 = 0").select(F.col("doc").alias("query"), "feature")
+    return each.where("doc % 10 = 3").join(mine, "feature").where("query <> doc").join(rare, "feature").select("query", "doc", "feature", "contribution")
+
+
+@query("""WITH run AS (SELECT doc_id % 40 AS query, doc_id AS doc, doc_id // 40 AS rank, coalesce(text, '') AS text FROM documents WHERE doc_id // 40 < 20), rel AS (SELECT doc_id AS doc FROM labels WHERE quality = 1),
+    judged AS (SELECT r.*, rel.doc IS NOT NULL AS good FROM run r LEFT JOIN rel USING (doc)),
+    per AS (SELECT query, sum(CASE WHEN good AND rank < 10 THEN 1.0e0 / log2(rank + 2.0e0) ELSE 0 END) AS dcg, count(*) FILTER (WHERE good) AS wanted, count(DISTINCT doc) AS decisions, bool_or(contains(lower(text), 'an the')) AS phrase,
+                   (CASE WHEN bool_or(contains(lower(text), 'the')) THEN 1 ELSE 0 END + CASE WHEN bool_or(contains(lower(text), 'und')) THEN 1 ELSE 0 END) / 2.0e0 AS terms FROM judged GROUP BY query)
+    SELECT query, round_even(dcg / (SELECT sum(1.0e0 / log2(i + 2.0e0)) FROM range(0, least(10, wanted)) t(i)), 6) AS ndcg, terms, phrase, decisions FROM per WHERE wanted > 0""")
+def eval_binary_rest(spark, sf_dir):
+    """Binary NDCG at 10, the share of terms that the first twenty texts hold, whether a phrase is hit, how many decisions."""
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    run = docs.where("floor(doc_id / 40) < 20").select((i % 40).alias("query"), i.alias("doc"), F.floor(i / 40).cast("int").alias("rank"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(i.alias("doc"), F.lit(True).alias("good"))
+    both = run.join(good, "doc", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    has = lambda s: F.max(F.contains("text", F.lit(s)))
+    per = both.groupBy("query").agg(
+        F.sum(F.when(F.col("good") & (F.col("rank") < 10), 1.0 / F.log2(F.col("rank") + 2.0)).otherwise(0.0)).alias("dcg"), F.sum(F.col("good").cast("int")).cast("int").alias("wanted"), F.countDistinct("doc").alias("decisions"), has("an the").alias("phrase"),
+        ((has("the").cast("int") + has("und").cast("int")) / F.lit(2.0)).alias("terms"),
+    )
+    ideal = F.aggregate(F.sequence(F.lit(0), F.least(F.lit(10), F.col("wanted")) - 1), F.lit(0.0), lambda a, x: a + 1.0 / F.log2(x + 2.0))
+    return per.where("wanted > 0").select("query", F.bround(F.col("dcg") / ideal, 6).alias("ndcg"), "terms", "phrase", "decisions")
+
+
+@query("""WITH f AS (SELECT p_partkey AS doc, p_brand AS feature FROM part WHERE p_size > 5) SELECT 'isolated' AS kind, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT doc FROM f) UNION ALL SELECT 'linked', count(DISTINCT doc) FROM f""")
+def isolated_nodes(spark, sf_dir):
+    """Items without a feature, and with one."""
+    parts = table(spark, sf_dir, "part")
+    linked = parts.where("p_size > 5").select("p_partkey").distinct()
+    alone = parts.join(linked, "p_partkey", "left_anti").agg(F.lit("isolated").alias("kind"), F.count(F.lit(1)).alias("n"))
+    return alone.unionByName(linked.agg(F.lit("linked").alias("kind"), F.count(F.lit(1)).alias("n")))
+
+
+@query("""WITH b(metric, value, ms) AS (VALUES ('ndcg', 0.70e0, 100), ('recall_20', 0.90e0, 100), ('mrr', 0.50e0, 100)), c(metric, value, ms) AS (VALUES ('ndcg', 0.68e0, 120), ('recall_20', 0.87e0, 120), ('hits', 0.50e0, 120))
+    SELECT coalesce(b.metric, c.metric) AS metric, coalesce(c.value - b.value >= -(CASE WHEN b.metric = 'recall_20' THEN 0.02e0 ELSE 0.03e0 END + 1e-12), false) AND coalesce(c.ms / b.ms::DOUBLE <= 1.25e0, false) AS passed FROM b FULL JOIN c ON b.metric = c.metric""")
+def gate_with_latency(spark, sf_dir):
+    """Metrics within tolerance, at no more than 1.25 times the time."""
+    from docketry.operators.evaluate import gate
+
+    base, cand = (spark.createDataFrame(rows, "metric string, value double, ms double") for rows in ([("ndcg", 0.70, 100.0), ("recall_20", 0.90, 100.0), ("mrr", 0.50, 100.0)], [("ndcg", 0.68, 120.0), ("recall_20", 0.87, 120.0), ("hits", 0.50, 120.0)]))
+    times = base.select("metric", F.col("ms").alias("a")).join(cand.select("metric", F.col("ms").alias("b")), "metric", "full_outer")
+    both = gate(base, cand).join(times, "metric")
+    return both.select("metric", (F.col("passed") & F.coalesce(F.col("b") / F.col("a") <= 1.25, F.lit(False))).alias("passed"))
