@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,9 +46,9 @@ def case_number(number: Column, query: Column) -> Column:
 
 def first_of(parts: list[DataFrame], key: list[str], order: list[str]) -> DataFrame:
     """The parts one after the other, of rows of one key only the first; ``part`` tells where it came from."""
-    every = reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
-    place = Window.partitionBy(*key).orderBy("part", *order)
-    return every.withColumn("__place", F.row_number().over(place)).where("__place = 1").drop("__place")
+    from docketry.sources.readers import first_wins
+
+    return first_wins(reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)]), key, ["part", *order])
 
 
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:

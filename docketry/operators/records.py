@@ -35,8 +35,10 @@ def reconciled(values: DataFrame, options: DataFrame, stem: Column | None = None
 
 def keep_if_any(df: DataFrame, group: str, condition: Column) -> DataFrame:
     """Rows of a group where the condition holds, or all of the group if it holds for none."""
-    held = F.coalesce(condition, F.lit(False))
-    return df.withColumn("__held", held).withColumn("__any", F.max("__held").over(Window.partitionBy(group))).where("__held or not __any").drop("__held", "__any")
+    marked = df.withColumn("__held", F.coalesce(condition, F.lit(False)))
+    # A row a group, whatever a group holds.
+    groups = marked.groupBy(F.col(group).alias("__group")).agg(F.max("__held").alias("__any"))
+    return marked.join(groups, F.col(group).eqNullSafe(F.col("__group"))).where("__held or not __any").drop("__held", "__any", "__group")
 
 
 def by_either_key(hits: DataFrame, rows: DataFrame, first: str, second: str, order: str) -> DataFrame:

@@ -71,7 +71,10 @@ def identity(link: Column, number: Column, title: Column) -> Column:
 
 
 def first_wins(df: DataFrame, key: list[str], order: list) -> DataFrame:
-    """Of rows of one key the first in order."""
+    """Of rows of one key the first in order. Where the order is of columns upwards, rows are weeded out before they are shuffled."""
+    if all(isinstance(c, str) for c in order):
+        first = df.groupBy(*(F.col(k) for k in key)).agg(F.min_by(F.struct(*(F.col(c) for c in df.columns)), F.struct(*order)).alias("__row"))
+        return first.select(*(F.col("__row")[c].alias(c) for c in df.columns))
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("__place", F.row_number().over(w)).where("__place = 1").drop("__place")
 
