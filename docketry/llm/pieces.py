@@ -118,6 +118,19 @@ def chunks(texts: list[bytes], cut: np.ndarray) -> tuple[list[bytes], np.ndarray
     return said, place, np.append(np.searchsorted(starts, begin), len(starts))
 
 
+def packed_ranks(x: np.ndarray) -> bytes:
+    """Whole numbers of which half or so are below 255: these in a byte each, the others behind, less 255."""
+    small = packed(np.minimum(x, 255))
+    return len(small).to_bytes(4, "little") + small + packed(x[x >= 255] - 255)
+
+
+def unpacked_ranks(data: bytes) -> np.ndarray:
+    cut = 4 + int.from_bytes(data[:4], "little")
+    out = unpacked(data[4:cut]).astype(np.int32)
+    out[out == 255] += unpacked(data[cut:]).astype(np.int32)
+    return out
+
+
 #: Chunks that a bucket is meant to be asked for.
 BUCKET_CHUNKS = 1 << 18
 
@@ -143,7 +156,7 @@ def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFr
             often = np.argsort(-np.bincount(told, minlength=len(said)), kind="stable")
             rank = np.empty(len(often), np.int32)
             rank[often] = np.arange(len(often), dtype=np.int32)
-            row = [uuid.uuid4().int >> 65, None, packed(np.concatenate(counts)), packed(rank[told]), packed(place[often]), len(said), packed(np.diff(off)[order]), zstandard.compress(b"".join([said[k] for k in order.tolist()]), 3)]
+            row = [uuid.uuid4().int >> 65, None, packed(np.concatenate(counts)), packed_ranks(rank[told]), packed(place[often]), len(said), packed(np.diff(off)[order]), zstandard.compress(b"".join([said[k] for k in order.tolist()]), 3)]
             columns = [pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.null(), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 2), strict=True)]
             columns[1] = lists(keys, [len(keys)])
             return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "counts", "ranks", "places", "n", "sizes", "chunks"])
@@ -282,7 +295,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", b
         keys = block["ids"].combine_chunks()
         keys = (pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys).flatten()
         counts, places = unpacked(block["counts"][0].as_py()).astype(np.int64), unpacked(block["places"][0].as_py()).astype(np.int32)
-        places = places[unpacked(block["ranks"][0].as_py()).astype(np.int32)] if len(places) else places
+        places = places[unpacked_ranks(block["ranks"][0].as_py())] if len(places) else places
         told = told.sort_by("bucket")
         sizes = [unpacked(x).astype(np.int64) for x in told["counts"].to_pylist()]
         ids = np.concatenate([*(unpacked(x).astype(np.int32) for x in told["ids"].to_pylist()), np.zeros(0, np.int32)])

@@ -374,6 +374,12 @@ def test_op5_chunks_of_one_hash_are_told_apart(spark, monkeypatch):
     assert [said[k] for k in place] == [want[0][k] for k in want[1]] and (first == want[2]).all()
 
 
+def test_op5_ranks_pack_without_loss():
+    r = np.random.default_rng(2)
+    for x in (np.zeros(0, np.int32), np.array([254, 255, 256, 0]), r.integers(0, 400_000, 5_000), r.integers(0, 255, 100), r.integers(255, 70_000, 100)):
+        assert (pieces.unpacked_ranks(pieces.packed_ranks(x)) == x).all()
+
+
 def test_op5_of_nothing_and_clashing_columns(spark):
     assert pieces.encode(frame(spark, []), queries.tokenizer()).count() == 0
     df = frame(spark, [(1, "a b"), (1, "a b"), (2, None)]).withColumn("ids", F.lit(1)).withColumn("decoded", F.lit(2))
