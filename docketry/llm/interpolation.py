@@ -41,16 +41,19 @@ BUCKET_KEYS = 1 << 20
 
 def packed(x: np.ndarray) -> bytes:
     """Whole numbers, not below 0, in as few bytes as the largest needs, by planes, compressed."""
-    x = x.astype("<u8")
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + zstandard.compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+    wide = 1 if width == 1 else 4 if width <= 4 else 8
+    planes = x.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide)[:, :width].T
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(planes), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
+    """The numbers, in one, four or eight bytes each."""
     planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
+    wide = 1 if data[0] == 1 else 4 if data[0] <= 4 else 8
+    out = np.zeros((planes.shape[1], wide), np.uint8)
     out[:, : data[0]] = planes.T
-    return out.view("<u8").reshape(-1)
+    return out.view(f"<u{wide}").reshape(-1)
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
