@@ -120,14 +120,17 @@ def chunks(texts: list[bytes], cut: np.ndarray) -> tuple[list[bytes], np.ndarray
 
 def packed_ranks(x: np.ndarray) -> bytes:
     """Whole numbers of which half or so are below 255: these in a byte each, the others behind, less 255."""
-    small = packed(np.minimum(x, 255))
-    return len(small).to_bytes(4, "little") + small + packed(x[x >= 255] - 255)
+    low = np.empty(len(x), np.uint8)
+    np.minimum(x, 255, out=low, casting="unsafe")
+    small = packed(low)
+    return len(small).to_bytes(4, "little") + small + packed(x[low == 255] - 255)
 
 
 def unpacked_ranks(data: bytes) -> np.ndarray:
     cut = 4 + int.from_bytes(data[:4], "little")
-    out = unpacked(data[4:cut]).astype(np.int32)
-    out[out == 255] += unpacked(data[cut:]).astype(np.int32)
+    low = unpacked(data[4:cut])
+    out = low.astype(np.int32)
+    out[low == 255] += unpacked(data[cut:]).astype(np.int32)
     return out
 
 
@@ -144,19 +147,28 @@ def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFr
         ids, counts, places, size = [], [], [], 0
 
         def made() -> pa.RecordBatch:
+            # Frees what it has packed before it packs the next thing: a block is large.
             keys = pa.chunked_array(ids).combine_chunks()
+            told = np.concatenate([*places, np.zeros(0, np.int32)])
+            places.clear()
             said = list(table)
+            table.clear()
             off = np.append(0, np.cumsum([len(x) for x in said])).astype(np.int64)
-            h = Octets(np.frombuffer(b"".join(said), np.uint8)).hashes(off[:-1], off[1:])
+            flat = b"".join(said)
+            h = Octets(np.frombuffer(flat, np.uint8)).hashes(off[:-1], off[1:])
             order = np.argsort(h, kind="stable")
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
             # Chunks that are there often have small numbers, which pack better.
-            told = np.concatenate([*places, np.zeros(0, np.int32)])
             often = np.argsort(-np.bincount(told, minlength=len(said)), kind="stable")
             rank = np.empty(len(often), np.int32)
             rank[often] = np.arange(len(often), dtype=np.int32)
-            row = [uuid.uuid4().int >> 65, None, packed(np.concatenate(counts)), packed_ranks(rank[told]), packed(place[often]), len(said), packed(np.diff(off)[order]), zstandard.compress(b"".join([said[k] for k in order.tolist()]), 3)]
+            np.take(rank, told, out=told, mode="clip")
+            ranks = packed_ranks(told)
+            del told, said, h, rank
+            sizes = np.diff(off)
+            texts = np.frombuffer(flat, np.uint8)[ragged(off, order)].tobytes()
+            row = [uuid.uuid4().int >> 65, None, packed(np.concatenate(counts)), ranks, packed(place[often]), len(order), packed(sizes[order]), zstandard.compress(texts, 3)]
             columns = [pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.null(), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 2), strict=True)]
             columns[1] = lists(keys, [len(keys)])
             return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "counts", "ranks", "places", "n", "sizes", "chunks"])
@@ -175,13 +187,12 @@ def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFr
                     said, place, first = chunks([texts[i] for i in full], cut.value)
                     count[full] = np.diff(first)
                     places.append(np.array([table.setdefault(c, len(table)) for c in said], np.int32)[place])
-                ids.append(rows(batch, "id").slice(lo, at - lo))
+                ids.append(rows(batch, "id").take(pa.array(np.arange(lo, at))))  # a slice would keep the whole batch
                 counts.append(count)
                 size += held + 8 * len(texts)
                 if size >= block_bytes:
                     yield made()
-                    table.clear()
-                    ids, counts, places, size = [], [], [], 0
+                    ids, counts, size = [], [], 0
         if ids:
             yield made()
 
