@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.frames import lists, rows, utf8, written
+from docketry.llm.frames import lists, rows, trim, utf8, written
 from docketry.llm.words import PLAIN, mix, texts_of, words
 
 END, BEGIN = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x0B0E0B0E0B0E0B0E)
@@ -132,6 +132,8 @@ def _blocks(docs: DataFrame, kind: str, block_bytes: int) -> DataFrame:
                     parts, ids, folds, size = [], [], [], 0
         if parts:
             yield made(parts, ids, folds)
+        parts, ids, folds = [], [], []
+        trim()
 
     return docs.mapInArrow(run, f"block string, ids array<{kind}>, folds binary, counts binary, vocab binary, tokens binary, n_vocab long, n_tokens long, learned long, tuned long, learned_texts long, tuned_texts long")
 
@@ -173,6 +175,8 @@ def _counts(blocks: DataFrame, pairs: bool, buckets: int) -> DataFrame:
         cuts = np.append(0, np.cumsum([len(k) for k in keys])).tolist()
         parts = [[packed(s[at[cuts[i] : cuts[i + 1]]]) for i in range(len(keys))] for s in sums]
         types, counted = int((sums[0] > 0).sum()), int((sums[0] > sums[1]).sum())
+        del flat, distinct, at
+        trim()
         return pa.table({"block": group["block"], "pairs": pa.array([pairs] * len(keys)), "bucket": group["bucket"], "learned": pa.array(parts[0], pa.binary()), "tuned": pa.array(parts[1], pa.binary()), "types": pa.array([types] * len(keys), pa.int64()), "types_counted": pa.array([counted] * len(keys), pa.int64())})
 
     asked = blocks.select("block", *_BLOCK).mapInArrow(ask, "bucket int, block string, keys binary, learned binary, tuned binary")
@@ -275,6 +279,8 @@ def score(df: DataFrame, training: Column, tuning: Column, key: str = "doc_id",
         first = s.b.first[:-1]
         out = {key: s.ids, "n_tokens": np.diff(s.b.first), "n_known": np.add.reduceat((s.one > 0).astype(np.int64)[s.b.tokens], first), "train_tokens": np.full(len(first), n, np.int64)}
         out |= {"base_score": np.add.reduceat(base[s.b.tokens], first), "score": np.add.reduceat(np.log10(p)[inverse], first)}
+        del s, p, base, inverse
+        trim()
         return pa.table(out)
 
     return both.groupBy("block").applyInArrow(rate, f"`{key}` {kind}, {RESULT}")

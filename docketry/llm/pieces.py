@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.frames import lists, rows, written
+from docketry.llm.frames import lists, rows, trim, written
 from docketry.llm.interpolation import packed, unpacked
 from docketry.llm.words import CHUNK_BYTES, Octets
 
@@ -195,6 +195,7 @@ def _blocks(docs: DataFrame, kind: str, cut: object, block_bytes: int) -> DataFr
                     ids, counts, size = [], [], 0
         if ids:
             yield made()
+        trim()
 
     return docs.mapInArrow(run, f"block long, ids array<{kind}>, counts binary, ranks binary, places binary, n long, sizes binary, chunks binary")
 
@@ -339,6 +340,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", b
                 out_ids.append(mine)
                 out_said += [x.decode() for x in decoded]
             lo = hi
+        trim()
         made = pa.array(out_ids, pa.string()) if digests else lists(pa.array(np.concatenate([*out_ids, np.zeros(0, np.int32)])), n)
         return pa.table([keys, pa.array(n), made, pa.array(out_said, pa.string())], names=names)
 
