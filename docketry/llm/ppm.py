@@ -160,8 +160,9 @@ def learn(df: DataFrame, key: str, text: str, lang: str, training, per_language:
     language has ``language_bytes``. Languages are the distinct values of a column of labels, a few dozen."""
     ids = df.where(F.col(lang).isNotNull() & training).select(F.col(key).alias("__key"), F.col(lang).alias("__lang"))
     order = Window.partitionBy("__lang").orderBy(F.xxhash64("__key"), "__key")
-    # First within each of some parts of a language, so that its rows aren't one task's.
-    part = F.pmod(F.xxhash64("__key", F.lit(1)), F.lit(parts))
+    # First within the rows of each some input partitions, so that a language's rows aren't one task's: a task then reads
+    # per_language rows of its input partitions, and in the end of ``parts`` parts. Which row is where changes nothing.
+    part = F.pmod(F.spark_partition_id(), F.lit(parts))
     some = Window.partitionBy("__lang", "__part").orderBy(F.xxhash64("__key"), "__key")
     few = ids.withColumn("__part", part).withColumn("__rank", F.row_number().over(some)).where(F.col("__rank") <= per_language)
     chosen = few.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_language).select("__key", "__lang").distinct()
