@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import interpolation, licenses, pieces, ppm, repeats, sharding, simhash, tiff, toxicity, winnow
+from docketry.llm import infill, interpolation, licenses, pieces, ppm, repeats, resample, sharding, simhash, tiff, toxicity, winnow
 
 #: Shards that op8_shard_table places documents on.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -85,6 +85,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_rope_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infill(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return infill.restore(made).select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def _op8_sql() -> str:
     shards = ", ".join(str(k) for k in sharding.lookup_table(SHARDS))
     return f"""
@@ -94,8 +104,8 @@ def _op8_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_pages, op2_phrase_automata, op3_winnowing, op4_deleted_interpolation, op5_sentencepiece, op6_classifier_chain, op7_ppm, op8_shard_table, op9_simhash_gray, op10_license_scan)}
+    return {f.__name__: f for f in (op1_tiff_pages, op2_phrase_automata, op3_winnowing, op4_deleted_interpolation, op5_sentencepiece, op6_classifier_chain, op7_ppm, op8_shard_table, op9_simhash_gray, op10_license_scan, op11_rope_infill, op12_crc_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_shard_table": _op8_sql(), "op10_license_scan": licenses.sql()}
+    return {"op8_shard_table": _op8_sql(), "op10_license_scan": licenses.sql(), "op11_rope_infill": infill.sql(), "op12_crc_resampling": resample.sql()}
