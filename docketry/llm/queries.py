@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import infill, interpolation, licenses, pieces, ppm, repeats, resample, sharding, simhash, tiff, toxicity, winnow
+from docketry.llm import infill, interpolation, licenses, pieces, ppm, repeats, resample, sharding, simhash, tiff, toxicity, warc, winnow
 
 #: Shards that op8_shard_table places documents on.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -95,6 +95,21 @@ def op12_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.folder(spark)
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    back = warc.read(spark, path, ["record_type", "record_id", "refers_to", "payload_sha1", "http_headers", "payload"]).where(F.col("record_type").isin("response", "revisit"))
+    revisit = F.col("record_type") == "revisit"
+
+    def page(record_id: str):
+        return F.substring(record_id, len("urn:page:") + 1, 20).try_cast("long")
+
+    return back.select(
+        page("record_id").alias("page_id"), F.when(revisit, F.col("http_headers")["content-length"].cast("long")).otherwise(F.octet_length("payload")).alias("payload_bytes"),
+        F.when(revisit, F.col("payload_sha1")).otherwise(F.sha1("payload")).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"),
+    )
+
+
 def _op8_sql() -> str:
     shards = ", ".join(str(k) for k in sharding.lookup_table(SHARDS))
     return f"""
@@ -104,8 +119,8 @@ def _op8_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_pages, op2_phrase_automata, op3_winnowing, op4_deleted_interpolation, op5_sentencepiece, op6_classifier_chain, op7_ppm, op8_shard_table, op9_simhash_gray, op10_license_scan, op11_rope_infill, op12_crc_resampling)}
+    return {f.__name__: f for f in (op1_tiff_pages, op2_phrase_automata, op3_winnowing, op4_deleted_interpolation, op5_sentencepiece, op6_classifier_chain, op7_ppm, op8_shard_table, op9_simhash_gray, op10_license_scan, op11_rope_infill, op12_crc_resampling, op13_warc_source)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_shard_table": _op8_sql(), "op10_license_scan": licenses.sql(), "op11_rope_infill": infill.sql(), "op12_crc_resampling": resample.sql()}
+    return {"op8_shard_table": _op8_sql(), "op10_license_scan": licenses.sql(), "op11_rope_infill": infill.sql(), "op12_crc_resampling": resample.sql(), "op13_warc_source": warc.sql()}

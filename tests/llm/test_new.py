@@ -1,6 +1,9 @@
 """Ropes, importance resampling and web archives against brute force."""
 
+import base64
+import gzip
 import hashlib
+import io
 import math
 import random
 import re
@@ -8,7 +11,7 @@ import zlib
 
 import pytest
 
-from docketry.llm import infill, queries, resample
+from docketry.llm import infill, queries, resample, warc
 
 ODD = [(900, None), (901, ""), (902, " \n\t \n\n"), (903, "A é 日本 \x00x ﬁ\n𝄞"), (903, "A é 日本 \x00x ﬁ\n𝄞"), (904, "b" * 5000), (None, "no\nkey"), (905, "wörd\n" * 30_000), (906, "has a <M>\nmark"), (907, "<\nP>\n<P\n"), (908, "no end")]
 
@@ -163,15 +166,166 @@ def test_op12_equal_scores_take_ranks_by_key(spark):
     assert got == [(1, 9), (2, 3), (3, 4), (4, 4), (5, 7)]
 
 
-@pytest.mark.parametrize("name", ["op11_rope_infill", "op12_crc_resampling"])
+# op13
+
+
+def web(seed):
+    r = random.Random(seed)
+    big = [f"<p>é{i} " + "x" * r.choice([900, 1000, 5000]) + "</p>" for i in range(6)]
+    rows = [(i, f"http://a.b/{i}", r.choice([*big, f"small {i % 7}", "", None, "y" * 999, "y" * 1000])) for i in range(90)]
+    rows += [rows[3], rows[4], rows[4], (None, None, big[0]), (None, "u", "x"), (None, "v", "z" * 2000), (None, "v", "z" * 2000), (500, "http://a b\r\nX-Evil: 1\n", big[1]), (-3, "w", big[2]), (501, "w", "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 90)]
+    r.shuffle(rows)
+    return rows
+
+
+def brute_archive(rows):
+    out = []
+    for i, _, h in rows:
+        same = [j for j, _, g in rows if (g or "") == (h or "") and j is not None]
+        raw = (h or "").encode()
+        revisit = len(raw) >= 1000 and bool(same) and i != max(same)
+        out.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", max(same) if revisit else None))
+    return sorted(map(key, out))
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_op13(spark, tmp_path, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        rows = web(1)
+        frame(spark, rows, "page_id long, url string, html string").selectExpr("*", "'clash' AS digest", "'clash' AS head", "1 AS payload").repartition(4).write.parquet(str(tmp_path / "pages.parquet"))
+        df = queries.op13_warc_source(spark, str(tmp_path))
+        assert df.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        assert sorted(map(key, df.collect())) == brute_archive(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_op13_reads_what_is_asked_for(spark, tmp_path):
+    path, rows = str(tmp_path / "archive"), web(2)
+    warc.archive(frame(spark, rows, "page_id long, url string, html string").repartition(3), path, file_bytes=3000)
+    files = sorted(x.name for x in (tmp_path / "archive").iterdir())
+    assert len(files) > 3 and all(x.startswith("part-") for x in files)
+    df = warc.read(spark, path, split_bytes=4000)
+    assert df.rdd.getNumPartitions() > 1 and {f.name for f in df.schema} >= {*warc.HEADERS}
+    got = df.collect()
+    kinds = [r.record_type for r in got]
+    assert kinds.count("warcinfo") == len(files) and kinds.count("response") + kinds.count("revisit") == len(rows) and not any(r.error for r in got)
+    assert all(r.http_status == 200 and r.http_headers["content-type"].startswith("text/html") and r.headers["warc-type"] == r.record_type for r in got if r.record_type != "warcinfo")
+    assert {r.target_uri for r in got if r.record_id == "urn:page:500"} == {"http://a%20b%0D%0AX-Evil:%201%0A"}
+    narrow = warc.read(spark, path, ["record_id", "record_type", "content_length"]).where("record_type = 'revisit' AND content_length > 0 AND record_id LIKE 'urn:page:%' AND record_id <> 'urn:page:7'")
+    assert "Filter (" not in narrow._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.record_id for r in narrow.collect()) == sorted(r.record_id for r in got if r.record_type == "revisit" and r.record_id != "urn:page:7")
+    both = warc.read(spark, path, ["record_type", "payload"]).where("record_type = 'response' AND octet_length(payload) > 950")
+    assert both.count() == sum(r.record_type == "response" and len(r.payload) > 950 for r in got)
+    warc.archive(frame(spark, rows[:2], "page_id long, url string, html string"), path)
+    assert warc.read(spark, path, ["record_type"]).where("record_type <> 'warcinfo'").count() == len(rows) + 2
+
+
+def foreign(*bodies, kind="response", http=True, **more):
+    out = []
+    for i, b in enumerate(bodies):
+        head = b"HTTP/1.1 404 Not Found\r\nX-Long: a\r\n b\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in more.items()).encode() + b"\r\n" if http else b""
+        out.append(f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Type: {'application/http' if http else 'text/plain'}\r\nContent-Length: {len(head) + len(b)}\r\n\r\n".encode() + head + b + b"\r\n\r\n")
+    return out
+
+
+def read_bytes(data, name, wanted=("payload", "http_headers", "http_status"), filters=()):
+    import pyarrow as pa
+
+    return list(warc.records(pa.PythonFile(io.BytesIO(data), "r"), name, set(wanted), list(filters)))
+
+
+def test_warc_files_of_others():
+    chunked = b"4;x=1\r\nWiki\r\n5\r\npedia\r\n0\r\n\r\n"
+    plain = foreign(b"one", b"", b"x" * 700_000, b"WARC/1.0\r\n\r\n") + foreign(chunked, Transfer_Encoding="chunked") + foreign(b"as it is", http=False, kind="resource")
+    want = [b"one", b"", b"x" * 700_000, b"WARC/1.0\r\n\r\n", b"Wikipedia", b"as it is"]
+    whole = b"".join(plain)
+    for data, name in ((whole, "a.warc"), (gzip.compress(whole), "b.warc.gz"), (b"".join(map(gzip.compress, plain)), "c.warc.gz"), (b"".join(warc._member(x, 6) for x in plain), "d.warc.gz"), (warc._member(whole, 1), "e.warc.gz")):
+        got = read_bytes(data, name)
+        assert [r.get("payload") for r in got] == want and not any(r.get("error") for r in got)
+        assert got[0]["http_status"] == 404 and got[0]["http_headers"]["x-long"] == "a b" and got[5].get("http_status") is None
+        assert [r["record_type"] for r in read_bytes(data, name, ["record_type"])] == ["response"] * 5 + ["resource"]
+
+
+def test_warc_payloads_that_nobody_wants_are_not_inflated(monkeypatch):
+    import pyarrow as pa
+
+    noise = random.Random(1).randbytes(3_000_000)
+    data = b"".join(warc._member(x, 1) for x in foreign(noise, b"end", noise))
+    read = []
+    inflate = warc.zlib.decompressobj
+
+    class Watched:
+        def __init__(self, *a):
+            self.inner = inflate(*a)
+
+        def decompress(self, raw, *a):
+            read.append(len(raw))
+            return self.inner.decompress(raw, *a)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Watched)
+    rows = list(warc.records(pa.PythonFile(io.BytesIO(data), "r"), "x.warc.gz", {"record_id"}, []))
+    assert [r["record_id"] for r in rows] == ["urn:x:0", "urn:x:1", "urn:x:2"] and sum(read) < 100_000
+
+
+def test_warc_faults_are_rows(spark, tmp_path):
+    good = foreign(b"one", b"two" * 1000)
+    cases = {
+        "cut.warc": b"".join(good)[:-2000], "cut.warc.gz": gzip.compress(good[0]) + gzip.compress(good[1])[:-30], "junk.warc": good[0] + b"junk\r\n", "junk.warc.gz": b"junk" * 9, "noend.warc": good[0][:-4] + good[1],
+        "size.warc": b"WARC/1.0\r\nContent-Length: -5\r\n\r\n", "colon.warc": b"WARC/1.0\r\nnothing\r\n\r\n", "empty.warc": b"", "_aside.warc": b"junk", "other.txt": b"junk",
+    }
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    got = {}
+    for r in warc.read(spark, str(tmp_path)).collect():
+        got.setdefault(r.file.rpartition("/")[2], []).append((r.payload, bool(r.error)))
+    one = (b"one", False)
+    assert got == {"cut.warc": [one, (None, True)], "cut.warc.gz": [one, (None, True)], "junk.warc": [one, (None, True)], "junk.warc.gz": [(None, True)], "noend.warc": [(None, True)], "size.warc": [(None, True)], "colon.warc": [(None, True)]}
+    assert warc.read(spark, str(tmp_path), ["record_type"]).where("record_type = 'response'").count() == 3
+    (tmp_path / "none").mkdir()
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_warc_pushed_predicates():
+    rows = [{"record_type": k, "content_length": n} for k in ("a", "b", None) for n in (1, 5)]
+    at, size = ("record_type",), ("content_length",)
+
+    def kept(*filters):
+        return [(r["record_type"], r["content_length"]) for r in rows if warc._holds(filters, r)]
+
+    assert kept(warc.EqualTo(at, "a"), warc.GreaterThan(size, 1)) == [("a", 5)] and kept(warc.IsNull(at), warc.LessThanOrEqual(size, 1)) == [(None, 1)]
+    assert kept(warc.Not(warc.EqualTo(at, "a")), warc.LessThan(size, 5)) == [("b", 1)] and kept(warc.EqualTo(at, None)) == [] and kept(warc.EqualNullSafe(at, None), warc.GreaterThanOrEqual(size, 5)) == [(None, 5)]
+    assert kept(warc.In(at, ("b", None))) == [("b", 1), ("b", 5)] and kept(warc.Not(warc.In(at, ("b", None)))) == [] and kept(warc.StringStartsWith(at, "a")) == kept(warc.StringContains(at, "a")) == kept(warc.StringEndsWith(at, "a")) == [("a", 1), ("a", 5)]
+    assert not warc._judged(warc.EqualTo(("payload",), b"")) and not warc._judged(warc.EqualTo(("headers", "x"), "")) and warc._judged(warc.Not(warc.IsNull(at)))
+
+
+def test_warc_digests_and_columns(spark):
+    raw = hashlib.sha1(b"x").digest()
+    assert warc._sha1("sha1:" + base64.b32encode(raw).decode()) == warc._sha1("SHA1:" + raw.hex().upper()) == raw.hex() and warc._sha1("md5:abc") is warc._sha1(None) is warc._sha1("sha1:zz") is None
+    with pytest.raises(Exception, match="record_id"):
+        warc.register(spark)
+        frame(spark, [(1, "x")]).write.format("warc").mode("append").save("/tmp/never")
+
+
+def test_op13_of_nothing(spark, tmp_path):
+    frame(spark, [], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert queries.op13_warc_source(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op11_rope_infill", "op12_crc_resampling", "op13_warc_source"])
 def test_sql_over_odd_rows(spark, tmp_path, name):
     import duckdb
 
     docs = [(i, made(i, 90)) for i in range(80)] + [x for x in ODD if x[0] != 905] + [(905, "wörd\n" * 500)]
     frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
     frame(spark, [(i, made(i + 500, 30)) for i in range(5)] + [(9, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame(spark, web(5), "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     df = queries.queries()[name](spark, str(tmp_path))
