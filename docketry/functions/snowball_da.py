@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ def _region(word: str) -> int:
     return len(word)
 
 
+@lru_cache(1 << 16)
 def stem(word: str) -> str:
     r = _region(word)
 
@@ -64,3 +67,25 @@ def stemmed(text: Column) -> Column:
         return lists.map(lambda x: stems(list(x)) if x is not None else [])
 
     return run(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zæøå][a-zæøå-]+"), F.lit(0)))
+
+
+def sql(words: str) -> str:
+    """CTEs of DuckDB SQL: of a CTE ``words`` (w), each word once, stemmed (w, stems) with the list of its stems."""
+    v, either = f"[{VOWELS}]", "|".join
+    pairs = ", ".join(f"('{w}', {list(t)!r})" for w, t in LEXICON.items())
+    kept = ", ".join(f"'{w}'" for w in PROTECTED)
+    undoubled = "CASE WHEN right({0}, 2) IN ('gd', 'dt', 'gt', 'kt') AND length({0}) - 2 >= r THEN {0}[:-2] ELSE {0} END"
+    return f"""
+    trade(w, told) AS (VALUES {pairs}),
+    told AS (SELECT w, coalesce(told, [w]) AS told FROM {words} LEFT JOIN trade USING (w)),
+    plainly AS (SELECT DISTINCT unnest(told) AS t FROM told),
+    region AS (SELECT t, CASE WHEN regexp_matches(t, '{v}[^{VOWELS}]') THEN greatest(3, length(regexp_extract(t, '^.*?{v}[^{VOWELS}]'))) ELSE length(t) END AS r FROM plainly),
+    main AS (SELECT t, r, regexp_extract(substr(t, r + 1), '({either(MAIN)})$') AS ending FROM region),
+    less AS (SELECT t, r, CASE WHEN ending <> '' THEN t[:-length(ending) - 1] WHEN right(substr(t, r + 1), 1) = 's' AND contains('{S_ENDINGS}', t[-2:-2]) AND length(t) > 1 THEN t[:-2] ELSE t END AS x FROM main),
+    bare AS (SELECT t, r, {undoubled.format("x")} AS x FROM less),
+    igst AS (SELECT t, r, CASE WHEN right(x, 4) = 'igst' THEN x[:-3] ELSE x END AS x FROM bare),
+    others AS (SELECT t, r, x, regexp_extract(substr(x, r + 1), '({either(OTHER)})$') AS ending FROM igst),
+    cut AS (SELECT t, r, CASE ending WHEN '' THEN x WHEN 'løst' THEN x[:-2] ELSE x[:-length(ending) - 1] END AS x, ending NOT IN ('', 'løst') AS again FROM others),
+    twice AS (SELECT t, r, CASE WHEN again THEN {undoubled.format("x")} ELSE x END AS x FROM cut),
+    stem AS (SELECT t, CASE WHEN t IN ({kept}) THEN 'rødder' WHEN length(x) - 1 >= r AND length(x) >= 2 AND x[-1:] = x[-2:-2] AND NOT contains('{VOWELS}', x[-1:]) THEN x[:-2] ELSE x END AS stem FROM twice),
+    stemmed AS (SELECT w, list(stem ORDER BY i) AS stems FROM (SELECT w, unnest(told) AS t, generate_subscripts(told, 1) AS i FROM told) JOIN stem USING (t) GROUP BY w)"""

@@ -3,18 +3,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.functions import snowball_da
 from docketry.functions import text as tx
+from docketry.functions.snowball_da import sql as snowball_sql
 from docketry.functions.snowball_da import stemmed
 from docketry.functions.text import squeezed, title, tokens
 from docketry.operators import index as ix
 from docketry.operators import paragraphs as pg
+from docketry.operators import passages
 from docketry.operators import rank as rk
-from docketry.operators.passages import key_sections_of
+from docketry.operators import vocabulary as vb
 from docketry.plans.registry import query, table
-from docketry.sources.tables import cached
+from docketry.sources.segments import Segments
+from docketry.sources.tables import cached, folder
 
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-zæøå0-9]+')"
 _POST = f"""
@@ -105,13 +111,58 @@ def tfidf_fixed_topk(spark, sf_dir):
     return rk.top(lexical(spark, sf_dir), 20)
 
 
-@query()
+_STEM_WORD = "regexp_extract_all(lower(coalesce({0}, '')), '[a-zæøå][a-zæøå-]+')"
+_STEMS = f"""
+    texts AS (SELECT doc_id AS doc, {_STEM_WORD.format("t || ' ' || t || ' ' || t || ' ' || right(text, 6000)")} AS words FROM (SELECT doc_id, coalesce(text, '') AS text, split_part(coalesce(text, ''), chr(10), 1) AS t FROM documents)),
+    asked AS (SELECT item_id AS query, {_STEM_WORD.format('text')} AS words FROM benchmark),
+    placed AS (SELECT doc, NULL AS query, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM texts UNION ALL SELECT NULL, query, unnest(words), generate_subscripts(words, 1) FROM asked),
+    every_word AS (SELECT DISTINCT w FROM placed), {snowball_sql('every_word')},
+    lists AS (SELECT doc, query, flatten(list(stems ORDER BY i)) AS s FROM placed JOIN stemmed USING (w) GROUP BY doc, query),
+    runs AS (SELECT doc, query, unnest(list_concat(s, list_transform(range(1, len(s)), lambda k: s[k] || ' ' || s[k + 1]))) AS term FROM lists),
+    sizes AS (SELECT count(*)::DOUBLE AS docs FROM documents),
+    post AS (SELECT doc, term, count(*) AS tf FROM runs WHERE query IS NULL GROUP BY ALL),
+    freq AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY term),
+    terms AS (SELECT DISTINCT query, term FROM runs WHERE doc IS NULL)"""
+
+
+def stem_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF weights and rarities of one and two neighbouring Danish stems, over the index texts: the title three times, then key
+    sections. Postings, weights and rarities are built once and read then."""
+    source, title_ = [f"{sf_dir}/documents.parquet"], title(F.col("text"))
+    kept = lambda name, make: cached(spark, name, source, [ix, tx, vb, passages, snowball_da], make)
+
+    def posted() -> DataFrame:
+        said = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", title_, title_, title_, passages.key_sections_of(F.col("text"), 6_000)).alias("text"))
+        return ix.laid_out(vb.index(said, words=stemmed).postings)
+
+    postings = kept("stem-postings", posted)
+    index = ix.Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), table(spark, sf_dir, "documents").count(), 0.0)
+    rarities = kept("stem-rarities", lambda: ix.laid_out(ix.tfidf(index)[1]))
+    return kept("stem-weights", lambda: ix.laid_out(ix.tfidf(index)[0])), rarities
+
+
+def stem_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.query_terms(table(spark, sf_dir, "benchmark"), "item_id", most=2, words=stemmed)
+
+
+@query(f"WITH {_STEMS}, {_TFIDF.replace(_POST + ',', '')} SELECT query, doc, score, rank FROM {_ranked('tfidf', 20)}")
 def tfidf_stems_topk(spark, sf_dir):
-    """TF-IDF of one and two neighbouring Danish stems, over the index texts: the title three times, then key sections."""
-    title_ = title(F.col("text"))
-    said = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", title_, title_, title_, key_sections_of(F.col("text"), 6_000)).alias("text"))
-    terms = ix.query_terms(table(spark, sf_dir, "benchmark"), "item_id", most=2, words=stemmed)
-    return rk.top(ix.tfidf_scores(*ix.tfidf(ix.build(said, most=2, words=stemmed)), terms), 20)
+    """TF-IDF of one and two neighbouring Danish stems, the index of the corpus."""
+    return rk.top(ix.tfidf_scores(*stem_weights(spark, sf_dir), stem_terms(spark, sf_dir)), 20)
+
+
+@query(f"WITH {_BM25} SELECT query, doc, matched, score, rank FROM {_ranked('bm25', 20)}")
+def grown_bm25_topk(spark, sf_dir):
+    """bm25_topk from an index that grew by five appends, one of them twice and each with texts that are there already, and a merge."""
+    path = f"{folder(spark)}/files/segments-{uuid.uuid4().hex}"
+    grown = Segments(spark, path)
+    grown.versions._fs.deleteOnExit(grown.versions._path(path))
+    docs, part = table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(5))
+    for k in (0, 1, 2, 2, 3, 4):
+        grown.append(docs.where(part.isin(k, max(k - 1, 0))), batch=f"part {k}")
+    grown.merge(fan=4)
+    terms = items(spark, sf_dir)
+    return rk.top(ix.bm25(grown.index().of(terms), terms), 20)
 
 
 @query(f"WITH {_TFIDF}, early AS {_ranked('tfidf', 40)}, boosted AS (SELECT query, doc, round_even(score / 1e14 * (1.0e0 + greatest(0.0e0, least(0.15e0, (2010 + doc % 15 - 2017) * 0.02e0))), 9) AS score FROM early) SELECT query, doc, score, rank FROM {_ranked('boosted', 20)}")

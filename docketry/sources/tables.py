@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import time
 import uuid
 from collections.abc import Callable
 from types import ModuleType
@@ -51,8 +52,8 @@ def state(spark: SparkSession, paths: list[str]) -> str:
 def cached(spark: SparkSession, name: str, paths: list[str], code: list[ModuleType], make: Callable[[], DataFrame]) -> DataFrame:
     """What make() gives, read from an earlier run's table if the files at paths and the code are those it was made from.
 
-    A new table is written beside and renamed into place, so a reader never sees half of one; older ones of the same name
-    and paths are removed.
+    A new table is written beside and renamed into place, so a reader never sees half of one; of two builders the first one's stays.
+    The table before it stays too, for those who still read it; older ones of the same name and paths go after a day.
     """
     said = "".join(inspect.getsource(m) for m in code)
     home = f"{folder(spark)}/cache/{name}-{hashlib.sha256(repr(paths).encode()).hexdigest()[:12]}"
@@ -61,15 +62,30 @@ def cached(spark: SparkSession, name: str, paths: list[str], code: list[ModuleTy
     if not fs.exists(place):
         half = f"{home}/.{uuid.uuid4().hex}"
         make().write.parquet(half)
-        if not fs.rename(_place(spark, half)[1], place):
+        if not renamed(spark, half, path):
             fs.delete(_place(spark, half)[1], True)
         older = fs.listStatus(_place(spark, home)[1])
-        for i in range(len(older)):
-            if older[i].getPath().getName() != path.rsplit("/", 1)[1] and not older[i].getPath().getName().startswith("."):
-                fs.delete(older[i].getPath(), True)
+        older = sorted((older[i] for i in range(len(older))), key=lambda s: s.getModificationTime())
+        for one in [s for s in older if s.getPath().getName() != path.rsplit("/", 1)[1]][:-1]:
+            if time.time() * 1000 - one.getModificationTime() > 86_400_000:
+                fs.delete(one.getPath(), True)
     return spark.read.parquet(path)
 
 
+def renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a file or folder; False, and nothing done, where something has the name already."""
+    fs, place = _place(spark, target)
+    files = spark._jvm.org.apache.hadoop.fs
+    plainly = spark.sparkContext._gateway.new_array(getattr(files, "Options$Rename"), 0)
+    try:
+        files.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(_place(spark, source)[1]), fs.makeQualified(place), plainly)
+        return True
+    except Exception as e:
+        if "FileAlreadyExists" in str(e) or "ParentNotDirectory" not in str(e) and fs.exists(place):
+            return False
+        raise
+
+
 def append_json(df: DataFrame, path: str) -> None:
     """Appends rows as lines of JSON; what lies there stays as it is."""
     df.write.mode("append").json(path)
