@@ -20,9 +20,10 @@ def units(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     return found.select(F.struct("doc", "section", "paragraph").alias("doc"), F.concat_ws(" ", "section_title", "text").alias("said"))
 
 
-def hits(df: DataFrame, terms: DataFrame, limit: int = 30, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query, doc, section, paragraph, matched, score, rank): the best paragraphs of all texts for each query, ranks from 1."""
-    scored = ix.bm25(ix.build(units(df, doc, text), "doc", "said", terms=terms), terms)
+def hits(df: DataFrame, terms: DataFrame, limit: int = 30, doc: str = "doc_id", text: str = "text", index: ix.Index | None = None) -> DataFrame:
+    """(query, doc, section, paragraph, matched, score, rank): the best paragraphs of all texts for each query, ranks from 1. index: that of
+    the units, where it is stored."""
+    scored = ix.bm25(ix.build(units(df, doc, text), "doc", "said", terms=terms) if index is None else index.of(terms), terms)
     best = top(scored.where(F.col("score") > 0), limit)
     return best.select("query", "doc.*", "matched", "score", (F.col("rank") + 1).alias("rank"))
 
@@ -35,12 +36,15 @@ def decisions(found: DataFrame, k: int = 20, each: int = 3) -> DataFrame:
     return best.groupBy("query", "doc").agg(points.alias("score"))
 
 
-def local_hits(base: DataFrame, df: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75, coverage: float = 0.08, most: float = 0.5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def local_hits(base: DataFrame, df: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75, coverage: float = 0.08, most: float = 0.5, doc: str = "doc_id", text: str = "text", parts: DataFrame | None = None) -> DataFrame:
     """The paragraphs of each query's candidates as ``hits`` has them, by an index of these candidates alone: at least 40,
-    at most three for each candidate."""
+    at most three for each candidate. parts: the units of all texts, where they are stored."""
     cand = base.select("query", "doc", F.col("rank").alias("first"))
-    inside = df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(cand.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    part = units(inside)
+    few = cand.select("doc").distinct()
+    if parts is None:
+        part = units(df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(few.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
+    else:
+        part = parts.join(few.select(F.col("doc").alias("__doc")), F.col("doc.doc") == F.col("__doc"), "left_semi")
     sizes = part.select("doc.doc", F.size(ix.tokens(F.col("said"))).alias("size")).join(cand, "doc").groupBy("query").agg(F.count(F.lit(1)).cast("double").alias("of"), F.avg("size").alias("mean"))
     limits = cand.groupBy("query").agg(F.greatest(F.lit(40), 3 * F.count(F.lit(1))).alias("limit"))
     posted = ix.postings(part, "doc", "said").select("doc.*", "n", "term", "tf").join(cand, "doc").join(terms, ["query", "term"])
@@ -55,11 +59,11 @@ def local_hits(base: DataFrame, df: DataFrame, terms: DataFrame, k1: float = 1.5
     return ranked.select("query", "doc", "section", "paragraph", "matched", "score", "rank")
 
 
-def refined(base: DataFrame, df: DataFrame, terms: DataFrame, exact: DataFrame | None = None, final: int = 20, k: int = 20, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def refined(base: DataFrame, df: DataFrame, terms: DataFrame, exact: DataFrame | None = None, final: int = 20, k: int = 20, doc: str = "doc_id", text: str = "text", parts: DataFrame | None = None) -> DataFrame:
     """The base ranking (query, doc, rank) fused with the order of its decisions by paragraph, which counts twice. With
     ``exact`` only these queries are refined; the others, and those without a paragraph hit, keep their base."""
     mine = base if exact is None else base.join(exact.select("query").distinct(), "query", "left_semi")
-    by_paragraph = decisions(local_hits(mine, df, terms, doc=doc, text=text), k)
+    by_paragraph = decisions(local_hits(mine, df, terms, doc=doc, text=text, parts=parts), k)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     ordered = by_paragraph.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
     return top(fuse([ordered, ordered, base], k), final)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
-from docketry.operators import chain
+from docketry.functions import lexicon_da, snowball_da
+from docketry.operators import chain, hybrid, passages
+from docketry.operators import index as ix
+from docketry.operators import paragraphs as pg
+from docketry.operators import vocabulary as vb
 from docketry.plans.registry import query, table
 from docketry.plans.ranking import _POST, _TFIDF, _TOK, _ranked
+from docketry.sources.tables import cached
 
 #: Sentences and the features that the lexicon finds in them.
 SENTENCES = (
@@ -95,11 +102,24 @@ def corpus(spark, sf_dir):
     return docs.select(i.alias("doc"), F.concat(F.lit("AF-"), (10_000 + i).cast("string")).alias("number"), F.lit("").alias("link"), F.lit("").alias("title"), text.alias("text"))
 
 
+def stored(spark, sf_dir, name: str, docs, words=ix.tokens, most: int = 1, vectors: bool = False) -> hybrid.Corpus:
+    """A corpus with its index, features, paragraphs and vectors, built once and read then."""
+    code = [ix, vb, passages, pg, chain, hybrid, lexicon_da, snowball_da, sys.modules[__name__]]
+    kept = lambda part, make: cached(spark, f"{name}-{part}", [f"{sf_dir}/documents.parquet"], code, make)
+    held = kept("docs", lambda: docs)
+    postings = kept("postings", lambda: ix.laid_out(vb.index(held, "doc", "text", most, words).postings))
+    index = ix.Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), held.count(), 0.0)
+    weights, rarities = (kept(part, lambda k=k: ix.laid_out(ix.tfidf(index)[k])) for k, part in enumerate(("weights", "rarities")))
+    feats = kept("features", lambda: chain.features(held, "doc").groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("field", "value"))).alias("feats")))
+    units = kept("units", lambda: pg.units(held, "doc"))
+    return hybrid.Corpus(held, weights, rarities, feats, units, kept("vectors", lambda: hybrid.hashed(weights.select("doc", "term", "w"), "doc")) if vectors else None)
+
+
 @query(f"{SQL} SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY rank) - 1 AS rank FROM chosen QUALIFY rank < 20")
 def lexical_chain_topk(spark, sf_dir):
     """The whole chain: plan, lexical base, direct matches, paragraphs, metadata, features, number."""
-    queries = spark.createDataFrame([(i, q[0]) for i, q in enumerate(QUESTIONS)], "query int, text string")
-    return chain.search(chain.corpus(corpus(spark, sf_dir)), queries)
+    asks = spark.createDataFrame([(i, q[0], 100, 20) for i, q in enumerate(QUESTIONS)], "query int, text string, retrieve int, final int")
+    return hybrid.search(stored(spark, sf_dir, "dealt", corpus(spark, sf_dir)), asks)
 
 
 _LABELS = ", ".join(f"({i}, {_list(f)})" for i, (_, f) in enumerate(SENTENCES))

@@ -44,6 +44,21 @@ _TFIDF = f"""{_POST},
               FROM raw JOIN dlen USING (doc) JOIN qraw USING (term) JOIN qlen USING (query) GROUP BY query, doc HAVING score > 1000000000000)"""
 
 
+#: Paragraphs (doc, section, paragraph, said) of a CTE d (doc, text): headings open sections, blank lines part paragraphs, long ones are packed by sentences.
+UNITS = r"""
+    lines AS (SELECT doc, unnest(range(len(l))) AS i, trim(unnest(l), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS b FROM (SELECT doc, string_split(text, chr(10)) AS l FROM d)),
+    marked AS (SELECT *, regexp_full_match(b, '#{1,6}[ \t]+[^ \t].*|[A-ZÆØÅ0-9][A-ZÆØÅ0-9 ,.:/§()-]{2,119}') AS head FROM lines),
+    parted AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc ORDER BY i) AS s, sum((b = '' OR head)::INT) OVER (PARTITION BY doc ORDER BY i) AS g FROM marked),
+    named_ AS (SELECT doc, s, trim(regexp_replace(ltrim(b, '#'), '[ \t]+', ' ', 'g')) AS title FROM parted WHERE head),
+    blocks AS (SELECT doc, s, g, trim(regexp_replace(string_agg(b, ' ' ORDER BY i), '[ \t]+', ' ', 'g')) AS said FROM parted WHERE b <> '' AND NOT head GROUP BY doc, s, g),
+    packs AS (SELECT doc, s, g, CASE WHEN length(said) <= 1800 THEN [said] ELSE
+                list_reduce(list_transform(list_filter(string_split(regexp_replace(said, '([.!?])[ \t]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: [x]),
+                            lambda a, x: CASE WHEN length(a[-1]) + 1 + length(x[1]) <= 1800 THEN list_concat(a[:-2], [a[-1] || ' ' || x[1]]) ELSE list_concat(a, x) END) END AS p FROM blocks),
+    pieces AS (SELECT doc, s, g, k, said FROM (SELECT doc, s, g, unnest(p) AS said, generate_subscripts(p, 1) AS k FROM packs) WHERE length(said) >= 20),
+    units AS (SELECT p.doc, dense_rank() OVER (PARTITION BY p.doc ORDER BY p.s) - 1 AS section, row_number() OVER (PARTITION BY p.doc, p.s ORDER BY g, k) - 1 AS paragraph, coalesce(title, 'Kendelse') AS title, said
+              FROM pieces p LEFT JOIN named_ n ON n.doc = p.doc AND n.s = p.s)"""
+
+
 def _ranked(source: str, k: int, score: str = "score") -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY query ORDER BY {score} DESC, doc) - 1 AS rank FROM {source} QUALIFY rank < {k})"
 
@@ -225,16 +240,46 @@ def candidate_local_bm25(spark, sf_dir):
     return rk.top(scored, 10)
 
 
-@query()
-def paragraph_bm25_topk(spark, sf_dir):
-    """The thirty best paragraphs of all documents for each item."""
-    return pg.hits(table(spark, sf_dir, "documents"), items(spark, sf_dir))
+_PLAIN_D = "d AS (SELECT doc_id AS doc, coalesce(text, '') AS text FROM documents)"
+_UNIT_BM25 = _BM25.replace("SELECT doc_id AS doc, " + _TOK.format("text") + " AS said FROM documents", "SELECT {'a': doc, 'b': section, 'c': paragraph} AS doc, " + _TOK.format("title || ' ' || said") + " AS said FROM units")
 
 
-@query()
+def unit_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ix.Index]:
+    """The paragraphs of all documents and their index, built once."""
+    source, kept = [f"{sf_dir}/documents.parquet"], lambda name, make: cached(spark, name, source, [ix, tx, pg, passages], make)
+    parts = kept("units", lambda: pg.units(table(spark, sf_dir, "documents")))
+    posted = kept("unit-postings", lambda: ix.laid_out(ix.postings(parts, "doc", "said")))
+    frequencies = kept("unit-frequencies", lambda: ix.laid_out(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))))
+    docs, mean = parts.select(F.size(tokens(F.col("said"))).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.avg("n"), F.lit(0.0))).first()
+    return parts, ix.Index(posted, frequencies, docs, mean)
+
+
+@query(f"WITH {_PLAIN_D}, {UNITS}, {_UNIT_BM25} SELECT query, doc.a AS doc, doc.b AS section, doc.c AS paragraph, matched, score, rank + 1 AS rank FROM {_ranked('bm25', 30)} WHERE score > 0")
+def paragraph_bm25_topk(spark, sf_dir):
+    """The thirty best paragraphs of all documents for each item."""
+    return pg.hits(table(spark, sf_dir, "documents"), items(spark, sf_dir), index=unit_index(spark, sf_dir)[1])
+
+
+#: The paragraphs of candidates (query, doc, rank in ``first_``) scored by an index of these alone, with ``lterms`` (query, term); fused to ``pfused``.
+LOCAL = f"""
+    cunits AS (SELECT c.query, c.doc, c.rank, section, paragraph, {_TOK.format("title || ' ' || said")} AS said FROM first_ c JOIN units USING (doc)),
+    lsize AS (SELECT query, count(*)::DOUBLE AS docs, avg(len(said))::DOUBLE AS mean FROM cunits GROUP BY query),
+    climit AS (SELECT query, greatest(40, 3 * count(*)) AS most FROM first_ GROUP BY query),
+    lpost AS (SELECT query, doc, section, paragraph, rank, len(said) AS n, term, len(list_filter(said, lambda w: w = term)) AS tf FROM cunits JOIN lterms USING (query) WHERE list_contains(said, term)),
+    lfreq AS (SELECT query, term, count(*) AS df FROM lpost GROUP BY ALL),
+    lsum AS (SELECT query, doc, section, paragraph, any_value(rank) AS first, count(*) AS matched, sum(round_even(ln(1.0e0 + (docs - df + 0.5e0) / (df + 0.5e0)) * (tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * n / mean))) * 1e7, 0)::BIGINT) AS total
+             FROM lpost JOIN lfreq USING (query, term) JOIN lsize USING (query) GROUP BY query, doc, section, paragraph),
+    lscore AS (SELECT *, round_even(total * (1.0e0 + least(0.5e0, 0.08e0 * (matched - 1))), 0)::BIGINT AS score FROM lsum),
+    lrank AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, first, section, paragraph) AS place FROM lscore WHERE score > 0),
+    lbest AS (SELECT *, row_number() OVER (PARTITION BY query, doc ORDER BY score DESC, place) AS nth FROM lrank JOIN climit USING (query) WHERE place <= most QUALIFY nth <= 3),
+    lpoint AS (SELECT query, doc, (sum(round_even(1e7 / (20.0e0 + place), 0)::BIGINT) + round_even(sum(score) * 0.001e0, 0)::BIGINT)::BIGINT AS score FROM lbest GROUP BY query, doc),
+    lorder AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) - 1 AS rank FROM lpoint)"""
+
+
+@query(f"WITH {_PLAIN_D}, {UNITS}, {_BM25}, first_ AS (SELECT query, doc, rank FROM {_ranked('bm25', 20)}), lterms AS (SELECT query, term FROM terms), {LOCAL}, pfused AS (SELECT query, doc, sum(w)::BIGINT AS score FROM (SELECT query, doc, 2 * round_even(1e7 / (21.0e0 + rank), 0)::BIGINT AS w FROM lorder UNION ALL SELECT query, doc, round_even(1e7 / (21.0e0 + rank), 0)::BIGINT FROM first_) GROUP BY ALL) SELECT query, doc, score, rank FROM {_ranked('pfused', 20)}")
 def paragraph_refined_topk(spark, sf_dir):
     """BM25's list refined by the candidates' paragraphs; every item counts as a search for its exact words."""
-    return pg.refined(rk.top(bm25(spark, sf_dir), 20), table(spark, sf_dir, "documents"), items(spark, sf_dir))
+    return pg.refined(rk.top(bm25(spark, sf_dir), 20), table(spark, sf_dir, "documents"), items(spark, sf_dir), parts=unit_index(spark, sf_dir)[0])
 
 
 @query(f"WITH {_BM25}, cand AS {_ranked('bm25', 30)}, boosted AS (SELECT query, doc, round_even((1.0e0 / (20 + rank) + least(matched, 10) * 0.004e0) * 1e7, 0)::BIGINT AS score FROM cand) SELECT query, doc, score, rank FROM {_ranked('boosted', 20)}")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import dates, rules, vectors
 from docketry.functions import text as tx
+from docketry.functions.snowball_da import sql as snowball_sql
 from docketry.functions.snowball_da import stemmed
 from docketry.operators import ordered, passages
 from docketry.plans.registry import query, table
@@ -274,7 +275,10 @@ def budget_fill(spark, sf_dir):
     return sizes.select("source", F.explode(F.transform(taken, lambda i: F.element_at(F.col("x.doc_id"), i))).alias("doc_id"))
 
 
-@query()
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-zæøå][a-zæøå-]+')"
+
+
+@query(f"WITH placed AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM (SELECT doc_id, {_WORDS} AS words FROM documents)), every_word AS (SELECT DISTINCT w FROM placed), {snowball_sql('every_word')}, joined AS (SELECT doc_id, array_to_string(flatten(list(stems ORDER BY i)), ' ') AS stems FROM placed JOIN stemmed USING (w) GROUP BY doc_id) SELECT doc_id, coalesce(stems, '') AS stems FROM documents LEFT JOIN joined USING (doc_id)")
 def danish_stems(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(stemmed(F.col("text")), " ").alias("stems"))
 
