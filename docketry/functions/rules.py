@@ -22,7 +22,7 @@ TEXT_OUTCOMES: Rules = (
     ("Medhold", r"(?U)klageren\s+får\s+medhold|tages\s+til\s+følge|tilpligtes|selskabet\s+skal\s+(?:anerkende|betale|dække|yde)|skal\s+dække\s+de"),
 )
 #: Kinds of defects and the words that show them.
-ALL_DEFECTS: Rules = (
+DEFECTS: Rules = (
     ("Skimmel/fugt", r"(?U)\bskimmel\w*|\bfugt\w*|\b\w+fugt\w*|\bkondens\w*"),
     ("Tag/tagdækning", r"(?U)\btag\b|\btag(?:ene|dækning|sten|rende|konstruktion|værk|beklædning|pap|udhæng|fod|flade|rum|vindue|belægning|ryg|hætte|renovering|utæthed|nedløb|folie|plade)\w*|\b(?:i|på|af|under|over|fra|ved|hele|nyt|nye|gamle) taget\b|\bundertag\w*|\b(?:strå|eternit|sadel|pult|valm|mansard|tegl|skifer|bølge|fladt?\s|papp?)tag\w*|\bskotrende\w*|\btagrender\b|\binddækning\w*|\bskorsten\w*"),
     ("Kloak/dræn", r"(?U)\bkloak\w*|\bdræn\w*|\bafløb\w*|\bspildevand\w*|\bfaldstamme\w*|\bfaskine\w*|\bstikledning\w*|\brottespær\w*"),
@@ -36,19 +36,6 @@ ALL_DEFECTS: Rules = (
     ("Gulv", r"(?U)\bgulv(?:e|et|ene|konstruktion\w*|belægning\w*|brædder)?\b|\b(?:træ|klinke|parket|plank|beton|terrazzo|trægulv)gulv\w*|\bparket\w*|\bstrøer\b"),
     ("Ulovlige forhold", r"(?U)\bulovlig\w*|\bbyggetilladelse\w*|\bbygningsreglement\w*|\blovliggør\w*|\bbyggeloven\b|\blokalplan\w*"),
 )
-#: Nine of the kinds with fewer words, the default of ``defects``. The existing test of the default holds
-#: that "Skimmel på loftet" shows damp alone; under ALL_DEFECTS, as in the survey, it shows construction too.
-DEFECTS: Rules = (
-    ("Skimmel/fugt", r"(?U)\bskimmel\w*|\bfugt\w*|\b\w+fugt\w*|\bkondens\w*"),
-    ("Tag/tagdækning", r"(?U)\btag\b|\btag(?:ene|dækning|sten|rende|konstruktion|værk|beklædning|pap|udhæng|fod|flade|rum|vindue|belægning|ryg|hætte|renovering|utæthed|nedløb|folie|plade)\w*|\b(?:i|på|af|under|over|fra|ved|hele|nyt|nye|gamle) taget\b|\bundertag\w*|\bskotrende\w*|\binddækning\w*|\bskorsten\w*"),
-    ("Kloak/dræn", r"(?U)\bkloak\w*|\bdræn\w*|\bafløb\w*|\bspildevand\w*|\bfaldstamme\w*|\bfaskine\w*|\bstikledning\w*|\brottespær\w*"),
-    ("Fundament", r"(?U)\bfundament\w*|\bsokkel\w*|\bsætning(?:er|en|erne|sskade\w*)?\b|\bkælder\w*|\bkrybekælder\w*|\bterrændæk\w*"),
-    ("Murværk/facade", r"(?U)\bmurværk\w*|\bmursten\w*|\bfacade\w*|\bpuds\w*|\bhulmur\w*|\bgavl\w*|\bydervæg\w*|\bmurrevne\w*"),
-    ("Råd/svamp/insekt", r"(?U)\bråd(?:skade\w*|dannelse\w*|ne|nede|angreb\w*)?\b|\btrænedbrydende\b|\binsekt\w*|\bborebille\w*|\bhusbuk\w*|\bskadedyr\w*"),
-    ("Badeværelse/vådrum", r"(?U)\bbadeværelse\w*|\bvådrum\w*|\bbruse\w*|\bmembran\w*|\bgulvafløb\w*|\btoilet\w*|\bbad(?:et)?\b"),
-    ("Gulv", r"(?U)\bgulv(?:e|et|ene|konstruktion\w*|belægning\w*|brædder)?\b|\bparket\w*|\bstrøer\b"),
-    ("Ulovlige forhold", r"(?U)\bulovlig\w*|\bbyggetilladelse\w*|\bbygningsreglement\w*|\blovliggør\w*|\bbyggeloven\b|\blokalplan\w*"),
-)
 
 
 def first_label(text: Column, rules: Rules, default: str | None = None) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,12 +80,3 @@ def confusion(df: DataFrame, truth: Column, said: Column, *groups: str) -> DataF
     tp, fp, fn = n(truth & said), n(~truth & said), n(truth & ~said)
     share = lambda a, b: F.bround(F.when(b > 0, a / b), 6)
     return df.groupBy(*groups).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn")).select(*groups, "tp", "fp", "fn", share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
-
-
-def bootstrap_lower(deltas: list[float], draws: int = 5_000, seed: int = 20_240_101, share: float = 0.05) -> float | None:
-    """The lower bound of the mean of paired differences, one for a topic (a few dozen), by resampling; None without any."""
-    if not deltas:
-        return None
-    rng, n = random.Random(seed), len(deltas)
-    means = sorted(sum(deltas[rng.randrange(n)] for _ in range(n)) / n for _ in range(draws))
-    return means[int(share * draws)]
