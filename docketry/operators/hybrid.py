@@ -87,8 +87,13 @@ def base(at: Corpus, asks: DataFrame, terms: DataFrame, within: tuple[str, ...]
     if at.vectors is None:
         return lexical
     asked = hashed(terms.join(at.rarities, "term").select("query", "term", F.col("idf").alias("w")), "query").withColumnRenamed("v", "qv")
-    near = rk.vector_scores(at.vectors, asked, threshold * UNIT * UNIT)
-    return cut(rk.fuse([lexical, cut(inside(near, at, asks, within), asks)], 60), asks)
+    vectors = at.vectors
+    if within:
+        asked, vectors = asked.join(asks.select("query", *within), "query"), vectors.join(at.docs.select("doc", *within), "doc")
+    # Each pair of blocks keeps as many of a query as the largest list has.
+    k = asks.agg(F.max("retrieve")).first()[0] or 1
+    near = rk.vector_scores(vectors, asked, threshold * UNIT * UNIT, k, within=within)
+    return cut(rk.fuse([lexical, cut(near, asks)], 60), asks)
 
 
 def _ranked(rows: DataFrame, score: Column, *ties: str | Column) -> DataFrame:

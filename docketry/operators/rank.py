@@ -19,8 +19,8 @@ def top(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
 
 
-def _blocks(df: DataFrame, key: str, vector: str, rows: int, name: str) -> tuple[DataFrame, int]:
-    """(name, keys, values): some ``rows`` vectors in one row each, and how many blocks there are."""
+def _blocks(df: DataFrame, key: str, vector: str, rows: int, name: str, more: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(name, keys, values, lists of more): some ``rows`` vectors in one row each, and how many blocks there are."""
     count = max(1, -(-df.count() // rows))
     kind = df.schema[key].dataType.simpleString()
 
@@ -30,21 +30,23 @@ def _blocks(df: DataFrame, key: str, vector: str, rows: int, name: str) -> tuple
         keys = group[key].combine_chunks()
         keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
         values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return pa.table({name: group[name].slice(0, 1), "keys": pa.array([keys.to_pylist()], pa.list_(keys.type)), "values": pa.array([values.tobytes()], pa.binary())})
+        return pa.table({name: group[name].slice(0, 1), "keys": pa.array([keys.to_pylist()], pa.list_(keys.type)), "values": pa.array([values.tobytes()], pa.binary()), **{c: pa.array([group[c].to_pylist()], pa.list_(pa.string())) for c in more}})
 
-    dealt = df.where(F.col(vector).isNotNull()).select(key, vector, F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias(name))
-    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, keys array<{kind}>, values binary"), count
+    lists = "".join(f", {c} array<string>" for c in more)
+    dealt = df.where(F.col(vector).isNotNull()).select(key, vector, *more, F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias(name))
+    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, keys array<{kind}>, values binary{lists}"), count
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, threshold: float = 0.15, k: int | None = None, rows: int = 4_096) -> DataFrame:
+def vector_scores(vectors: DataFrame, queries: DataFrame, threshold: float = 0.15, k: int | None = None, rows: int = 4_096, within: tuple[str, ...] = ()) -> DataFrame:
     """(query, doc, score) of (query, qv) against all (doc, v): products above the threshold, to ten places; with k the k best of
-    each query, ties by doc, in each pair of blocks, which holds the k best of all.
+    each query, ties by doc, in each pair of blocks, which holds the k best of all. within: text columns of both sides that must be
+    equal unless the query's is null.
 
     A stated set of queries meets every vector in blocks of ``rows``: a pair of blocks is one matrix product, so memory is that of
     two blocks and their products, and a vector moves once for each block of queries.
     """
-    held, m = _blocks(vectors, "doc", "v", rows, "block")
-    asked, n = _blocks(queries, "query", "qv", rows // 4, "of")
+    held, m = _blocks(vectors, "doc", "v", rows, "block", within)
+    asked, n = _blocks(queries.withColumnsRenamed({c: f"q_{c}" for c in within}), "query", "qv", rows // 4, "of", tuple(f"q_{c}" for c in within))
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     # Joined by pair, so that a block of queries isn't one task's.
     pairs = held.withColumn("of", each(n)).join(asked.withColumnsRenamed({"keys": "qkeys", "values": "qvalues"}).withColumn("block", each(m)), ["block", "of"])
@@ -57,13 +59,18 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, threshold: float = 0.1
                 v, q = (np.frombuffer(row[c], np.float64).reshape(len(x), -1) for c, x in (("values", docs), ("qvalues", named)))
                 order = np.argsort(docs, kind="stable")
                 docs, scores = docs[order], np.round(q @ v[order].T, 10)
+                kept = {c: np.array(row[c], object)[order] for c in within}
                 for i in range(len(named)):
-                    at = np.flatnonzero(scores[i] > threshold)
+                    hit = scores[i] > threshold
+                    for c in within:
+                        if row[f"q_{c}"][i] is not None:
+                            hit &= kept[c] == row[f"q_{c}"][i]
+                    at = np.flatnonzero(hit)
                     if k is not None and len(at) > k:
                         at = at[np.argsort(-scores[i][at], kind="stable")[:k]]
                     yield pa.RecordBatch.from_arrays([pa.array([named[i]] * len(at), batch.schema.field("qkeys").type.value_type), pa.array(docs[at], batch.schema.field("keys").type.value_type), pa.array(scores[i][at])], names=["query", "doc", "score"])
 
-    return pairs.select("keys", "values", "qkeys", "qvalues").mapInArrow(products, f"query {kinds[1]}, doc {kinds[0]}, score double")
+    return pairs.select("keys", "values", "qkeys", "qvalues", *within, *(f"q_{c}" for c in within)).mapInArrow(products, f"query {kinds[1]}, doc {kinds[0]}, score double")
 
 
 def max_pool(scores: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
