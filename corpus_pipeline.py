@@ -9,8 +9,9 @@ Stages, in order, each over all that the one before it kept, each written as Par
 - encoding: SentencePiece ids and the decoded text.
 
 Documents stay rows, even where nothing is left of their text. Null and empty texts are kept by every stage but one: of those
-linked as near duplicates of no words, the smallest doc_id stays. Rows with a null doc_id are kept as rows of their own. Columns of
-the input keep their names, types and values, whatever the operators call theirs; an empty table gives empty tables. SQL can't
+linked as near duplicates of no words, the smallest doc_id stays. Rows with a null doc_id are kept as rows of their own. Until the last
+stage columns of the input keep their names, types and values (text and n_chars are those of what is left), whatever the operators call theirs; the
+last gives doc_id, n_tokens, ids and decoded alone. An empty table gives empty tables. SQL can't
 express the learned and the iterative stages, so there is no ORACLE_SQL; the tests hold each stage against brute force.
 """
 

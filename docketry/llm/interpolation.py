@@ -10,7 +10,8 @@ All texts are turned once into blocks of some MB: sorted 64-bit hashes of distin
 in them. Counting is by request and reply: a block sends its distinct keys with its own counts to buckets of the key
 range, a bucket adds up what all blocks have of a key, and answers each block in the order of its keys. So a token
 that is everywhere is one entry for a block, buckets are of bounded size (their number follows the input), and
-each key moves once. Only weights, sums and one number a context bucket come to the driver.
+each key moves once. Only weights, sums and one number a context bucket come to the driver. Tokens, and pairs of them, are told
+apart by their 64-bit hashes alone.
 
 Null text is taken as empty: one end. Without training texts the scores are those of the uniform share and
 the base's smoothing alone; without held-out ones the weights stay as they began. Repeated rows and null keys are
