@@ -1,8 +1,8 @@
 """The search chain and smart retrieval for many queries as one plan, with sizes of each query's own.
 
 After the base a candidate is one row with what the stages ask of it (direct matches, shared features, number), at most as many a query as its pool's
-table says, and every later stage is a window over the query's rows: one exchange serves them all, and no ranking is written or joined with
-itself in between. Only the refinement by paragraphs branches off, for the queries that ask for exact words.
+table says; these rows are written once, and every later stage is a window over the query's rows: one exchange serves them all, and no ranking is
+written or joined with itself in between. Only the refinement by paragraphs branches off, for the queries that ask for exact words.
 
 The base fuses a lexical list with a dense one by reciprocal ranks. Scores are whole numbers, ties go by the rank before, then by doc.
 Queries without any candidate have no rows; a null text is an empty one.
@@ -130,6 +130,8 @@ def search(at: Corpus, asks: DataFrame, words: Callable[[Column], Column] = ix.t
     # Direct matches count twice; without any the base stays.
     rows = rows.withColumn("direct", F.max(F.col("hit").isNotNull()).over(mine))
     rows = _ranked(rows, F.when(F.col("direct"), 2 * rrf(F.col("hit")) + rrf(F.col("base"))).otherwise(0), F.when(~F.col("direct"), F.col("base")))
+    # The candidates are written once, here, with all that the stages ask of them: two branches read them, and planning stays short.
+    rows = stored(rows.drop("direct", "hit", "base"), "candidates")
     # Paragraphs, of queries for exact words alone; the fusion of one list keeps its order.
     exact = rows.where("kind = 'exact'").select("query", "doc", "rank")
     some = at.units if not found.where("kind = 'exact'").isEmpty() else at.units.limit(0)
@@ -215,6 +217,7 @@ def smart(at: Corpus, asks: DataFrame, parts: DataFrame, talk: DataFrame, within
     terms = ix.query_terms(named, "query", "text", most, words)
     lists = cut_ranks(base(at, named, terms, (*within, *filtered)), named.select("query", "keep"))
     lists = lists.withColumnRenamed("query", "ask").join(every.select("ask", "query", "place"), "ask").select("query", "place", "doc", "rank")
+    lists = stored(lists, "lists")  # read by the fusions, small
     asked = fused_records(lists.where("place >= 0"), asks).withColumn("place", F.lit(1))
     # Without a filter's list the fusion of one list is that list.
     both = fused_records(asked.unionByName(lists.where("place = -1").withColumn("place", F.lit(0)).select("query", "doc", "rank", "place")), asks)
