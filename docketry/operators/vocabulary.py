@@ -31,7 +31,7 @@ from docketry.operators.index import Index
 from docketry.sources.tables import stored
 
 #: Runs that are counted at once in a task.
-TURN_RUNS = 1 << 20
+TURN_RUNS = 1 << 18
 
 
 def _runs(lists: pa.ListArray, most: int) -> tuple[pa.Array, np.ndarray]:
@@ -87,8 +87,10 @@ def summaries(said: DataFrame, most: int, share: float, capacity: int) -> DataFr
                 counted = pc.value_counts(terms)
                 waiting.append(pa.table({"term": counted.field(0), "n": counted.field(1)}))
                 size += len(counted)
+                del terms, counted
                 if size > 2 * capacity:
                     together()
+                    pa.default_memory_pool().release_unused()
         if waiting or held is not None:
             together()
             least = int(share * total)
@@ -133,7 +135,7 @@ def counted(said: DataFrame, terms: list[str], most: int) -> DataFrame:
     return said.select("doc", "said").mapInArrow(run, f"doc {kind}, n int, term string, tf long")
 
 
-def cut(said: DataFrame, most: int = 2, least: int = 2, features: int = 60_000, share: float | None = None, capacity: int = 2_000_000, store=lambda df: df) -> Cut:
+def cut(said: DataFrame, most: int = 2, least: int = 2, features: int = 60_000, share: float | None = None, capacity: int = 500_000, store=lambda df: df) -> Cut:
     """The runs of (doc, said) that can be among the ``features`` most frequent of those in ``least`` texts or more.
 
     store: writes a small table that is read more than once.
