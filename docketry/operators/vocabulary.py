@@ -10,7 +10,7 @@ Runs of two words of a large corpus are many more than can be rows. So there are
 
 If a run that wasn't handed on by any task could reach the cut, or the exact counts don't bear the cut out, the first level is done again
 with a smaller share or a lower cut; so the result is that of counting all runs. Frequencies, and with them ties, are whole numbers.
-The list is some sixteen times ``features`` at most, unless runs of single texts crowd the others out.
+The list is some four times ``features`` at most, unless runs of single texts crowd the others out.
 
 Null texts have no words; a text's repeated key makes rows of its own; an empty table has an empty vocabulary.
 """
@@ -115,11 +115,11 @@ class Cut:
 
 def counted(said: DataFrame, terms: list[str], most: int) -> DataFrame:
     """(doc, n, term, tf) of (doc, said): the runs among the terms alone. A text's row has all of it, so nothing is shuffled."""
-    listed = said.sparkSession.sparkContext.broadcast(sorted(terms))
+    listed = said.sparkSession.sparkContext.broadcast(pa.array(sorted(terms), pa.large_string()))
     kind = said.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(listed.value, pa.large_string())
+        names = listed.value
         for batch in batches:
             docs = batch.column(batch.schema.get_field_index("doc"))
             for lo, lists in _turns(batch, "said", most):
@@ -140,7 +140,7 @@ def cut(said: DataFrame, most: int = 2, least: int = 2, features: int = 60_000,
 
     store: writes a small table that is read more than once.
     """
-    share, wanted, listed, rounds = 1.0 / (64 * features) if share is None else share, features, 16 * features, 0
+    share, wanted, listed, rounds = 1.0 / (64 * features) if share is None else share, features, 4 * features, 0
     tallied = fewest = None
     while True:
         rounds += 1
