@@ -18,21 +18,22 @@ def smart_retrieval(spark, sf_dir):
     """A list of all and one of English texts fused, sizes by the pool."""
     docs = table(spark, sf_dir, "documents")
     retrieve, final = an.sizes(max(501, docs.count()), 60, 8)
-    return an.fused_with_filter(r.bm25(spark, sf_dir).select("query", "doc", "score"), docs.where("lang = 'en'").select(F.col("doc_id").alias("doc")), retrieve, final)
+    every, inside = (r.bm25(spark, sf_dir, retrieve, lang).select("query", "doc", "score") for lang in (None, "en"))
+    return rk.top(rk.fuse([rk.top(every, retrieve), rk.top(inside, retrieve)]), final)
 
 
 @query(f"WITH {r._BM25}, first_ AS (SELECT query, b.doc, b.rank, CASE WHEN b.doc % 3 <> 0 THEN n_chars % 97 END AS said FROM {r._ranked('bm25', 40)} b JOIN documents d ON d.doc_id = b.doc) SELECT query, doc, said, row_number() OVER (PARTITION BY query ORDER BY said DESC NULLS LAST, rank) - 1 AS rank FROM first_")
 def rerank_candidates(spark, sf_dir):
     """A pluggable scorer over forty candidates; what it leaves out comes last."""
     chars = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "n_chars")
-    first = rk.top(r.bm25(spark, sf_dir), 50).join(chars, "doc")
+    first = rk.top(r.bm25(spark, sf_dir, 50), 50).join(chars, "doc")
     return an.reranked(first, lambda df: F.when(F.col("doc") % 3 != 0, F.col("n_chars") % 97)).select("query", "doc", "said", "rank")
 
 
 @query(f"WITH {r._BM25}, hits AS (SELECT query, b.doc, b.rank, source, text FROM {r._ranked('bm25', 100)} b JOIN documents d ON d.doc_id = b.doc), each AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query, source ORDER BY rank) <= 2), kept AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS source_number FROM each QUALIFY source_number <= 12) SELECT query, doc, source_number, used FROM (SELECT *, (sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY query ORDER BY source_number) - 2)::BIGINT AS used FROM kept) WHERE used <= 12000")
 def citation_context(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", "text")
-    hits = rk.top(r.bm25(spark, sf_dir), 100).join(docs, "doc")
+    hits = rk.top(r.bm25(spark, sf_dir, 100), 100).join(docs, "doc")
     return an.citation_context(hits, "source", "text").select("query", "doc", "source_number", "used")
 
 
@@ -83,7 +84,7 @@ _TURNS = """turns AS (
 
 def _focus_parts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
-    top = stored(rk.top(r.bm25(spark, sf_dir), 6).select("query", F.col("rank").alias("place"), "doc"), "first").join(docs, "doc")
+    top = stored(rk.top(r.bm25(spark, sf_dir, 6), 6).select("query", F.col("rank").alias("place"), "doc"), "first").join(docs, "doc")
     head = F.concat(F.lit("[Kilde "), (F.col("place") + 1).cast("string"), F.lit("] "), F.col("source"))
     sources = top.withColumn("head", head)
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
@@ -124,4 +125,4 @@ def rerank_batches(spark, sf_dir):
     from docketry.operators import hybrid
 
     chars = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "n_chars")
-    return hybrid.batched(rk.top(r.bm25(spark, sf_dir), 40).join(chars, "doc"), _scorer, ["n_chars"], 40, 14, 7)
+    return hybrid.batched(rk.top(r.bm25(spark, sf_dir, 40), 40).join(chars, "doc"), _scorer, ["n_chars"], 40, 14, 7)

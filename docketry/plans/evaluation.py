@@ -35,11 +35,11 @@ def _binary(run: str) -> str:
 
 
 def base_run(spark, sf_dir):
-    return rk.top(r.bm25(spark, sf_dir), 20)
+    return rk.top(r.bm25(spark, sf_dir, 20), 20)
 
 
 def other_run(spark, sf_dir):
-    return rk.top(r.lexical(spark, sf_dir), 20)
+    return rk.top(r.lexical(spark, sf_dir, 20), 20)
 
 
 @query(f"WITH {_RUNS} SELECT * FROM {_binary('base')}")
@@ -199,7 +199,8 @@ def stage_trace(spark, sf_dir):
 @query(f"WITH {r._EXACT}, {r._POST}, terms_in AS (SELECT query, doc, count(*) AS terms FROM post JOIN terms USING (term) GROUP BY ALL), judged AS (SELECT t.query, t.doc, least(t.terms, 12) * 0.5e0 + coalesce(e.score, 0) / 60.0e0 - CASE WHEN n_chars < 200 THEN 3.0e0 ELSE 0.0e0 END AS points FROM terms_in t LEFT JOIN exact e USING (query, doc) JOIN documents d ON d.doc_id = t.doc) SELECT query, doc, CASE WHEN points >= 8 THEN 2 WHEN points >= 3.5 THEN 1 WHEN points > -2.5 THEN 0 ELSE -1 END AS relevance, round_even(least(0.99e0, 0.5e0 + abs(points) / 20), 6) AS confidence FROM judged")
 def relevance_bootstrap(spark, sf_dir):
     """Judgements by rule: points for the query's words and sentences, fewer for very short texts; thresholds 8, 3.5, -2.5."""
-    terms = r.indexed(spark, sf_dir).postings.join(r.items(spark, sf_dir), "term").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("terms"))
+    items = r.items(spark, sf_dir)
+    terms = r.posted(spark, sf_dir, items).join(items, "term").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("terms"))
     exact = rk.exact_scores(r.plain(spark, sf_dir), r.phrases(spark, sf_dir))
     both = terms.join(exact, ["query", "doc"], "left").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "n_chars"), "doc")
     points = F.least("terms", F.lit(12)) * 0.5 + F.coalesce("score", F.lit(0)) / 60.0 - F.when(F.col("n_chars") < 200, 3.0).otherwise(0.0)
