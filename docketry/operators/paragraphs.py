@@ -24,6 +24,11 @@ def hits(df: DataFrame, terms: DataFrame, limit: int = 30, doc: str = "doc_id",
     """(query, doc, section, paragraph, matched, score, rank): the best paragraphs of all texts for each query, ranks from 1. index: that of
     the units, where it is stored."""
     scored = ix.bm25(ix.build(units(df, doc, text), "doc", "said", terms=terms) if index is None else index.of(terms), terms)
+    return ranked(scored, limit)
+
+
+def ranked(scored: DataFrame, limit: int = 30) -> DataFrame:
+    """The best of (query, doc, matched, score), doc being a paragraph's place, as ``hits`` has them."""
     best = top(scored.where(F.col("score") > 0), limit)
     return best.select("query", "doc.*", "matched", "score", (F.col("rank") + 1).alias("rank"))
 
