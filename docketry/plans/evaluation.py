@@ -9,6 +9,7 @@ from docketry.operators import evaluate as ev
 from docketry.operators import rank as rk
 from docketry.plans import ranking as r
 from docketry.plans.registry import query, table
+from docketry.sources.tables import stored
 
 
 def qrels(spark, sf_dir):
@@ -42,6 +43,11 @@ def other_run(spark, sf_dir):
     return rk.top(r.lexical(spark, sf_dir, 20), 20)
 
 
+def both_runs(spark, sf_dir):
+    """The two runs, written once, for what reads them more than once."""
+    return [stored(run(spark, sf_dir), "run") for run in (base_run, other_run)]
+
+
 @query(f"WITH {_RUNS} SELECT * FROM {_binary('base')}")
 def eval_binary(spark, sf_dir):
     return ev.binary(base_run(spark, sf_dir), qrels(spark, sf_dir))
@@ -92,12 +98,12 @@ _CHANGES = """sides AS (SELECT query, doc, sum(s) AS s FROM (SELECT query, doc,
 
 @query(f"WITH {_RUNS}, {_CHANGES} SELECT query, missing, extra, first_different FROM counts JOIN firsts USING (query)")
 def run_reproducibility(spark, sf_dir):
-    return ev.run_changes(base_run(spark, sf_dir), other_run(spark, sf_dir))
+    return ev.run_changes(*both_runs(spark, sf_dir))
 
 
 @query(f"WITH {_RUNS}, {_CHANGES} SELECT count(*) AS queries, sum((first_different IS NOT NULL)::INT)::BIGINT AS changed, sum((extra > 5)::INT)::BIGINT AS violations FROM counts JOIN firsts USING (query)")
 def planner_effect(spark, sf_dir):
-    changes = ev.run_changes(base_run(spark, sf_dir), other_run(spark, sf_dir))
+    changes = ev.run_changes(*both_runs(spark, sf_dir))
     return changes.agg(F.count(F.lit(1)).alias("queries"), F.sum(F.col("first_different").isNotNull().cast("int")).alias("changed"), F.sum((F.col("extra") > 5).cast("int")).alias("violations"))
 
 
@@ -190,7 +196,7 @@ def rerank_sweep(spark, sf_dir):
 @query(f"WITH {_RUNS}, fused AS (SELECT query, doc, sum(w)::BIGINT AS score FROM (SELECT query, doc, round_even(1e7 / (61.0e0 + rank), 0)::BIGINT AS w FROM base UNION ALL SELECT query, doc, round_even(1e7 / (61.0e0 + rank), 0)::BIGINT FROM cand) GROUP BY ALL) SELECT 'lexical' AS stage, query, rank, doc FROM base UNION ALL SELECT 'weights', query, rank, doc FROM cand UNION ALL SELECT 'fused', query, rank, doc FROM {r._ranked('fused', 20)}")
 def stage_trace(spark, sf_dir):
     """What each stage of a chain of rankings returned."""
-    a, b = base_run(spark, sf_dir), other_run(spark, sf_dir)
+    a, b = both_runs(spark, sf_dir)
     stages = {"lexical": a, "weights": b, "fused": rk.top(rk.fuse([a, b]), 20)}
     parts = [x.select(F.lit(name).alias("stage"), "query", "rank", "doc") for name, x in stages.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
