@@ -345,11 +345,11 @@ def identifier_points(spark, sf_dir):
     SELECT query, doc, feature, round_even(1.0e0 + ln((n + 1.0e0) / (df + 1.0e0)), 6) AS contribution FROM f JOIN mine USING (feature) JOIN seen USING (feature), n WHERE query <> doc AND doc % 10 = 3""")
 def feature_contributions(spark, sf_dir):
     """What each shared feature adds to two items' relation."""
+    from docketry.operators.graph import contributions
+
     parts = table(spark, sf_dir, "part")
     each = parts.select(F.col("p_partkey").alias("doc"), F.explode(F.array(F.concat(F.lit("brand:"), "p_brand"), F.concat(F.lit("type:"), "p_type"))).alias("feature"))
-    rare = each.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).withColumn("contribution", F.bround(1.0 + F.ln(F.lit(parts.count() + 1.0) / (F.col("df") + 1.0)), 6)).drop("df")
-    mine = each.where("doc % 50 = 0").select(F.col("doc").alias("query"), "feature")
-    return each.where("doc % 10 = 3").join(mine, "feature").where("query <> doc").join(rare, "feature").select("query", "doc", "feature", "contribution")
+    return contributions(each, F.col("doc") % 50 == 0, F.col("doc") % 10 == 3, parts.count())
 
 
 @query("""WITH run AS (SELECT doc_id % 40 AS query, doc_id AS doc, doc_id // 40 AS rank, coalesce(text, '') AS text FROM documents WHERE doc_id // 40 < 20), rel AS (SELECT doc_id AS doc FROM labels WHERE quality = 1),
