@@ -38,10 +38,6 @@ def base_run(spark, sf_dir):
     return rk.top(r.bm25(spark, sf_dir, 20), 20)
 
 
-def other_run(spark, sf_dir):
-    return rk.top(r.lexical(spark, sf_dir, 20), 20)
-
-
 def both_runs(spark, sf_dir):
     """The two runs, made in one pass over the texts and written once."""
     return r.both(spark, sf_dir, 20)
