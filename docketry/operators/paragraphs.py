@@ -52,7 +52,8 @@ def local_hits(base: DataFrame, df: DataFrame, terms: DataFrame, k1: float = 1.5
         part = parts.join(few.select(F.col("doc").alias("__doc")), F.col("doc.doc") == F.col("__doc"), "left_semi")
     sizes = part.select("doc.doc", F.size(ix.tokens(F.col("said"))).alias("size")).join(cand, "doc").groupBy("query").agg(F.count(F.lit(1)).cast("double").alias("of"), F.avg("size").alias("mean"))
     limits = cand.groupBy("query").agg(F.greatest(F.lit(40), 3 * F.count(F.lit(1))).alias("limit"))
-    posted = ix.postings(part, "doc", "said").select("doc.*", "n", "term", "tf").join(cand, "doc").join(terms, ["query", "term"])
+    # Candidates meet their query's terms first: with all terms of their document there would be many more rows.
+    posted = cand.join(terms, "query").join(ix.postings(part, "doc", "said").select("doc.*", "n", "term", "tf"), ["doc", "term"])
     freq = posted.groupBy("query", "term").agg(F.count(F.lit(1)).alias("df"))
     n, tf, of, held = F.col("n"), F.col("tf"), F.col("of"), F.col("df")
     w = F.ln(1.0 + (of - held + 0.5) / (held + 0.5)) * (tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * n / F.col("mean"))))

@@ -7,6 +7,8 @@ import sys
 from pyspark.sql import functions as F
 
 from docketry.functions import lexicon_da, snowball_da
+from docketry.functions import text as tx
+from docketry.operators import blocks as bl
 from docketry.operators import chain, hybrid, passages
 from docketry.operators import index as ix
 from docketry.operators import paragraphs as pg
@@ -14,6 +16,7 @@ from docketry.operators import vocabulary as vb
 from docketry.plans.registry import query, table
 from docketry.plans.ranking import _POST, _TFIDF, _TOK, _ranked
 from docketry.sources.tables import cached
+from docketry.sources.tables import stored as written
 
 #: Sentences and the features that the lexicon finds in them.
 SENTENCES = (
@@ -103,16 +106,20 @@ def corpus(spark, sf_dir):
 
 
 def stored(spark, sf_dir, name: str, docs, words=ix.tokens, most: int = 1, vectors: bool = False) -> hybrid.Corpus:
-    """A corpus with its index, features, paragraphs and vectors, built once and read then."""
-    code = [ix, vb, passages, pg, chain, hybrid, lexicon_da, snowball_da, sys.modules[__name__]]
+    """A corpus with its words, their rarities, features, paragraphs and vectors, made once and read then; no postings or weights are kept."""
+    code = [ix, vb, bl, tx, passages, pg, chain, hybrid, lexicon_da, snowball_da, sys.modules[__name__]]
     kept = lambda part, make: cached(spark, f"{name}-{part}", [f"{sf_dir}/documents.parquet"], code, make)
     held = kept("docs", lambda: docs)
-    postings = kept("postings", lambda: ix.laid_out(vb.index(held, "doc", "text", most, words).postings))
-    index = ix.Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), held.count(), 0.0)
-    weights, rarities = (kept(part, lambda k=k: ix.laid_out(ix.tfidf(index)[k])) for k, part in enumerate(("weights", "rarities")))
+    lists = kept("said", lambda: bl.said(held, "doc", "text", words, tuple(c for c in ("lang", "source") if c in held.columns)))
+
+    def rare():
+        listed = vb.counted(lists, vb.cut(lists, most, store=lambda x: written(x, "runs")).terms, most)
+        return bl.rarities(listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), held.count())
+
+    rarities = kept("rarities", rare)
     feats = kept("features", lambda: chain.features(held, "doc").groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("field", "value"))).alias("feats")))
     units = kept("units", lambda: pg.units(held, "doc"))
-    return hybrid.Corpus(held, weights, rarities, feats, units, kept("vectors", lambda: hybrid.hashed(weights.select("doc", "term", "w"), "doc")) if vectors else None)
+    return hybrid.Corpus(held, lists, rarities, feats, units, kept("vectors", lambda: hybrid.embedded(lists, rarities, most)) if vectors else None, most)
 
 
 @query(f"{SQL} SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY rank) - 1 AS rank FROM chosen QUALIFY rank < 20")
